@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import piece_tokenizer, quality_rules
+from . import license_scan, media_columns, piece_tokenizer, quality_rules, secret_scan, token_counts, toxicity
 from .common import documents
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -19,5 +19,27 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_tokenizer.encode_documents(documents(spark, sf_dir), public_tokenizers.path(PIECE_MODEL), digests=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_sentencepiece)}
-SQL = {"op1_quality_rules": quality_rules.sql()}
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(documents(spark, sf_dir), public_tokenizers.path(PIECE_MODEL))
+
+
+def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_columns.store(documents(spark, sf_dir), digests=True)
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(documents(spark, sf_dir))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return toxicity.score(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.report(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_sentencepiece, op6_token_counts, op7_media_columns, op8_license_scan, op9_toxicity, op10_secret_scan)}
+#: Queries that SQL can express over whole tables.
+SQL = {"op1_quality_rules": quality_rules.sql(), "op8_license_scan": license_scan.sql()}
