@@ -1,10 +1,70 @@
-"""The corpus pipeline: stages that each take and return documents, written and read again in between."""
+"""The corpus pipeline: quality rules, near-dedup, secret redaction, mixing, encoding.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the one before kept; ``run`` writes what a stage
+returns as Parquet to the cluster's shared folder and reads it again for the next. All stages but the last
+return the columns of ``docs``.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+import tempfile
+import uuid
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from quillspark.llm import mixing, near_dedup, piece_tokenizer, quality_rules, queries, secret_scan
+
+#: Share of the tokens that reach the mixing stage which the mixture may spend, each document once at most.
+BUDGET_SHARE = 0.9
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that no quality rule rejects."""
+    return quality_rules.accepted(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return near_dedup.deduplicated(docs)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, with secrets replaced by their kind."""
+    return secret_scan.redact(docs)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows that the target weights leave room for."""
+    return mixing.mixed(docs, queries.MIXTURE, levels=queries.mixture_levels(), budget_share=BUDGET_SHARE, seed=queries.MIX_SEED)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of ids and decoded text."""
+    return piece_tokenizer.encode_documents(docs, public_tokenizers.path(queries.PIECE_MODEL), digests=True)
+
+
+STAGES = [("quality rules", quality), ("near-dedup", near_duplicates), ("secret scans", secrets), ("mixing", mixture), ("encoding", encoding)]
+#: SQL can't express the tokenizer's stage; the tests hold the rows against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the last stage over ``documents``."""
+    shared = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="corpus-")
+    folder = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs.write.parquet(f"{folder}/{i}")
+            docs = spark.read.parquet(f"{folder}/{i}")
+            if i:
+                drop(spark, f"{folder}/{i - 1}")
+    return docs
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Removes a stage's files once the next stage is written."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -7,7 +7,9 @@ Arrow batches are cut into slices of bounded bytes, so that a worker's memory fo
 from __future__ import annotations
 
 import tempfile
+import zipfile
 from collections.abc import Callable, Iterable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +39,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives the workers this package, once per application, however they were started."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    package = Path(__file__).parents[1]
+    target = Path(tempfile.mkdtemp(prefix="quillspark-")) / f"{package.name}-{sc.applicationId}.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for file in package.rglob("*.py"):
+            z.write(file, file.relative_to(package.parent))
+    sc.addPyFile(str(target))
+    _SHIPPED.add(sc.applicationId)
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Parts of ``batch`` with at most ``limit`` bytes of text, or one row."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
@@ -65,6 +84,7 @@ def map_slices(df: DataFrame, work: Callable[[], Callable[[pa.RecordBatch], pa.R
                 if (out := each(part)) is not None:
                     yield out
 
+    ship(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

@@ -131,6 +131,12 @@ def judge(docs: DataFrame, thresholds=THRESHOLDS, *, id_column: str = "doc_id",
     )
 
 
+def accepted(docs: DataFrame, thresholds=THRESHOLDS, *, text_column: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are kept, with their own columns: a filter in the scan's stage, without a join."""
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc_id"), F.col(text_column).alias("text"))
+    return judge(whole, thresholds).where("kept").select("doc_id.*")
+
+
 def sql(thresholds=THRESHOLDS) -> str:
     """The same judgement of ``documents`` in DuckDB's SQL."""
     stop = ", ".join(f"'{w}'" for w in STOP_WORDS)
