@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, media_columns, mixing, near_dedup, piece_tokenizer, quality_rules, secret_scan, token_counts, toxicity
+from . import license_scan, media_columns, mixing, near_dedup, piece_tokenizer, quality_rules, secret_scan, suffix_dedup, token_counts, toxicity
 from .common import documents
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -24,6 +24,10 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.components(documents(spark, sf_dir))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicate(documents(spark, sf_dir), digests=True)
+
+
 def mixture_levels() -> list:
     """Domain (by number of the source), language and source of a document."""
     number = F.coalesce(F.try_to_number(F.regexp_extract(F.coalesce("source", F.lit("")), "([0-9]+)$", 1), F.lit("999999999")).cast("long"), F.lit(0))
@@ -64,6 +68,6 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_sentencepiece, op3_minhash_near_dedup, op5_mixing, op6_token_counts, op7_media_columns, op8_license_scan, op9_toxicity, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_sentencepiece, op3_minhash_near_dedup, op4_suffix_dedup, op5_mixing, op6_token_counts, op7_media_columns, op8_license_scan, op9_toxicity, op10_secret_scan)}
 #: Queries that SQL can express over whole tables.
 SQL = {"op1_quality_rules": quality_rules.sql(), "op8_license_scan": license_scan.sql()}
