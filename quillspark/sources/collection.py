@@ -56,7 +56,7 @@ def passage_table(spark: SparkSession, path: str) -> DataFrame:
 
 def read_queries(spark: SparkSession, path: str) -> DataFrame:
     """(query_idx, query): one per non-empty line, one trailing carriage return dropped."""
-    lines = read_lines(spark, path).withColumn("query", F.regexp_replace("value", "\r$", "")).where("query <> ''")
+    lines = read_lines(spark, path).withColumn("query", F.regexp_replace("value", r"\r\z", "")).where("query <> ''")
     return with_ordinal(lines, ["file", "block", "at"], "query_idx").select(F.col("query_idx").cast("int"), "query")
 
 
