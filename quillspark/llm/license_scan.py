@@ -14,8 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Lines with a match say who owns the text, not how it may be used.
-OWNER_LINE = r"copyright|\(c\)|©"
+#: Lower-case lines with a match say who owns the text, not how it may be used.
+OWNER_LINE = r"^[^\p{L}\p{N}]*((portions )?copyright[^\p{L}]*(\(c\)|©|[0-9])|\(c\) *[0-9]|© *[0-9]|all rights reserved)"
 QUOTES = r"[\x{2018}\x{2019}\x{201C}\x{201D}\x{00AB}\x{00BB}\x22\x27\x60]+"
 PUNCTUATION = r"[^\p{L}\p{N}]+"
 #: Equivalent spellings, replaced in order once punctuation is gone.

@@ -1,0 +1,68 @@
+import hashlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+import sentencepiece
+from comparing import SMALL
+from pyspark.sql import functions as F
+from test_near_dedup import plain as plain_components
+from test_quality_rules import plain as plain_measures
+
+import corpus_pipeline
+from quillspark.llm import mixing, quality_rules, queries, secret_scan
+
+
+@pytest.fixture(scope="module")
+def stages(spark):
+    """The documents before and after each stage, by id."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    found = [docs]
+    for _, stage in corpus_pipeline.STAGES:
+        found.append(spark.createDataFrame(stage(spark, found[-1], SMALL).toArrow()))
+    return found
+
+
+def ids(df):
+    return sorted(r[0] for r in df.select("doc_id").collect())
+
+
+def test_columns_and_run(spark, stages):
+    docs = stages[0]
+    assert all(s.columns == docs.columns for s in stages[:-1])
+    assert sorted(map(tuple, corpus_pipeline.run(spark, SMALL).collect())) == sorted(map(tuple, stages[-1].collect()))
+
+
+def test_each_stage_against_plain_python(spark, stages):
+    docs, good, single, safe, chosen, encoded = stages
+    rows = [tuple(r) for r in docs.select("doc_id", "text", "lang", "source").collect()]
+    judged = {r["doc_id"]: r for r in quality_rules.judge(docs).collect()}
+    for i, t, *_ in rows:
+        m = plain_measures(t)
+        assert (judged[i]["n_words"], judged[i]["n_repeat_words"]) == (m[0], m[4])
+    assert ids(good) == sorted(i for i, r in judged.items() if r["kept"])
+
+    rows = [tuple(r) for r in good.select("doc_id", "text").collect()]
+    assert ids(single) == [i for i, _, _, kept in plain_components(rows) if kept]
+
+    before = {r["doc_id"]: r for r in single.collect()}
+    after = {r["doc_id"]: r for r in safe.collect()}
+    assert before.keys() == after.keys()
+    assert all(not secret_scan.find(r["text"]) for r in after.values())
+    assert all(after[i]["text"] == r["text"] for i, r in before.items() if not secret_scan.find(r["text"]))
+
+    wanted = mixing.select(safe, queries.MIXTURE, levels=queries.mixture_levels(), budget_share=corpus_pipeline.BUDGET_SHARE, max_epochs=1, seed=queries.MIX_SEED)
+    assert ids(chosen) == ids(wanted)
+    assert wanted.agg(F.sum("take_tokens")).first()[0] <= sum(len(r["text"].encode().split()) for r in after.values())
+
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(queries.PIECE_MODEL))
+    texts = {r["doc_id"]: r["text"] for r in chosen.collect()}
+    assert ids(encoded) == sorted(texts)
+    for r in encoded.collect():
+        tokens = library.encode(texts[r["doc_id"]], add_bos=True, add_eos=True)
+        assert (r["n_tokens"], r["ids_sha256"]) == (len(tokens), hashlib.sha256(np.array(tokens, "<u4").tobytes()).hexdigest())
+        assert r["decoded_sha256"] == hashlib.sha256(library.decode(tokens).encode()).hexdigest()
+
+
+def test_every_operator_has_its_query():
+    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 11)]
