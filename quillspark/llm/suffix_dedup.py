@@ -26,23 +26,28 @@ length are treated whole.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
-from .common import cut, mix, ship, slices
+from .common import mix, ship, slices
 
 SPAN, GRAM = 50, 20
 GRAMS = SPAN - GRAM + 1
 #: Text that a task takes together before it sends what it found.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
 SLICE_BYTES = 1 << 20
 #: Text whose anchors a bucket holds, about; and bytes of stretches in one suffix array.
-BUCKET_TEXT = 48 << 20
-ARRAY_BYTES = 4 << 20
+BUCKET_TEXT = 40 << 20
+ARRAY_BYTES = 1 << 20
+#: Stretches of a shard that are unpacked together, in bytes.
+RANGE_BYTES = 4 << 20
 SEVERAL = 0xFFFF
 
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64))
@@ -84,6 +89,22 @@ def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     return h[at[first]], owner[first].astype(np.int64), starts[first], starts[last]
 
 
+def short(h: np.ndarray, buckets: int) -> np.ndarray:
+    """40 bits of each hash beyond those that its bucket says. A bucket holds a few million, so chance meetings are
+    rare at any size of the corpus, and cost only a comparison."""
+    return (h // np.uint64(buckets)) & np.uint64((1 << 40) - 1)
+
+
+def pack(h: np.ndarray) -> bytes:
+    return h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def unpack(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
+    return out.reshape(-1).view("<u8")
+
+
 class Block:
     """Documents of one task, up to BLOCK_BYTES of text, and what was found in them."""
 
@@ -153,14 +174,14 @@ def send_anchors(buckets: int):
         own = np.argsort(d[several], kind="stable")
         hd, dd = h[several][own], d[several][own]
         for a, b in zip(cuts := _grouped(dd), np.append(cuts[1:], len(dd))):
-            rows.append((-1 - int(ids[dd[a]] % buckets), hd[a:b].tobytes(), b"", ids[dd[a]].tobytes(), keys[dd[a]].tobytes()))
+            rows.append((-1 - int(ids[dd[a]] % buckets), pack(short(hd[a:b], buckets)), b"", ids[dd[a]].tobytes(), keys[dd[a]].tobytes()))
         head = np.zeros(len(h), bool)
         head[run] = True
         keep = ~several | head
         docs = np.where(several, SEVERAL, d)[keep].astype("<u2")
         h = h[keep]
         for b, at in by_bucket(h, buckets):
-            rows.append((b, h[at].tobytes(), docs[at].tobytes(), ids.tobytes(), keys.tobytes()))
+            rows.append((b, pack(short(h[at], buckets)), docs[at].tobytes(), ids.tobytes(), keys.tobytes()))
         yield from as_batches(rows, [pa.int32(), *[pa.binary()] * 4], names)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,7 +220,7 @@ def meet(table: pa.Table) -> pa.Table:
             rows.append((int(i[0]), int(k[0]), h))
             continue
         d = np.frombuffer(d, "<u2").astype(np.int64)
-        hashes.append(np.frombuffer(h, np.uint64))
+        hashes.append(unpack(h))
         docs.append(np.where(d == SEVERAL, -1, d + n))
         ids.append(i)
         keys.append(k)
@@ -212,60 +233,73 @@ def meet(table: pa.Table) -> pa.Table:
         low = np.minimum.reduceat(np.where(d < 0, np.iinfo(np.int64).min, ids[d]), run)
         high = np.maximum.reduceat(np.where(d < 0, np.iinfo(np.int64).max, ids[d]), run)
         ok = np.repeat(low != high, np.diff(np.append(run, len(h)))) & (d >= 0)
-        rows += [(int(ids[x]), int(keys[x]), v.tobytes()) for x, v in per_document(d[ok], h[ok])]
+        rows += [(int(ids[x]), int(keys[x]), pack(v)) for x, v in per_document(d[ok], h[ok])]
     return pa.table([pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["doc_id", "key", "found"])
 
 
-def send_stretches(shards: int):
+class Stretches(Block):
+    """A block's distinct stretches, and where each is: (number, document, start) for every use."""
+
+    def __init__(self):
+        super().__init__()
+        self.number: dict[bytes, int] = {}
+        self.hashes, self.uses = array("Q"), array("q")
+
+    def put(self, h: int, doc: int, start: int, stretch: bytes) -> None:
+        n = self.number.setdefault(stretch, len(self.number))
+        if n == len(self.hashes):
+            self.hashes.append(h)
+        self.uses.extend((n, doc, start))
+
+
+def send_stretches(buckets: int):
     """Of documents with found anchors, the stretches that must be compared, by shard, and spans already known (negative shards)."""
     names = ["shard", "hashes", "sizes", "stretches", "uses", "ids", "keys"]
 
-    def flush(block: Block) -> Iterator[pa.RecordBatch]:
+    def flush(block: Stretches) -> Iterator[pa.RecordBatch]:
+        if not block.number:
+            return
         ids, keys = np.array(block.ids, np.int64), np.array(block.keys, np.int64)
-        uses: dict[bytes, list[tuple[int, int]]] = {}
-        hash_of: dict[bytes, int] = {}
-        for h, d, first, stretch in block.parts:
-            uses.setdefault(stretch, []).append((d, first))
-            hash_of[stretch] = h
-        known: list[tuple[int, int, int]] = []
-        sent: list[tuple[bytes, list[tuple[int, int]]]] = []
-        for stretch, own in uses.items():
-            if len(own) > 1:
-                least = min(block.ids[d] for d, _ in own)
-                known += [(d, a, a + len(stretch)) for d, a in own if block.ids[d] != least]
-                own = [(d, a) for d, a in own if block.ids[d] == least]
-            sent.append((stretch, own))
+        hashes, uses, texts = np.array(block.hashes, np.uint64), np.array(block.uses, np.int64).reshape(-1, 3), list(block.number)
+        size = np.array([len(t) for t in texts])
+        least = np.full(len(texts), np.iinfo(np.int64).max)
+        np.minimum.at(least, uses[:, 0], ids[uses[:, 1]])
+        own = ids[uses[:, 1]] == least[uses[:, 0]]
+        known, uses = uses[~own], uses[own]
         rows = []
-        if known:
-            x = np.array(known, np.int64)
-            for d, spans in per_document(x[:, 0], x[:, 1:]):
-                rows.append((-1 - int(ids[d] % shards), b"", b"", b"", spans.astype("<u4").tobytes(), ids[d].tobytes(), keys[d].tobytes()))
-        hashes = np.array([hash_of[x] for x, _ in sent], np.uint64)
-        for shard, at in by_bucket(hashes, shards):
-            own = [sent[i] for i in at.tolist()]
-            used = np.array([(j, d, a) for j, (_, u) in enumerate(own) for d, a in u], np.int64)
+        for d, spans in per_document(known[:, 1], np.column_stack((known[:, 2], known[:, 2] + size[known[:, 0]]))):
+            rows.append((-1 - int(ids[d] % buckets), b"", b"", b"", spans.astype("<u4").tobytes(), ids[d].tobytes(), keys[d].tobytes()))
+        place = np.empty(len(texts), np.int64)
+        uses = uses[np.argsort(hashes[uses[:, 0]], kind="stable")]
+        owner = hashes[uses[:, 0]] % np.uint64(buckets)
+        for shard, at in by_bucket(hashes, buckets):
+            at = at[np.argsort(hashes[at], kind="stable")]
+            place[at] = np.arange(len(at))
+            used = uses[owner == shard].copy()
+            used[:, 0] = place[used[:, 0]]
+            used = used[np.argsort(used[:, 0], kind="stable")]
             docs, used[:, 1] = np.unique(used[:, 1], return_inverse=True)
-            rows.append((shard, hashes[at].tobytes(), bytes(len(x) for x, _ in own), b"".join(x for x, _ in own), used.astype("<u4").tobytes(), ids[docs].tobytes(), keys[docs].tobytes()))
+            squeezed = zstandard.compress(b"".join(texts[i] for i in at.tolist()), 3)
+            rows.append((shard, hashes[at].tobytes(), size[at].astype(np.uint8).tobytes(), squeezed, used.astype("<u4").tobytes(), ids[docs].tobytes(), keys[docs].tobytes()))
         yield from as_batches(rows, [pa.int32(), *[pa.binary()] * 6], names, 32)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = Block()
+        block = Stretches()
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
                 data, ends, texts = _texts(part)
                 h, d, first, last = anchors(data, ends)
                 if block.full(part, len(data)):
                     yield from flush(block)
-                    block = Block()
+                    block = Stretches()
                 raw, begins = data.tobytes(), ends - np.array([len(t) for t in texts])
-                edge = np.searchsorted(d, np.arange(len(texts) + 1))
+                edge, cut_h = np.searchsorted(d, np.arange(len(texts) + 1)), short(h, buckets)
                 for i, found in enumerate(part.column("found").to_pylist()):
-                    own = slice(edge[i], edge[i + 1])
-                    hit = np.flatnonzero(np.isin(h[own], np.frombuffer(b"".join(found), np.uint64))) + edge[i]
-                    block.parts += [(x, i + len(block.ids), a - begins[i], raw[a : b + SPAN]) for x, a, b in zip(h[hit].tolist(), first[hit].tolist(), last[hit].tolist())]
+                    hit = np.flatnonzero(np.isin(cut_h[edge[i] : edge[i + 1]], unpack(b"".join(found)))) + edge[i]
+                    for x, a, b in zip(h[hit].tolist(), first[hit].tolist(), last[hit].tolist()):
+                        block.put(x, i + len(block.ids), a - int(begins[i]), raw[a : b + SPAN])
                 block.add(part, len(data))
-        if block.ids:
-            yield from flush(block)
+        yield from flush(block)
 
     return run
 
@@ -339,9 +373,9 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, cap: int = SPAN) -> np.
     return found
 
 
-def classes(stretches: list[bytes], least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def classes(stretches: list[bytes], least: np.ndarray, strings: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
     """Of the strings that start in each stretch, stretch after stretch: their class; and per class its smallest
-    document and, sorted, its string."""
+    document and, sorted, its string (if ``strings``)."""
     size = np.array([len(x) for x in stretches])
     # One is added to each byte, as UTF-8 has no 255, so that zero can divide stretches.
     text = (np.frombuffer(b"".join(x + b"\xff" for x in stretches), np.uint8) + np.uint8(1)).astype(np.uint8)
@@ -358,57 +392,89 @@ def classes(stretches: list[bytes], least: np.ndarray) -> tuple[np.ndarray, np.n
     of = np.empty(len(starts), np.int64)
     of[number[order]] = np.cumsum(new) - 1
     smallest = np.minimum.reduceat(least[stretch[number[order]]], np.flatnonzero(new))
+    if not strings:
+        return of, smallest, None
     view = np.lib.stride_tricks.sliding_window_view(text, SPAN)
     return of, smallest, np.ascontiguousarray(view[order[new]]).view(f"S{SPAN}").ravel()
 
 
 def resolve(table: pa.Table) -> pa.Table:
-    """(doc_id, key, spans): of one shard's stretches those bytes whose strings start in a smaller document."""
+    """(doc_id, key, spans): of one shard's stretches those bytes whose strings start in a smaller document.
+
+    The shard is taken in ranges of the anchor hash, so that only a few megabytes of stretches are unpacked at a time.
+    """
     rows: list[tuple[int, int, bytes]] = []
-    least: dict[tuple[int, bytes], int] = {}
-    uses, ids, keys, n = [], [], [], 0
-    number: dict[tuple[int, bytes], int] = {}
-    for row in table.to_batches(max_chunksize=16):
-        for shard, hs, sizes, joined, used, i, k in zip(*(c.to_pylist() for c in row.columns)):
+    sent, ids, keys, n, total = [], [], [], 0, 0
+    for batch in table.to_batches(max_chunksize=16):
+        # Views of the shard's own buffers: nothing is copied until a range is unpacked.
+        for shard, hs, sizes, squeezed, used, i, k in zip(batch.column(0).to_pylist(), *([x.as_buffer() for x in c] for c in batch.columns[1:])):
             i, k, used = np.frombuffer(i, np.int64), np.frombuffer(k, np.int64), np.frombuffer(used, "<u4")
             if shard < 0:
                 rows.append((int(i[0]), int(k[0]), used.tobytes()))
                 continue
-            used = used.reshape(-1, 3).astype(np.int64)
-            at, own = 0, []
-            for h, size in zip(np.frombuffer(hs, np.uint64).tolist(), sizes):
-                own.append(number.setdefault((h, joined[at : at + size]), len(number)))
-                at += size
-            uses.append(np.column_stack((np.array(own)[used[:, 0]], used[:, 1] + n, used[:, 2])))
+            ends = np.cumsum(np.frombuffer(sizes, np.uint8), dtype=np.int64)
+            sent.append((np.frombuffer(hs, np.uint64), ends, squeezed, used.reshape(-1, 3), n))
             ids.append(i)
             keys.append(k)
             n += len(i)
-    if uses:
-        used, ids, keys = np.concatenate(uses), np.concatenate(ids), np.concatenate(keys)
-        least = np.full(len(number), np.iinfo(np.int64).max)
-        np.minimum.at(least, used[:, 0], ids[used[:, 1]])
-        by_hash = sorted(range(len(number)), key=(items := list(number)).__getitem__)
-        size = np.array([len(x) for _, x in items])
-        first_of = np.zeros(len(items) + 1, np.int64)
-        first_of[1:] = np.cumsum(size - SPAN + 1)
-        smallest = np.repeat(least, size - SPAN + 1)  # for a stretch that is alone with its anchor
-        for parts in arrays(by_hash, items):
-            found = [classes([items[i][1] for i in part], least[part]) for part in parts]
-            merged = [f[1].copy() for f in found]
-            for p in range(len(found)):
-                for q in range(p + 1, len(found)):
-                    at = np.minimum(np.searchsorted(found[p][2], found[q][2]), len(found[p][2]) - 1)
-                    same = np.flatnonzero(found[p][2][at] == found[q][2])
-                    np.minimum.at(merged[p], at[same], found[q][1][same])
-                    merged[q][same] = np.minimum(merged[q][same], found[p][1][at[same]])
-            for part, (of, _, _), low in zip(parts, found, merged):
-                count = size[part] - SPAN + 1
-                at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first_of[part], count)
-                smallest[at] = low[of]
-        rows += [(int(ids[d]), int(keys[d]), spans.astype("<u4").tobytes()) for d, spans in spans_of(used, ids, first_of, smallest)]
+            total += int(ends[-1])
+    if sent:
+        ids, keys = np.concatenate(ids), np.concatenate(keys)
+        steps = -(-total // RANGE_BYTES)
+        edges = [(r << 64) // steps for r in range(steps + 1)]
+        found = [x for lo, hi in zip(edges, edges[1:]) for x in _resolve_range(sent, ids, lo, hi - 1)]
+        if found:
+            x = np.concatenate(found)
+            rows += [(int(ids[d]), int(keys[d]), spans.astype("<u4").tobytes()) for d, spans in per_document(x[:, 0], x[:, 1:])]
     return pa.table([pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["doc_id", "key", "spans"])
 
 
+def _resolve_range(sent: list[tuple], ids: np.ndarray, low: int, high: int) -> Iterator[np.ndarray]:
+    """(document, start, end) spans from the stretches whose anchor hash is in the range."""
+    number: dict[tuple[int, bytes], int] = {}
+    uses = []
+    for hs, ends, squeezed, used, base in sent:
+        a, b = np.searchsorted(hs, np.uint64(low)), np.searchsorted(hs, np.uint64(high), side="right")
+        if a == b:
+            continue
+        joined = zstandard.decompress(squeezed)
+        at = ends[a - 1] if a else 0
+        own = []
+        for h, end in zip(hs[a:b].tolist(), ends[a:b].tolist()):
+            own.append(number.setdefault((h, joined[at:end]), len(number)))
+            at = end
+        u = used[np.searchsorted(used[:, 0], a) : np.searchsorted(used[:, 0], b)].astype(np.int64)
+        uses.append(np.column_stack((np.array(own)[u[:, 0] - a], u[:, 1] + base, u[:, 2])))
+    if not uses:
+        return
+    used, items = np.concatenate(uses), list(number)
+    least = np.full(len(items), np.iinfo(np.int64).max)
+    np.minimum.at(least, used[:, 0], ids[used[:, 1]])
+    by_hash = sorted(range(len(items)), key=items.__getitem__)
+    size = np.array([len(x) for _, x in items])
+    first_of = np.concatenate(([0], np.cumsum(size - SPAN + 1)))
+    smallest = np.repeat(least, size - SPAN + 1)  # for a stretch that is alone with its anchor
+    for parts in arrays(by_hash, items):
+        found = [classes([items[i][1] for i in part], least[part], len(parts) > 1) for part in parts]
+        for part, of, lowest in zip(parts, (f[0] for f in found), merged(found)):
+            count = size[part] - SPAN + 1
+            at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first_of[part], count)
+            smallest[at] = lowest[of]
+    yield from spans_of(used, ids, first_of, smallest)
+
+
+def merged(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """The smallest document of each class of each array, over all arrays: strings are looked up by binary search."""
+    low = [f[1].copy() for f in found]
+    for p in range(len(found)):
+        for q in range(p + 1, len(found)):
+            at = np.minimum(np.searchsorted(found[p][2], found[q][2]), len(found[p][2]) - 1)
+            same = np.flatnonzero(found[p][2][at] == found[q][2])
+            np.minimum.at(low[p], at[same], found[q][1][same])
+            low[q][same] = np.minimum(low[q][same], found[p][1][at[same]])
+    return low
+
+
 def arrays(by_hash: list[int], items: list[tuple[int, bytes]]) -> Iterator[list[list[int]]]:
     """Stretches that share an anchor with others, in arrays of bounded size: an anchor's in one, or if they
     are too many in several that are merged."""
@@ -436,11 +502,10 @@ def arrays(by_hash: list[int], items: list[tuple[int, bytes]]) -> Iterator[list[
         yield [part]
 
 
-def spans_of(used: np.ndarray, ids: np.ndarray, first_of: np.ndarray, smallest: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """Each document with the (start, end) spans of its strings that a smaller document has, uses taken block by block."""
-    found = []
-    for lo in range(0, len(used), 100_000):
-        s, d, a = used[lo : lo + 100_000].T
+def spans_of(used: np.ndarray, ids: np.ndarray, first_of: np.ndarray, smallest: np.ndarray) -> Iterator[np.ndarray]:
+    """(document, start, end) of the strings that a smaller document has, uses taken block by block."""
+    for lo in range(0, len(used), 20_000):
+        s, d, a = used[lo : lo + 20_000].T
         count = first_of[s + 1] - first_of[s]
         use = np.repeat(np.arange(len(s)), count)
         offset = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
@@ -452,10 +517,7 @@ def spans_of(used: np.ndarray, ids: np.ndarray, first_of: np.ndarray, smallest:
         new[1:] = (use[1:] != use[:-1]) | (offset[1:] != offset[:-1] + 1)
         head = np.flatnonzero(new)
         tail = np.append(head[1:], len(go)) - 1
-        found.append(np.column_stack((d[use[head]], a[use[head]] + offset[head], a[use[head]] + offset[tail] + SPAN)))
-    if found:
-        x = np.concatenate(found)
-        yield from per_document(x[:, 0], x[:, 1:])
+        yield np.column_stack((d[use[head]], a[use[head]] + offset[head], a[use[head]] + offset[tail] + SPAN))
 
 
 def removed(text: bytes, spans: np.ndarray) -> np.ndarray:
@@ -487,7 +549,9 @@ def finish(digests: bool):
 def deduplicate(docs: DataFrame, *, digests: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans) and the remaining bytes, or their digest, of each row."""
     ship(docs.sparkSession)
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
+    # A plain column where it can be: an alias would keep the two joins from sharing their exchange.
+    number = F.col("doc_id") if docs.schema["doc_id"].dataType == LongType() else F.col("doc_id").cast("long").alias("doc_id")
+    keyed = docs.select(number, F.xxhash64("text").alias("key"), "text")
     texts = keyed.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= SPAN))
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(4, -(-total // BUCKET_TEXT))
@@ -496,6 +560,9 @@ def deduplicate(docs: DataFrame, *, digests: bool = False) -> DataFrame:
     found = met.groupBy("doc_id", "key").agg(F.collect_list("found").alias("found"))
     stretches = texts.join(found, ["doc_id", "key"]).mapInArrow(send_stretches(buckets), "shard int, hashes binary, sizes binary, stretches binary, uses binary, ids binary, keys binary")
     resolved = stretches.groupBy("shard").applyInArrow(resolve, "doc_id long, key long, spans binary")
-    spans = cut(resolved).groupBy("doc_id", "key").agg(F.collect_list("spans").alias("spans"))
+    spans = resolved.groupBy("doc_id", "key").agg(F.collect_list("spans").alias("spans"))
     kept = "kept_sha256 string" if digests else "kept binary"
-    return keyed.join(spans, ["doc_id", "key"], "left").select("doc_id", "text", "spans").mapInArrow(finish(digests), f"doc_id long, n_bytes long, n_removed long, n_spans long, {kept}")
+    # The same exchange of texts serves this join and the one above; texts that can't lose anything don't move.
+    long = texts.join(spans, ["doc_id", "key"], "left").select("doc_id", "text", "spans")
+    rest = keyed.where(F.col("doc_id").isNull() | (F.coalesce(F.octet_length("text"), F.lit(0)) < SPAN)).select("doc_id", "text", F.lit(None).cast("array<binary>").alias("spans"))
+    return long.unionByName(rest).mapInArrow(finish(digests), f"doc_id long, n_bytes long, n_removed long, n_spans long, {kept}")
