@@ -17,11 +17,15 @@ Edge cases: a null or empty text, or one without words, has no shingle and is li
 of fewer than five words is one shingle; a row without doc_id is linked with nothing, has a null component
 and is kept; repeated rows share a component (and are all kept or all dropped); columns other than
 doc_id and text are ignored by ``components`` and kept by ``deduplicated``; texts are read whole.
+
+The least percentage is a parameter, and bands, samples a band and screen go with it: they must leave links at
+that percentage next to no chance of being missed. The defaults are those of op3_minhash_near_dedup.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +37,6 @@ from .common import WordHashes, as_bytes, cut, map_slices, mix, shingle_hashes,
 
 WORDS = 5
 BANDS, ROWS = 24, 6
-SAMPLES = BANDS * ROWS
 #: A link: 100 * intersection >= LEAST_PERCENT * union.
 LEAST_PERCENT = 85
 SKETCH_WORDS = 8
@@ -43,10 +46,13 @@ SCREEN = 0.70
 BLOCK = 1000
 PAIR_BATCH_TEXTS = 64
 
-_rng = np.random.default_rng(0x0DD5)
-_FACTOR = _rng.integers(1 << 31, 1 << 32, SAMPLES, np.uint32) | np.uint32(1)
-_SHIFT = _rng.integers(0, 1 << 32, SAMPLES, np.uint32)
-_SEEDS = mix(np.arange(1, SAMPLES + 1, dtype=np.uint64))
+
+@cache
+def permutations(samples: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(factors, shifts, seeds) of so many samples."""
+    rng = np.random.default_rng(0x0DD5)
+    factors = rng.integers(1 << 31, 1 << 32, samples, np.uint32) | np.uint32(1)
+    return factors, rng.integers(0, 1 << 32, samples, np.uint32), mix(np.arange(1, samples + 1, dtype=np.uint64))
 
 
 def shingle_set(text: bytes, hashes: WordHashes) -> np.ndarray:
@@ -54,33 +60,35 @@ def shingle_set(text: bytes, hashes: WordHashes) -> np.ndarray:
     return np.unique(shingle_hashes(hashes.of(text.lower().split()), WORDS))
 
 
-def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def signatures(sets: list[np.ndarray], bands: int = BANDS, rows: int = ROWS) -> tuple[np.ndarray, np.ndarray]:
     """(band keys, sketch words) of non-empty sets."""
+    samples = bands * rows
+    factors, shifts, seeds = permutations(samples)
     flat = (np.concatenate(sets) >> np.uint64(32)).astype(np.uint32)
     sizes = np.array([len(s) for s in sets])
     starts = np.cumsum(sizes) - sizes
-    low = np.empty((SAMPLES, len(sets)), np.uint32)
-    for i in range(SAMPLES):
-        low[i] = np.minimum.reduceat(flat * _FACTOR[i] + _SHIFT[i], starts)
-    tagged = mix(low.astype(np.uint64) + _SEEDS[:, None])
-    keys = np.zeros((BANDS, len(sets)), np.uint64)
-    for r in range(ROWS):
-        keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + tagged[r::ROWS])
+    low = np.empty((samples, len(sets)), np.uint32)
+    for i in range(samples):
+        low[i] = np.minimum.reduceat(flat * factors[i] + shifts[i], starts)
+    tagged = mix(low.astype(np.uint64) + seeds[:, None])
+    keys = np.zeros((bands, len(sets)), np.uint64)
+    for r in range(rows):
+        keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + tagged[r::rows])
     bits = (tagged >> np.uint64(20)) % np.uint64(64 * SKETCH_WORDS)
     sketch = np.zeros((len(sets), SKETCH_WORDS), np.uint64)
-    rows = np.arange(len(sets))
-    for i in range(SAMPLES):
-        sketch[rows, (bits[i] >> np.uint64(6)).astype(np.int64)] ^= np.uint64(1) << (bits[i] & np.uint64(63))
+    at = np.arange(len(sets))
+    for i in range(samples):
+        sketch[at, (bits[i] >> np.uint64(6)).astype(np.int64)] ^= np.uint64(1) << (bits[i] & np.uint64(63))
     return keys.T, sketch
 
 
-def most_bits(similarity: float) -> int:
+def most_bits(similarity: float, samples: int = BANDS * ROWS) -> int:
     """Population count of the XOR that is expected at this similarity."""
     n = 64 * SKETCH_WORDS
-    return int(n / 2 * (1 - np.exp(-4 * SAMPLES * (1 - similarity) / n)))
+    return int(n / 2 * (1 - np.exp(-4 * samples * (1 - similarity) / n)))
 
 
-def sign(docs: DataFrame) -> DataFrame:
+def sign(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, n_shingles, digest of the set, band keys, sketch) of each row; the last three null for empty sets."""
     kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
 
@@ -92,7 +100,7 @@ def sign(docs: DataFrame) -> DataFrame:
             full = [i for i, s in enumerate(sets) if len(s)]
             columns: list[list] = [[len(s) for s in sets], *([None] * len(sets) for _ in range(3))]
             if full:
-                keys, sketches = signatures([sets[i] for i in full])
+                keys, sketches = signatures([sets[i] for i in full], bands, rows)
                 for i, k, s in zip(full, keys.astype(np.int64).tolist(), sketches.astype(np.int64).tolist()):
                     columns[1][i], columns[2][i], columns[3][i] = xxhash.xxh3_128_digest(sets[i].tobytes()), k, s
             return pa.RecordBatch.from_arrays([part.column("doc_id"), *map(pa.array, columns, kinds)], names=["doc_id", "n_shingles", "digest", "bands", "sketch"])
@@ -102,7 +110,7 @@ def sign(docs: DataFrame) -> DataFrame:
     return map_slices(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), work, "doc_id long, n_shingles long, digest binary, bands array<long>, sketch array<long>")
 
 
-def confirm(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def confirm(docs: DataFrame, pairs: DataFrame, least_percent: int = LEAST_PERCENT) -> DataFrame:
     """The (a, b) of ``pairs`` whose full shingle sets are similar enough."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull() & (F.length("text") > 0))
     joined = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
@@ -118,7 +126,7 @@ def confirm(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                         last, first = a, shingle_set(a, hashes)
                     second = shingle_set(b, hashes)
                     both = len(np.intersect1d(first, second, assume_unique=True))
-                    good.append(100 * both >= LEAST_PERCENT * (len(first) + len(second) - both))
+                    good.append(100 * both >= least_percent * (len(first) + len(second) - both))
                 yield part.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     ship(docs.sparkSession)
@@ -148,9 +156,10 @@ def connected(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def components(docs: DataFrame) -> DataFrame:
+def components(docs: DataFrame, least_percent: int = LEAST_PERCENT, bands: int = BANDS, rows: int = ROWS, screen: float | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each row."""
-    signed = cut(sign(docs))
+    bits = most_bits(SCREEN if screen is None else screen, bands * rows)
+    signed = cut(sign(docs, bands, rows))
     best = F.min(F.struct("doc_id", "bands", "sketch"))
     classes = cut(signed.where("digest is not null and doc_id is not null").groupBy("digest").agg(best.alias("x")).select("digest", F.col("x.doc_id").alias("id"), "x.bands", "x.sketch"))
     buckets = classes.select("id", F.explode("bands").alias("key"))
@@ -160,10 +169,10 @@ def components(docs: DataFrame) -> DataFrame:
 
     def screened(pairs: DataFrame) -> DataFrame:
         joined = pairs.join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), "a").join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), "b")
-        return joined.where(differing_bits(F.col("sa"), F.col("sb")) <= most_bits(SCREEN)).select("a", "b")
+        return joined.where(differing_bits(F.col("sa"), F.col("sb")) <= bits).select("a", "b")
 
     stars = shared.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
-    links = cut(confirm(docs, screened(stars)))
+    links = cut(confirm(docs, screened(stars), least_percent))
     labels = connected(links)
 
     placed = shared.join(labels.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", F.coalesce("label", "id").alias("part"))
@@ -171,9 +180,9 @@ def components(docs: DataFrame) -> DataFrame:
     rest = cut(placed.join(mixed, "key").join(sketches, "id").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")))
     left = rest.select("key", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), *(F.col(c).alias(c + "_a") for c in ("id", "part", "sketch")))
     right = rest.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *(F.col(c).alias(c + "_b") for c in ("id", "part", "sketch")))
-    across = left.join(right, ["key", "block"]).where((F.col("part_a") < F.col("part_b")) & (differing_bits(F.col("sketch_a"), F.col("sketch_b")) <= most_bits(SCREEN)))
+    across = left.join(right, ["key", "block"]).where((F.col("part_a") < F.col("part_b")) & (differing_bits(F.col("sketch_a"), F.col("sketch_b")) <= bits))
     pairs = across.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    more = confirm(docs, pairs)
+    more = confirm(docs, pairs, least_percent)
     label_of = lambda side: labels.select(F.col("node").alias(side), F.col("label").alias("label_" + side))
     named = more.join(label_of("a"), "a", "left").join(label_of("b"), "b", "left").select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b"))
     merged = connected(named)
@@ -185,7 +194,7 @@ def components(docs: DataFrame) -> DataFrame:
     return member.select("doc_id", "n_shingles", linked.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, least_percent: int = LEAST_PERCENT, bands: int = BANDS, rows: int = ROWS, screen: float | None = None) -> DataFrame:
     """``docs`` without the rows that aren't kept."""
-    dropped = components(docs).where("not kept").select("doc_id").distinct()
+    dropped = components(docs, least_percent, bands, rows, screen).where("not kept").select("doc_id").distinct()
     return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
