@@ -30,7 +30,9 @@ LEVELS = ("domain", "lang", "source")
 MAX_LEAVES = 100_000
 #: Rows that a range of the ordering hash holds, about.
 RANGE_ROWS = 20_000
-Path = tuple[str, ...]
+Path = tuple[str | None, ...]
+#: A weight for (*node, OTHER) makes the node's children without a weight share in it by size.
+OTHER = None
 
 
 def share(budget: int, capacity: Mapping[str, int], weights: Mapping[str, Fraction]) -> dict[str, int]:
@@ -57,7 +59,11 @@ def share(budget: int, capacity: Mapping[str, int], weights: Mapping[str, Fracti
 
 
 def budgets(available: Mapping[Path, int], weights: Mapping[Path, float], total: int, max_epochs: int) -> dict[Path, int]:
-    """Tokens to take from each leaf. A node without a weight has its share of its parent's tokens, if no sibling has one, else 0."""
+    """Tokens to take from each leaf. A node without a weight has its share of its parent's tokens, if no sibling has one, else 0.
+
+    Where the parent has a weight for OTHER, it has that multiple of its share of the parent's tokens beside weighted
+    siblings, which split what that leaves (nothing, if it is all) by their weights.
+    """
     children: dict[Path, set[str]] = {}
     size: dict[Path, int] = {}
     for path, n in available.items():
@@ -68,8 +74,12 @@ def budgets(available: Mapping[Path, int], weights: Mapping[Path, float], total:
 
     def weights_under(node: Path) -> dict[str, Fraction]:
         names = children[node]
-        if any((*node, c) in weights for c in names):
-            return {c: Fraction(weights.get((*node, c), 0)) for c in names}
+        own = {c: Fraction(weights[(*node, c)]) for c in names if (*node, c) in weights}
+        if own:
+            scale = Fraction(weights.get((*node, OTHER), 0)) / max(size[node], 1)
+            rest = {c: scale * size[(*node, c)] for c in names if c not in own}
+            left, total = max(1 - sum(rest.values()), Fraction(0)), sum(own.values()) or 1
+            return {c: w * left / total for c, w in own.items()} | rest
         return {c: Fraction(size[(*node, c)]) for c in names}
 
     def capacity(node: Path) -> int:

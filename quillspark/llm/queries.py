@@ -35,9 +35,10 @@ def mixture_levels() -> list:
     return [domain, F.col("lang"), F.col("source")]
 
 
-#: Weights of domains and, within each, of languages; sources share by size.
+#: Weights of domains and, within each, of languages; a null or further language has its share of the domain's tokens,
+#: and the four split the rest. Sources share by size.
 MIXTURE = {("web",): 0.4, ("books",): 0.25, ("code",): 0.15, ("reference",): 0.2} | {
-    (d, lang): w for d in ("web", "books", "code", "reference") for lang, w in (("en", 0.5), ("de", 0.2), ("fr", 0.2), ("es", 0.1))
+    (d, lang): w for d in ("web", "books", "code", "reference") for lang, w in (("en", 0.5), ("de", 0.2), ("fr", 0.2), ("es", 0.1), (mixing.OTHER, 1))
 }
 MIX_SEED = 20
 
