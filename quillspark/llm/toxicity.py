@@ -4,8 +4,9 @@ A sentence's probability is a logistic sum over its distinct words, each with it
 to six letters as features; a document is toxic if any sentence
 is (noisy-or), and document labels alone train the weights. The sentence probabilities then point
 at the offending sentences. Training gathers at most ``sample_rows`` labelled texts and
-``sample_bytes`` bytes of them, chosen by a hash of the text, so the driver's share is bounded; the fitted
-word weights are bounded by the sample. Scoring reads every whole text and only the text.
+``sample_bytes`` bytes of them, chosen by a hash of the id, so the driver's share is bounded; a text that does
+not fit is left out alone, and long texts are taken after the others. The fitted word weights are bounded by
+the sample. Scoring reads every whole text and only the text.
 
 Edge cases: a null or empty text has no sentence and score 0; repeated rows score alike; labels that are
 null or for which there is no document are left out; documents labelled twice count once for each label;
@@ -17,12 +18,12 @@ from __future__ import annotations
 import re
 from array import array
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import CACHE_WORDS, map_slices
@@ -30,6 +31,8 @@ from .common import CACHE_WORDS, map_slices
 #: Documents whose crc32 of the id, modulo FOLDS, is HELD_OUT are never learnt from.
 FOLDS, HELD_OUT = 4, 2
 SAMPLE_ROWS, SAMPLE_BYTES = 4_000, 16_000_000
+#: Texts of over so many times the mean room of a row are long.
+LONG = 25
 #: A feature is used if it is in so many toxic documents, and so many times as common there.
 LEAST_DOCS, LEAST_LIFT = 4, 3
 PREFIXES = (4, 5, 6)
@@ -119,15 +122,30 @@ def fit(texts: list[str], labels: list[int], *, steps: int = 400, rate: float =
     return Model(float(b), {x: float(i) for x, i in zip(number, w) if abs(i) > 0.02})
 
 
+def fitting(sizes: Sequence[int], room: int, long: float) -> list[int]:
+    """Places of the sizes that fit the room together, taken in order but those over ``long`` last."""
+    taken = []
+    for i in sorted(range(len(sizes)), key=lambda i: sizes[i] > long):
+        if sizes[i] <= room:
+            room -= sizes[i]
+            taken.append(i)
+    return sorted(taken)
+
+
 def train(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> Model:
     """A model from labelled documents outside the held-out fold; which of them is a matter of a hash."""
     usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample_rows)
-    rows = chosen.join(docs.select("doc_id", "text").where(F.length("text") > 0), "doc_id").select("text", "toxic", F.xxhash64("doc_id").alias("at"), F.octet_length("text").alias("bytes"))
-    # At most sample_rows rows are in this one window.
-    within = F.sum("bytes").over(Window.orderBy("at", "text", "toxic").rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("until", within).where(F.col("until") <= sample_bytes).select("text", "toxic").toArrow()
-    return fit(rows.column("text").to_pylist(), rows.column("toxic").to_pylist())
+    texts = docs.where(F.length("text") > 0).select("doc_id", F.xxhash64("text").alias("text_hash"), F.octet_length("text").alias("bytes"), "text")
+    sized = texts.drop("text").where(F.col("bytes") <= sample_bytes)
+    rows = usable.join(sized, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text_hash", "toxic").limit(sample_rows).collect()
+    rows = [rows[i] for i in fitting([r["bytes"] for r in rows], sample_bytes, LONG * sample_bytes / max(sample_rows, 1))]
+    if not rows:
+        return fit([], [])
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    wanted = docs.sparkSession.createDataFrame(sorted({(r["doc_id"], r["text_hash"]) for r in rows}), f"doc_id {kind}, text_hash long")
+    found = texts.join(F.broadcast(wanted), ["doc_id", "text_hash"]).groupBy("doc_id", "text_hash").agg(F.first("text").alias("text")).toArrow()
+    text_of = {(r["doc_id"], r["text_hash"]): r["text"] for r in found.to_pylist()}
+    return fit([text_of[r["doc_id"], r["text_hash"]] for r in rows], [r["toxic"] for r in rows])
 
 
 def score(docs: DataFrame, model: Model, *, threshold: float = 0.3, sentence_threshold: float = 0.3) -> DataFrame:
