@@ -2,7 +2,7 @@
 
 Case, punctuation, copyright lines and equivalent spellings are normalised by built-in functions, the
 result is digested, and digests are hash-joined with those of known licences. Lines that speak of a
-licence are looked up alike. Edge cases: a null or empty text has the digest of the empty text and no
+licence are looked up alike: in a constant map, or by a hash join where the table is large; results are the same. Edge cases: a null or empty text has the digest of the empty text and no
 licence; repeated rows each have a row; a null doc_id is carried along; columns other than those named are
 ignored; a text is digested whole, however long.
 """
@@ -95,14 +95,18 @@ def scan(docs: DataFrame, texts=KNOWN) -> DataFrame:
     table = known(spark, texts)
     table = F.broadcast(table) if small else table
     ids = docs.select("doc_id", "text")
+    lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.lower(x).rlike("licen[cs]"))
     if small:  # the bounded table as a constant map, so that lines need no shuffle
         pairs = [F.lit(x) for r in table.collect() for x in (r.license_digest, r.license_id)]
-        lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.lower(x).rlike("licen[cs]"))
         named = F.transform(lines, lambda x: F.try_element_at(F.create_map(*pairs), digest(x)))
         notices = F.array_join(F.array_sort(F.array_distinct(F.filter(named, lambda x: x.isNotNull()))), ",")
-    else:
-        notices = F.lit(None).cast("string")
-    seen = ids.select("doc_id", digest(F.col("text")).alias("license_digest"), notices.alias("line_licenses"))
+        seen = ids.select("doc_id", digest(F.col("text")).alias("license_digest"), notices.alias("line_licenses"))
+    else:  # lines depend on the text alone, so its digest is the key of a row's licences
+        text_key = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_key")
+        said = ids.select(text_key, F.explode(lines).alias("line")).select("text_key", digest(F.col("line")).alias("license_digest")).distinct()
+        named = said.join(table, "license_digest").groupBy("text_key").agg(F.array_join(F.array_sort(F.collect_set("license_id")), ",").alias("named"))
+        seen = ids.select("doc_id", digest(F.col("text")).alias("license_digest"), text_key).join(named, "text_key", "left")
+        seen = seen.select("doc_id", "license_digest", F.coalesce("named", F.lit("")).alias("line_licenses"))
     return seen.join(table, "license_digest", "left").select("doc_id", "license_digest", "license_id", F.col("license_id").isNotNull().alias("is_license"), "line_licenses")
 
 
