@@ -10,6 +10,7 @@ ignored; a text is digested whole, however long.
 from __future__ import annotations
 
 from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -72,6 +73,12 @@ Permission is granted to anyone to use this software for any purpose, including
 BROADCAST_ROWS = 100_000
 
 
+def listed(folder: str | Path) -> tuple[tuple[str, str], ...]:
+    """KNOWN and the whole texts of a folder's files, each named by its licence, such as MPL-2.0.txt."""
+    files = sorted(p for p in Path(folder).iterdir() if p.suffix == ".txt" and p.is_file())
+    return KNOWN + tuple((p.stem, p.read_text("utf-8")) for p in files)
+
+
 def canonical(text: Column) -> Column:
     lines = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "\n"), lambda x: ~x.rlike(OWNER_LINE))
     plain = F.regexp_replace(F.replace(F.array_join(lines, "\n"), F.lit("&"), F.lit(" and ")), QUOTES, "")

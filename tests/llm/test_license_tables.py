@@ -13,3 +13,14 @@ def test_both_branches_give_the_same_rows(spark, docs, monkeypatch):
     monkeypatch.setattr(license_scan, "BROADCAST_ROWS", 1)
     assert rows(license_scan.scan(df)) == want
     assert license_scan.scan(df.limit(0)).count() == 0
+
+
+def test_whole_texts_of_a_folder(spark, tmp_path):
+    unlicense = "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish or use this software."
+    (tmp_path / "Unlicense.txt").write_text(unlicense)
+    (tmp_path / "notes.md").write_text("not a licence")
+    rows = [(1, "Copyright (c) 2021 A. Person\n" + unlicense.upper()), (2, license_scan.KNOWN[0][1]), (3, "not a licence")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["license_id"], r["is_license"]) for r in license_scan.scan(df, license_scan.listed(tmp_path)).collect()}
+    assert got == {1: ("Unlicense", True), 2: ("MIT", True), 3: (None, False)}
+    assert {r["doc_id"]: r["license_id"] for r in license_scan.scan(df).collect()} == {1: None, 2: "MIT", 3: None}
