@@ -69,6 +69,23 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         yield batch.slice(start)
 
 
+def groups(batches: Iterable[pa.RecordBatch], column: str) -> Iterator[list[pa.RecordBatch]]:
+    """The parts of each run of equal values of a column that the batches are sorted by."""
+    last, parts = None, []
+    for batch in batches:
+        values = batch.column(column).to_numpy(zero_copy_only=False)
+        edges = [0, *(np.flatnonzero(values[1:] != values[:-1]) + 1).tolist(), batch.num_rows]
+        for a, b in zip(edges, edges[1:]):
+            if a < b:
+                if parts and values[a] != last:
+                    yield parts
+                    parts = []
+                last = values[a]
+                parts.append(batch.slice(a, b - a))
+    if parts:
+        yield parts
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each text; a null counts as empty."""
     return [b if b is not None else b"" for b in column.cast(pa.binary()).to_pylist()]

@@ -5,7 +5,7 @@ where strings can repeat at all:
 
 1. Each 50-byte string has an anchor, the leftmost smallest hash among its 31 substrings of 20 bytes
    (winnowing; Schleimer, Wilkerson and Aiken, 2003), so equal strings have equal anchors. Anchor hashes go to
-   hash buckets, and those found in two documents come back to their documents.
+   hash buckets with their document's number, and those found in two documents come back to their documents.
 2. The stretch of text around such an anchor (its strings and no others) goes to a shard by the anchor's
    hash. Copies of a stretch collapse before they move: within a task's block of text only the earliest
    document's stretch is sent, the others are covered by it whole.
@@ -15,12 +15,13 @@ where strings can repeat at all:
    merged by binary search. A string is removed from all but the earliest document of its class.
 
 Texts move only in the joins with their own anchors and spans; equal strings of a hot class meet as one row
-per block of text, never as one row per document.
+per block of text, never as one row per document. What a block sends is the same bytes however many buckets
+and shards there are; a task takes whole buckets and shards, one after the other.
 
 Edge cases: a null or empty text has no bytes and the digest of the empty string; texts under 50 bytes lose
 nothing; a row without doc_id neither loses nor removes anything; repeated rows (one doc_id) don't remove
-from each other and get equal results; columns other than doc_id and text are ignored; texts of any
-length are treated whole.
+from each other; one doc_id with several texts is one document, of which each row loses its own bytes;
+columns other than doc_id and text are ignored; texts of any length are treated whole, anchors window by window.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from __future__ import annotations
 import hashlib
 from array import array
 from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -36,19 +38,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import mix, ship, slices
+from .common import groups, mix, ship, slices
 
 SPAN, GRAM = 50, 20
 GRAMS = SPAN - GRAM + 1
-#: Text that a task takes together before it sends what it found.
-BLOCK_BYTES = 8 << 20
-SLICE_BYTES = 1 << 20
-#: Text whose anchors a bucket holds, about; and bytes of stretches in one suffix array.
-BUCKET_TEXT = 40 << 20
-ARRAY_BYTES = 1 << 20
-#: Stretches of a shard that are unpacked together, in bytes.
-RANGE_BYTES = 4 << 20
-SEVERAL = 0xFFFF
+
+
+class Limits(NamedTuple):
+    """How much is held at once; results don't depend on any of it."""
+
+    #: Text that a task takes together before it sends what it found, in bytes and rows.
+    block_bytes: int = 8 << 20
+    block_rows: int = 60_000
+    slice_bytes: int = 1 << 20
+    #: String starts whose anchors are found together.
+    window: int = 1 << 20
+    #: Text whose anchors a bucket holds, about.
+    bucket_text: int = 24 << 20
+    #: Stretches of a shard that are unpacked together, and those in one suffix array, in bytes.
+    range_bytes: int = 4 << 20
+    array_bytes: int = 1 << 20
+    #: Tasks that buckets and shards are spread over at most; beyond, a task takes several one by one.
+    tasks: int = 20_000
+
+
+LIMITS = Limits()
 
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64))
 _STEP = [int(x) | 1 for x in mix(np.arange(300, 306, dtype=np.uint64))]
@@ -65,28 +79,36 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     return mix(h)
 
 
-def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+def anchors(data: np.ndarray, ends: np.ndarray, window: int = LIMITS.window) -> tuple[np.ndarray, ...]:
     """(hash, document, first string, last string) of each anchor of the texts that end at ``ends``."""
+    found = [_anchors(data[a : a + window + SPAN - 1], a, ends) for a in range(0, max(1, len(data) - SPAN + 1), window)]
+    h, at, owner, first, last = (np.concatenate(x) for x in zip(*found))
+    if len(found) > 1:  # an anchor may go on in the next window
+        head = np.flatnonzero(_changed(at) | _changed(owner))
+        h, owner, first, last = h[head], owner[head], first[head], last[np.append(head[1:], len(last)) - 1] if len(head) else last
+    return h, owner, first, last
+
+
+def _anchors(data: np.ndarray, begin: int, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(hash, place, document, first string, last string) of the anchors of strings that start in a window."""
     none = np.zeros(0, np.int64)
     if len(data) < SPAN:
-        return none.astype(np.uint64), none, none, none
+        return none.astype(np.uint64), none, none, none, none
     h = gram_hashes(data)
     value, place = h, np.arange(len(h), dtype=np.int32)
     for shift in (1, 2, 4, 8, 15):
         later = value[shift:] < value[:-shift]
         value, place = np.where(later, value[shift:], value[:-shift]), np.where(later, place[shift:], place[:-shift])
-    begins = np.concatenate(([0], ends[:-1]))
-    doc = np.repeat(np.arange(len(ends), dtype=np.int32), ends - begins)[: len(place)]
-    valid = np.arange(len(place)) + SPAN <= ends[doc]
-    starts = np.flatnonzero(valid)
+    low, high = np.searchsorted(ends, (begin, begin + len(place) - 1), side="right")
+    edges = np.clip(np.concatenate(([0], ends[low:high], [begin + len(place)])) - begin, 0, len(place))
+    doc = np.repeat(np.arange(low, high + 1, dtype=np.int32), np.diff(edges))
+    starts = np.flatnonzero(np.arange(begin + SPAN, begin + SPAN + len(place)) <= ends[doc])
     if not starts.size:
-        return none.astype(np.uint64), none, none, none
+        return none.astype(np.uint64), none, none, none, none
     at, owner = place[starts], doc[starts]
-    new = np.ones(len(starts), bool)
-    new[1:] = (at[1:] != at[:-1]) | (owner[1:] != owner[:-1])
-    first = np.flatnonzero(new)
+    first = np.flatnonzero(_changed(at) | _changed(owner))
     last = np.append(first[1:], len(starts)) - 1
-    return h[at[first]], owner[first].astype(np.int64), starts[first], starts[last]
+    return h[at[first]], at[first].astype(np.int64) + begin, owner[first].astype(np.int64), starts[first] + begin, starts[last] + begin
 
 
 def short(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -105,17 +127,27 @@ def unpack(raw: bytes) -> np.ndarray:
     return out.reshape(-1).view("<u8")
 
 
+def planes(ids: np.ndarray, base: int) -> bytes:
+    """Ids as distances from ``base``, their low 16 bits first: the high ones are mostly zeros and compress to nothing."""
+    return (ids - np.int64(base)).astype("<i8").view("<u2").reshape(-1, 4).T.tobytes()
+
+
+def unplaned(raw: bytes, base: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, "<u2").reshape(4, -1).T).reshape(-1).view("<i8") + np.int64(base)
+
+
 class Block:
-    """Documents of one task, up to BLOCK_BYTES of text, and what was found in them."""
+    """Documents of one task, up to a block's bytes of text, and what was found in them."""
 
-    def __init__(self):
+    def __init__(self, limits: Limits):
+        self.limits = limits
         self.ids: list[int] = []
         self.keys: list[int] = []
         self.parts: list = []
         self.bytes = 0
 
     def full(self, more: pa.RecordBatch, size: int) -> bool:
-        return bool(self.ids) and (self.bytes + size > BLOCK_BYTES or len(self.ids) + more.num_rows >= SEVERAL)
+        return bool(self.ids) and (self.bytes + size > self.limits.block_bytes or len(self.ids) + more.num_rows > self.limits.block_rows)
 
     def add(self, more: pa.RecordBatch, size: int) -> None:
         self.ids += more.column("doc_id").to_pylist()
@@ -143,56 +175,52 @@ def _texts(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     return joined, np.cumsum([len(t) for t in texts]), texts
 
 
-def _grouped(keys: np.ndarray) -> np.ndarray:
-    """Starts of the runs of a sorted array."""
+def _changed(keys: np.ndarray) -> np.ndarray:
+    """Where a value isn't that before it."""
     new = np.ones(len(keys), bool)
     new[1:] = keys[1:] != keys[:-1]
-    return np.flatnonzero(new)
+    return new
+
 
+def _grouped(keys: np.ndarray) -> np.ndarray:
+    """Starts of the runs of a sorted array."""
+    return np.flatnonzero(_changed(keys))
 
-def send_anchors(buckets: int):
-    """(bucket, hashes, documents, ids, keys): a block's anchor hashes for each bucket; negative buckets hold a document's
-    hashes that its own block has in another document too."""
 
-    names = ["bucket", "hashes", "docs", "ids", "keys"]
+def send_anchors(buckets: int, limits: Limits = LIMITS):
+    """(bucket, base, hashes, ids): a block's anchor hashes for each bucket and the ids of their documents, hashes that
+    several of the block's documents have last and without; negative buckets hold the latter for each document (base)."""
 
     def flush(block: Block) -> Iterator[pa.RecordBatch]:
         h, d = (np.concatenate([p[i] for p in block.parts]) for i in (0, 1))
-        order = np.lexsort((d, h))
-        h, d = h[order], d[order]
-        once = np.ones(len(h), bool)
-        once[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
-        h, d = h[once], d[once]
-        ids, keys = np.array(block.ids, np.int64), np.array(block.keys, np.int64)
         if not len(h):
             return
+        ids = np.array(block.ids, np.int64)
+        base, own = int(ids.min()), ids[d]
+        order = np.lexsort((own, h))
+        h, own = h[order], own[order]
+        once = _changed(h) | _changed(own)
+        h, own = h[once], own[once]
         run = _grouped(h)
-        low, high = np.minimum.reduceat(ids[d], run), np.maximum.reduceat(ids[d], run)
         size = np.diff(np.append(run, len(h)))
-        several = np.repeat(low != high, size)
-        rows = []
-        own = np.argsort(d[several], kind="stable")
-        hd, dd = h[several][own], d[several][own]
-        for a, b in zip(cuts := _grouped(dd), np.append(cuts[1:], len(dd))):
-            rows.append((-1 - int(ids[dd[a]] % buckets), pack(short(hd[a:b], buckets)), b"", ids[dd[a]].tobytes(), keys[dd[a]].tobytes()))
-        head = np.zeros(len(h), bool)
-        head[run] = True
-        keep = ~several | head
-        docs = np.where(several, SEVERAL, d)[keep].astype("<u2")
-        h = h[keep]
+        several = np.repeat(size > 1, size)
+        rows = [(-1 - i % buckets, i, pack(short(x, buckets)), b"") for i, x in per_document(own[several], h[several])]
+        head = _changed(h)
+        h, own, several = h[head], own[head], several[head]
         for b, at in by_bucket(h, buckets):
-            rows.append((b, pack(short(h[at], buckets)), docs[at].tobytes(), ids.tobytes(), keys.tobytes()))
-        yield from as_batches(rows, [pa.int32(), *[pa.binary()] * 4], names)
+            at = at[np.argsort(several[at], kind="stable")]
+            rows.append((b, base, pack(short(h[at], buckets)), planes(own[at][~several[at]], base)))
+        yield from as_batches(rows, [pa.int32(), pa.int64(), pa.binary(), pa.binary()], ["bucket", "base", "hashes", "ids"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = Block()
+        block = Block(limits)
         for batch in batches:
-            for part in slices(batch, "text", SLICE_BYTES):
+            for part in slices(batch, "text", limits.slice_bytes):
                 data, ends, _ = _texts(part)
-                h, d, _, _ = anchors(data, ends)
+                h, d, _, _ = anchors(data, ends, limits.window)
                 if block.full(part, len(data)):
                     yield from flush(block)
-                    block = Block()
+                    block = Block(limits)
                 block.parts.append((h, d + len(block.ids)))
                 block.add(part, len(data))
         if block.ids:
@@ -210,38 +238,35 @@ def per_document(doc: np.ndarray, values: np.ndarray) -> Iterator[tuple[int, np.
         yield int(doc[a]), values[a:b]
 
 
-def meet(table: pa.Table) -> pa.Table:
-    """(doc_id, key, found): of one bucket's anchor hashes those in several documents, by document."""
-    rows: list[tuple[int, int, bytes]] = []
-    hashes, docs, ids, keys, n = [], [], [], [], 0
-    for b, h, d, i, k in zip(*(table.column(c).to_pylist() for c in ("bucket", "hashes", "docs", "ids", "keys"))):
-        i, k = np.frombuffer(i, np.int64), np.frombuffer(k, np.int64)
-        if b < 0:
-            rows.append((int(i[0]), int(k[0]), h))
-            continue
-        d = np.frombuffer(d, "<u2").astype(np.int64)
-        hashes.append(unpack(h))
-        docs.append(np.where(d == SEVERAL, -1, d + n))
-        ids.append(i)
-        keys.append(k)
-        n += len(i)
-    if hashes:
-        h, d, ids, keys = (np.concatenate(x) for x in (hashes, docs, ids, keys))
-        order = np.argsort(h, kind="stable")
-        h, d = h[order], d[order]
-        run = _grouped(h)
-        low = np.minimum.reduceat(np.where(d < 0, np.iinfo(np.int64).min, ids[d]), run)
-        high = np.maximum.reduceat(np.where(d < 0, np.iinfo(np.int64).max, ids[d]), run)
-        ok = np.repeat(low != high, np.diff(np.append(run, len(h)))) & (d >= 0)
-        rows += [(int(ids[x]), int(keys[x]), pack(v)) for x, v in per_document(d[ok], h[ok])]
-    return pa.table([pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["doc_id", "key", "found"])
+def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, found): of each bucket's anchor hashes those in several documents, by document."""
+    for sent in groups(batches, "bucket"):
+        rows: list[tuple[int, bytes]] = []
+        hashes, ids, several = [], [], []
+        for b, base, h, i in (row for part in sent for row in zip(*(c.to_pylist() for c in part.columns))):
+            if b < 0:
+                rows.append((base, h))
+                continue
+            hashes.append(unpack(h))
+            known = unplaned(i, base)
+            several.append(np.arange(len(hashes[-1])) >= len(known))
+            ids.append(np.append(known, np.zeros(len(hashes[-1]) - len(known), np.int64)))
+        if hashes:
+            h, ids, several = (np.concatenate(x) for x in (hashes, ids, several))
+            order = np.argsort(h, kind="stable")
+            h, ids, several = h[order], ids[order], several[order]
+            run = _grouped(h)
+            mixed = np.logical_or.reduceat(several, run) | (np.minimum.reduceat(ids, run) != np.maximum.reduceat(ids, run))
+            ok = np.repeat(mixed, np.diff(np.append(run, len(h)))) & ~several
+            rows += [(i, pack(x)) for i, x in per_document(ids[ok], h[ok])]
+        yield from as_batches(rows, [pa.int64(), pa.binary()], ["doc_id", "found"])
 
 
 class Stretches(Block):
     """A block's distinct stretches, and where each is: (number, document, start) for every use."""
 
-    def __init__(self):
-        super().__init__()
+    def __init__(self, limits: Limits):
+        super().__init__(limits)
         self.number: dict[bytes, int] = {}
         self.hashes, self.uses = array("Q"), array("q")
 
@@ -252,7 +277,7 @@ class Stretches(Block):
         self.uses.extend((n, doc, start))
 
 
-def send_stretches(buckets: int):
+def send_stretches(buckets: int, limits: Limits = LIMITS):
     """Of documents with found anchors, the stretches that must be compared, by shard, and spans already known (negative shards)."""
     names = ["shard", "hashes", "sizes", "stretches", "uses", "ids", "keys"]
 
@@ -270,12 +295,12 @@ def send_stretches(buckets: int):
         for d, spans in per_document(known[:, 1], np.column_stack((known[:, 2], known[:, 2] + size[known[:, 0]]))):
             rows.append((-1 - int(ids[d] % buckets), b"", b"", b"", spans.astype("<u4").tobytes(), ids[d].tobytes(), keys[d].tobytes()))
         place = np.empty(len(texts), np.int64)
-        uses = uses[np.argsort(hashes[uses[:, 0]], kind="stable")]
-        owner = hashes[uses[:, 0]] % np.uint64(buckets)
-        for shard, at in by_bucket(hashes, buckets):
-            at = at[np.argsort(hashes[at], kind="stable")]
+        for _, at in (shards := list(by_bucket(hashes, buckets))):
+            at[:] = at[np.argsort(hashes[at], kind="stable")]
             place[at] = np.arange(len(at))
-            used = uses[owner == shard].copy()
+        used_by = dict(by_bucket(hashes[uses[:, 0]], buckets))
+        for shard, at in shards:
+            used = uses[used_by[shard]]
             used[:, 0] = place[used[:, 0]]
             used = used[np.argsort(used[:, 0], kind="stable")]
             docs, used[:, 1] = np.unique(used[:, 1], return_inverse=True)
@@ -284,14 +309,14 @@ def send_stretches(buckets: int):
         yield from as_batches(rows, [pa.int32(), *[pa.binary()] * 6], names, 32)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = Stretches()
+        block = Stretches(limits)
         for batch in batches:
-            for part in slices(batch, "text", SLICE_BYTES):
+            for part in slices(batch, "text", limits.slice_bytes):
                 data, ends, texts = _texts(part)
-                h, d, first, last = anchors(data, ends)
+                h, d, first, last = anchors(data, ends, limits.window)
                 if block.full(part, len(data)):
                     yield from flush(block)
-                    block = Stretches()
+                    block = Stretches(limits)
                 raw, begins = data.tobytes(), ends - np.array([len(t) for t in texts])
                 edge, cut_h = np.searchsorted(d, np.arange(len(texts) + 1)), short(h, buckets)
                 for i, found in enumerate(part.column("found").to_pylist()):
@@ -398,38 +423,43 @@ def classes(stretches: list[bytes], least: np.ndarray, strings: bool = True) ->
     return of, smallest, np.ascontiguousarray(view[order[new]]).view(f"S{SPAN}").ravel()
 
 
-def resolve(table: pa.Table) -> pa.Table:
-    """(doc_id, key, spans): of one shard's stretches those bytes whose strings start in a smaller document.
+def resolve(limits: Limits = LIMITS):
+    """(doc_id, key, spans): of each shard's stretches those bytes whose strings start in a smaller document.
 
-    The shard is taken in ranges of the anchor hash, so that only a few megabytes of stretches are unpacked at a time.
+    A shard is taken in ranges of the anchor hash, so that only a few megabytes of stretches are unpacked at a time.
     """
-    rows: list[tuple[int, int, bytes]] = []
-    sent, ids, keys, n, total = [], [], [], 0, 0
-    for batch in table.to_batches(max_chunksize=16):
-        # Views of the shard's own buffers: nothing is copied until a range is unpacked.
-        for shard, hs, sizes, squeezed, used, i, k in zip(batch.column(0).to_pylist(), *([x.as_buffer() for x in c] for c in batch.columns[1:])):
-            i, k, used = np.frombuffer(i, np.int64), np.frombuffer(k, np.int64), np.frombuffer(used, "<u4")
-            if shard < 0:
-                rows.append((int(i[0]), int(k[0]), used.tobytes()))
-                continue
-            ends = np.cumsum(np.frombuffer(sizes, np.uint8), dtype=np.int64)
-            sent.append((np.frombuffer(hs, np.uint64), ends, squeezed, used.reshape(-1, 3), n))
-            ids.append(i)
-            keys.append(k)
-            n += len(i)
-            total += int(ends[-1])
-    if sent:
-        ids, keys = np.concatenate(ids), np.concatenate(keys)
-        steps = -(-total // RANGE_BYTES)
-        edges = [(r << 64) // steps for r in range(steps + 1)]
-        found = [x for lo, hi in zip(edges, edges[1:]) for x in _resolve_range(sent, ids, lo, hi - 1)]
-        if found:
-            x = np.concatenate(found)
-            rows += [(int(ids[d]), int(keys[d]), spans.astype("<u4").tobytes()) for d, spans in per_document(x[:, 0], x[:, 1:])]
-    return pa.table([pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["doc_id", "key", "spans"])
-
-
-def _resolve_range(sent: list[tuple], ids: np.ndarray, low: int, high: int) -> Iterator[np.ndarray]:
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard in groups(batches, "shard"):
+            rows: list[tuple[int, int, bytes]] = []
+            sent, ids, keys, n, total = [], [], [], 0, 0
+            for part in shard:
+                # Views of the shard's own buffers: nothing is copied until a range is unpacked.
+                for number, hs, sizes, squeezed, used, i, k in zip(part.column(0).to_pylist(), *([x.as_buffer() for x in c] for c in part.columns[1:])):
+                    i, k, used = np.frombuffer(i, np.int64), np.frombuffer(k, np.int64), np.frombuffer(used, "<u4")
+                    if number < 0:
+                        rows.append((int(i[0]), int(k[0]), used.tobytes()))
+                        continue
+                    ends = np.cumsum(np.frombuffer(sizes, np.uint8), dtype=np.int64)
+                    sent.append((np.frombuffer(hs, np.uint64), ends, squeezed, used.reshape(-1, 3), n))
+                    ids.append(i)
+                    keys.append(k)
+                    n += len(i)
+                    total += int(ends[-1])
+            if sent:
+                ids, keys = np.concatenate(ids), np.concatenate(keys)
+                steps = -(-total // limits.range_bytes)
+                edges = [(r << 64) // steps for r in range(steps + 1)]
+                found = [x for lo, hi in zip(edges, edges[1:]) for x in _resolve_range(sent, ids, lo, hi - 1, limits.array_bytes)]
+                if found:
+                    x = np.concatenate(found)
+                    rows += [(int(ids[d]), int(keys[d]), spans.astype("<u4").tobytes()) for d, spans in per_document(x[:, 0], x[:, 1:])]
+            yield from as_batches(rows, [pa.int64(), pa.int64(), pa.binary()], ["doc_id", "key", "spans"])
+
+    return run
+
+
+def _resolve_range(sent: list[tuple], ids: np.ndarray, low: int, high: int, array_bytes: int) -> Iterator[np.ndarray]:
     """(document, start, end) spans from the stretches whose anchor hash is in the range."""
     number: dict[tuple[int, bytes], int] = {}
     uses = []
@@ -454,7 +484,7 @@ def _resolve_range(sent: list[tuple], ids: np.ndarray, low: int, high: int) -> I
     size = np.array([len(x) for _, x in items])
     first_of = np.concatenate(([0], np.cumsum(size - SPAN + 1)))
     smallest = np.repeat(least, size - SPAN + 1)  # for a stretch that is alone with its anchor
-    for parts in arrays(by_hash, items):
+    for parts in arrays(by_hash, items, array_bytes):
         found = [classes([items[i][1] for i in part], least[part], len(parts) > 1) for part in parts]
         for part, of, lowest in zip(parts, (f[0] for f in found), merged(found)):
             count = size[part] - SPAN + 1
@@ -475,7 +505,7 @@ def merged(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list[np.nd
     return low
 
 
-def arrays(by_hash: list[int], items: list[tuple[int, bytes]]) -> Iterator[list[list[int]]]:
+def arrays(by_hash: list[int], items: list[tuple[int, bytes]], array_bytes: int) -> Iterator[list[list[int]]]:
     """Stretches that share an anchor with others, in arrays of bounded size: an anchor's in one, or if they
     are too many in several that are merged."""
     part: list[int] = []
@@ -489,11 +519,11 @@ def arrays(by_hash: list[int], items: list[tuple[int, bytes]]) -> Iterator[list[
         if len(group) < 2:
             continue
         total = sum(len(items[i][1]) for i in group)
-        if total > ARRAY_BYTES:
-            step = max(1, ARRAY_BYTES // (2 * SPAN))
+        if total > array_bytes:
+            step = max(1, array_bytes // (2 * SPAN))
             yield [group[i : i + step] for i in range(0, len(group), step)]
             continue
-        if part and filled + total > ARRAY_BYTES:
+        if part and filled + total > array_bytes:
             yield [part]
             part, filled = [], 0
         part += group
@@ -520,33 +550,39 @@ def spans_of(used: np.ndarray, ids: np.ndarray, first_of: np.ndarray, smallest:
         yield np.column_stack((d[use[head]], a[use[head]] + offset[head], a[use[head]] + offset[tail] + SPAN))
 
 
-def removed(text: bytes, spans: np.ndarray) -> np.ndarray:
-    """The maximal removed runs, (start, end), of a text from spans in any order."""
-    step = np.zeros(len(text) + 1, np.int64)
-    np.add.at(step, spans[:, 0], 1)
-    np.add.at(step, spans[:, 1], -1)
-    gone = np.concatenate(([False], np.cumsum(step)[:-1] > 0, [False]))
-    return np.flatnonzero(gone[1:] != gone[:-1]).reshape(-1, 2)
+def removed(spans: np.ndarray) -> np.ndarray:
+    """The maximal removed runs, (start, end), from spans in any order."""
+    spans = spans[np.argsort(spans[:, 0], kind="stable")]
+    reach = np.maximum.accumulate(spans[:, 1])
+    head = np.flatnonzero(np.append(True, spans[1:, 0] > reach[:-1]))
+    return np.column_stack((spans[head, 0], reach[np.append(head[1:], len(spans)) - 1]))
 
 
-def finish(digests: bool):
+def finish(digests: bool, limits: Limits = LIMITS):
+    names = ["n_bytes", "n_removed", "n_spans", "kept_sha256" if digests else "kept"]
+    kinds = [*[pa.int64()] * 3, pa.string() if digests else pa.binary()]
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", SLICE_BYTES):
+            for part in slices(batch, "text", limits.slice_bytes):
                 out = []
-                for text, spans in zip(part.column("text").cast(pa.binary()).to_pylist(), part.column("spans").to_pylist()):
-                    text = text or b""
-                    runs = removed(text, np.frombuffer(b"".join(spans), "<u4").reshape(-1, 2).astype(np.int64)) if spans else np.zeros((0, 2), np.int64)
+                for text, key, spans in zip(part.column("text").cast(pa.binary()).to_pylist(), part.column("key").to_pylist(), part.column("spans").to_pylist()):
+                    text, own = text or b"", [x["spans"] for x in spans or () if x["key"] == key]
+                    runs = removed(np.frombuffer(b"".join(own), "<u4").reshape(-1, 2).astype(np.int64)) if own else np.zeros((0, 2), np.int64)
                     kept = b"".join(text[a:b] for a, b in zip([0, *runs[:, 1]], [*runs[:, 0], len(text)]))
                     out.append((len(text), len(text) - len(kept), len(runs), hashlib.sha256(kept).hexdigest() if digests else kept))
-                names = ["n_bytes", "n_removed", "n_spans", "kept_sha256" if digests else "kept"]
-                kinds = [*[pa.int64()] * 3, pa.string() if digests else pa.binary()]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, t) for c, t in zip(zip(*out), kinds))], names=["doc_id", *names])
 
     return run
 
 
-def deduplicate(docs: DataFrame, *, digests: bool = False) -> DataFrame:
+def by_task(df: DataFrame, number: str, count: int, most: int) -> DataFrame:
+    """``df`` with all rows of a ``number`` together, and as few of the ``count`` numbers in a task as can be."""
+    tasks = min(count, most)
+    return df.repartitionById(tasks, F.pmod(number, F.lit(tasks))).sortWithinPartitions(number)
+
+
+def deduplicate(docs: DataFrame, *, digests: bool = False, limits: Limits = LIMITS) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans) and the remaining bytes, or their digest, of each row."""
     ship(docs.sparkSession)
     # A plain column where it can be: an alias would keep the two joins from sharing their exchange.
@@ -554,15 +590,16 @@ def deduplicate(docs: DataFrame, *, digests: bool = False) -> DataFrame:
     keyed = docs.select(number, F.xxhash64("text").alias("key"), "text")
     texts = keyed.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= SPAN))
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(4, -(-total // BUCKET_TEXT))
-    anchors_of = texts.mapInArrow(send_anchors(buckets), "bucket int, hashes binary, docs binary, ids binary, keys binary")
-    met = anchors_of.groupBy("bucket").applyInArrow(meet, "doc_id long, key long, found binary")
-    found = met.groupBy("doc_id", "key").agg(F.collect_list("found").alias("found"))
-    stretches = texts.join(found, ["doc_id", "key"]).mapInArrow(send_stretches(buckets), "shard int, hashes binary, sizes binary, stretches binary, uses binary, ids binary, keys binary")
-    resolved = stretches.groupBy("shard").applyInArrow(resolve, "doc_id long, key long, spans binary")
-    spans = resolved.groupBy("doc_id", "key").agg(F.collect_list("spans").alias("spans"))
+    buckets = max(4, -(-total // limits.bucket_text))
+    anchors_of = texts.mapInArrow(send_anchors(buckets, limits), "bucket int, base long, hashes binary, ids binary")
+    met = by_task(anchors_of, "bucket", buckets, limits.tasks).mapInArrow(meet, "doc_id long, found binary")
+    found = met.groupBy("doc_id").agg(F.collect_list("found").alias("found"))
+    stretches = texts.join(found, "doc_id").mapInArrow(send_stretches(buckets, limits), "shard int, hashes binary, sizes binary, stretches binary, uses binary, ids binary, keys binary")
+    resolved = by_task(stretches, "shard", buckets, limits.tasks).mapInArrow(resolve(limits), "doc_id long, key long, spans binary")
+    spans = resolved.groupBy("doc_id").agg(F.collect_list(F.struct("key", "spans")).alias("spans"))
     kept = "kept_sha256 string" if digests else "kept binary"
     # The same exchange of texts serves this join and the one above; texts that can't lose anything don't move.
-    long = texts.join(spans, ["doc_id", "key"], "left").select("doc_id", "text", "spans")
-    rest = keyed.where(F.col("doc_id").isNull() | (F.coalesce(F.octet_length("text"), F.lit(0)) < SPAN)).select("doc_id", "text", F.lit(None).cast("array<binary>").alias("spans"))
-    return long.unionByName(rest).mapInArrow(finish(digests), f"doc_id long, n_bytes long, n_removed long, n_spans long, {kept}")
+    long = texts.join(spans, "doc_id", "left").select("doc_id", "key", "text", "spans")
+    none = F.lit(None).cast("array<struct<key:bigint,spans:binary>>").alias("spans")
+    rest = keyed.where(F.col("doc_id").isNull() | (F.coalesce(F.octet_length("text"), F.lit(0)) < SPAN)).select("doc_id", "key", "text", none)
+    return long.unionByName(rest).mapInArrow(finish(digests, limits), f"doc_id long, n_bytes long, n_removed long, n_spans long, {kept}")

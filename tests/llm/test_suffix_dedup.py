@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quillspark.llm import suffix_dedup as s
@@ -20,11 +21,13 @@ def plain(rows):
     return sorted((i, *found[i]) for i, *_ in rows if i is not None)
 
 
-@pytest.mark.parametrize("small", [False, True])
-def test_against_all_windows(docs, corpus, monkeypatch, small):
-    if small:  # many blocks, ranges and arrays, so that everything is merged; read by the driver's workers through the closure
-        monkeypatch.setattr(s, "BUCKET_TEXT", 20_000)
-    rows = s.deduplicate(docs, digests=True).collect()
+#: Many blocks, windows, buckets a task, ranges, and arrays of one anchor that are merged.
+SMALL = s.Limits(block_bytes=3_000, block_rows=20, slice_bytes=1_000, window=700, bucket_text=5_000, range_bytes=2_000, array_bytes=200, tasks=3)
+
+
+@pytest.mark.parametrize("limits", [s.LIMITS, SMALL])
+def test_against_all_windows(docs, corpus, limits):
+    rows = s.deduplicate(docs, digests=True, limits=limits).collect()
     assert sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in rows if r["doc_id"] is not None) == plain(corpus)
     assert sum(r["n_removed"] for r in rows if r["doc_id"] is None) == 0 and sum(r["doc_id"] is None for r in rows) == 2
 
@@ -46,14 +49,13 @@ def test_suffix_array_and_prefixes():
         assert s.common_prefixes(data, np.array(order)).tolist() == want
 
 
-def test_arrays_of_one_hot_anchor_are_merged_by_binary_search(monkeypatch):
+def test_arrays_of_one_hot_anchor_are_merged_by_binary_search():
     rng = random.Random(8)
     stem = "".join(rng.choices("abc", k=50)).encode()
     texts = sorted({stem[: rng.randrange(40, 50)] + bytes(rng.choices(b"xyz", k=25)) for _ in range(300)} | {b"q" * 15 + stem + bytes([97 + i]) for i in range(20)})
     least = np.array([rng.randrange(1000) for _ in texts])
     whole = s.classes(texts, least)
-    monkeypatch.setattr(s, "ARRAY_BYTES", 2_000)
-    (parts,) = list(s.arrays(list(range(len(texts))), [(5, t) for t in texts]))
+    (parts,) = list(s.arrays(list(range(len(texts))), [(5, t) for t in texts], 2_000))
     assert len(parts) > 5
     found = [s.classes([texts[i] for i in part], least[part]) for part in parts]
     merged = np.concatenate([low[f[0]] for f, low in zip(found, s.merged(found))])
@@ -71,3 +73,34 @@ def test_anchors_are_shared_by_equal_strings():
         assert first[0] == 0 and last[-1] == len(text) - 50 and (first[1:] == last[:-1] + 1).all()
         seen.append({int(x) for x, a, b in zip(h, first, last) if a <= at <= b})
     assert len(set.intersection(*seen)) == 1
+
+
+def test_anchors_do_not_depend_on_the_window():
+    rng = random.Random(10)
+    texts = [bytes(rng.choices(b"ab ", k=n)) for n in (0, 30, 49, 50, 51, 700, 3, 2_000, 0, 120, 40)]
+    data, ends = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([len(t) for t in texts])
+    whole = [x.tolist() for x in s.anchors(data, ends)]
+    for window in (1, 7, 50, 333, 2_900):
+        assert [x.tolist() for x in s.anchors(data, ends, window)] == whole
+
+
+def test_what_a_block_sends_does_not_grow_with_the_buckets():
+    rng = random.Random(11)
+    texts = [bytes(rng.choices(b"abcdefghij klmnop", k=6_000)).decode() for _ in range(300)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": [7 * i for i in range(300)], "key": list(range(300)), "text": texts})
+    sent = [sum(len(x) for part in s.send_anchors(n)(iter([batch])) for row in zip(*(c.to_pylist() for c in part.columns[2:])) for x in row) for n in (13, 750, 7_500)]
+    assert max(sent) == min(sent)
+    assert sent[0] < 0.9 * sum(map(len, texts))
+
+
+def test_one_id_with_several_texts(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    passage, other = " ".join(word() for _ in range(30)), " ".join(word() for _ in range(30))
+    rows = [(1, f"{passage} one"), (2, f"two {passage}"), (2, f"{other} three {passage} four"), (2, other), (3, f"{other} five")]
+    got = s.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], bytes(r["kept"])) for r in got) == sorted([(1, f"{passage} one".encode()), (2, b"two "), (2, f"{other} three four".encode()), (2, other.encode()), (3, b"five")])
+
+
+def test_removed_runs():
+    assert s.removed(np.array([[60, 110], [0, 50], [50, 100], [200, 250], [205, 240]])).tolist() == [[0, 110], [200, 250]]
