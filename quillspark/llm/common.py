@@ -15,7 +15,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 #: Bytes of text that a worker handles at once.
 SLICE_BYTES = 2 << 20
@@ -69,23 +71,57 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         yield batch.slice(start)
 
 
-def groups(batches: Iterable[pa.RecordBatch], column: str) -> Iterator[list[pa.RecordBatch]]:
-    """The parts of each run of equal values of a column that the batches are sorted by."""
+def groups(batches: Iterable[pa.RecordBatch], *columns: str) -> Iterator[list[pa.RecordBatch]]:
+    """The parts of each run of equal values of the columns that the batches are sorted by."""
     last, parts = None, []
     for batch in batches:
-        values = batch.column(column).to_numpy(zero_copy_only=False)
-        edges = [0, *(np.flatnonzero(values[1:] != values[:-1]) + 1).tolist(), batch.num_rows]
+        values = [batch.column(c).to_numpy(zero_copy_only=False) for c in columns]
+        changed = np.zeros(max(batch.num_rows - 1, 0), bool)
+        for v in values:
+            changed |= v[1:] != v[:-1]
+        edges = [0, *(np.flatnonzero(changed) + 1).tolist(), batch.num_rows]
         for a, b in zip(edges, edges[1:]):
             if a < b:
-                if parts and values[a] != last:
+                if parts and (own := [v[a] for v in values]) != last:
                     yield parts
                     parts = []
-                last = values[a]
+                last = [v[a] for v in values]
                 parts.append(batch.slice(a, b - a))
     if parts:
         yield parts
 
 
+#: Rows of one key that a join leaves together, and keys that are spread at most: the hottest, so any other has
+#: fewer than a ten-thousandth of the rows.
+TOGETHER_ROWS, HOT_KEYS = 20_000, 10_000
+
+
+def hot_keys(df: DataFrame, key: str, count: Column | None = None) -> list[tuple]:
+    """(key, parts) of the keys with many rows; ``count`` is given where ``df`` has them counted."""
+    counts = df.groupBy(key).agg((F.count("*") if count is None else count).alias("n")).where(F.col("n") > TOGETHER_ROWS)
+    rows = counts.orderBy(F.col("n").desc(), key).limit(HOT_KEYS).select(key, F.ceil(F.col("n") / TOGETHER_ROWS).cast("int")).collect()
+    return [tuple(r) for r in rows]
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, by: str, *, how: str = "inner", hot: list[tuple] | None = None) -> DataFrame:
+    """``left`` joined with ``right``, in which a key is unique; hot keys of ``left`` are spread by a hash of ``by``.
+
+    The rows of ``right`` under hot keys are repeated, once for each part. ``left`` is read twice unless its hot
+    keys are given. Null keys match nothing and are spread alike.
+    """
+    hot = hot_keys(left, key) if hot is None else hot
+    if not hot:
+        return left.join(right, key, how)
+    kind = left.schema[key].dataType
+    schema = StructType([StructField(key, kind), StructField("_parts", IntegerType())])
+    parts = F.broadcast(left.sparkSession.createDataFrame([h for h in hot if h[0] is not None], schema))  # HOT_KEYS rows at most
+    lone = max((n for k, n in hot if k is None), default=1)
+    salt = F.pmod(F.xxhash64(by), F.coalesce("_parts", F.when(F.col(key).isNull(), F.lit(lone)), F.lit(1)))
+    salted = left.join(parts, key, "left").withColumn("_salt", salt).drop("_parts")
+    copies = right.join(parts, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_parts", F.lit(1)).cast("long") - 1))).drop("_parts")
+    return salted.join(copies, [key, "_salt"], how).drop("_salt")
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each text; a null counts as empty."""
     return [b if b is not None else b"" for b in column.cast(pa.binary()).to_pylist()]
