@@ -17,8 +17,8 @@ from quillspark.llm import mixing, near_dedup, piece_tokenizer, quality_rules, q
 
 #: Share of the tokens that reach the mixing stage which the mixture may spend, each document once at most.
 BUDGET_SHARE = 0.9
-#: Near copies from 80 % on; a link at exactly that shares no band with probability 6.7e-6 and is 4.6 deviations from the screen.
-NEAR = {"least_percent": 80, "bands": 30, "rows": 5, "screen": 0.62}
+#: Near copies from 80 % on; a link at exactly that shares no band with probability 6.7e-6.
+NEAR = {"least_percent": 80, "bands": 30, "rows": 5}
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
