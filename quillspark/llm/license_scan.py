@@ -2,19 +2,25 @@
 
 Case, punctuation, copyright lines and equivalent spellings are normalised by built-in functions, the
 result is digested, and digests are hash-joined with those of known licences. Lines that speak of a
-licence are looked up alike: in a constant map, or by a hash join where the table is large; results are the same. Edge cases: a null or empty text has the digest of the empty text and no
-licence; repeated rows each have a row; a null doc_id is carried along; columns other than those named are
-ignored; a text is digested whole, however long.
+licence are digested and joined alike; only rows that have one are staged and grouped for that. The known texts are the
+notices and short licences below and the files of ``licenses`` (SPDX names), each also without its title and
+without what follows its terms.
+
+Edge cases: a null or empty text has the digest of the empty text and no licence; repeated rows each have a
+row; a null doc_id is carried along; columns other than those named are ignored; a text is digested whole,
+however long; with no known texts every row has a digest and no licence.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import cache, reduce
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut, spread_join
+
 #: Lower-case lines with a match say who owns the text, not how it may be used.
 OWNER_LINE = r"^[^\p{L}\p{N}]*((portions )?copyright[^\p{L}]*(\(c\)|©|[0-9])|\(c\) *[0-9]|© *[0-9]|all rights reserved)"
 QUOTES = r"[\x{2018}\x{2019}\x{201C}\x{201D}\x{00AB}\x{00BB}\x22\x27\x60]+"
@@ -69,14 +75,28 @@ Permission is granted to anyone to use this software for any purpose, including
 3. This notice may not be removed or altered from any source distribution.""",
     ),
 )
-#: Licence tables up to so many rows are broadcast; larger ones are joined by a shuffle.
+#: Tables of up to so many known texts are broadcast, 100 bytes a row; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 100_000
+FOLDER = Path(__file__).parent / "licenses"
+TERMS_END = "END OF TERMS AND CONDITIONS"
+
+
+def variants(text: str) -> list[str]:
+    """A licence's text as it is passed on: whole, without its title, and up to the end of its terms."""
+    title, _, rest = text.strip().partition("\n\n")
+    found = [text] + [rest] * (len(title) < 40 and title.endswith("License") and bool(rest))
+    if TERMS_END in text:
+        terms = text.partition(TERMS_END)[0]
+        found += [terms, terms + TERMS_END]
+    return found
 
 
-def listed(folder: str | Path) -> tuple[tuple[str, str], ...]:
+@cache
+def listed(folder: str | Path = FOLDER) -> tuple[tuple[str, str], ...]:
     """KNOWN and the whole texts of a folder's files, each named by its licence, such as MPL-2.0.txt."""
     files = sorted(p for p in Path(folder).iterdir() if p.suffix == ".txt" and p.is_file())
-    return KNOWN + tuple((p.stem, p.read_text("utf-8")) for p in files)
+    named = [*KNOWN, *((p.stem, p.read_text("utf-8")) for p in files)]
+    return tuple((name, x) for name, text in named for x in variants(text))
 
 
 def canonical(text: Column) -> Column:
@@ -89,36 +109,36 @@ def digest(text: Column) -> Column:
     return F.sha2(canonical(text).cast("binary"), 256)
 
 
-def known(spark, texts=KNOWN) -> DataFrame:
+def known(spark, texts) -> DataFrame:
     """(license_digest, license_id), one row per digest."""
     raw = spark.createDataFrame(list(texts), "license_id string, text string")
     return raw.groupBy(digest(F.col("text")).alias("license_digest")).agg(F.min("license_id").alias("license_id"))
 
 
-def scan(docs: DataFrame, texts=KNOWN) -> DataFrame:
+def scan(docs: DataFrame, texts=None) -> DataFrame:
     """Digest and licence of each whole text, and the licences of its lines, sorted and comma-joined."""
-    spark = docs.sparkSession
-    small = len(texts) <= BROADCAST_ROWS
-    table = known(spark, texts)
-    table = F.broadcast(table) if small else table
-    ids = docs.select("doc_id", "text")
-    lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.lower(x).rlike("licen[cs]"))
-    if small:  # the bounded table as a constant map, so that lines need no shuffle
-        pairs = [F.lit(x) for r in table.collect() for x in (r.license_digest, r.license_id)]
-        named = F.transform(lines, lambda x: F.try_element_at(F.create_map(*pairs), digest(x)))
-        notices = F.array_join(F.array_sort(F.array_distinct(F.filter(named, lambda x: x.isNotNull()))), ",")
-        seen = ids.select("doc_id", digest(F.col("text")).alias("license_digest"), notices.alias("line_licenses"))
-    else:  # lines depend on the text alone, so its digest is the key of a row's licences
-        text_key = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_key")
-        said = ids.select(text_key, F.explode(lines).alias("line")).select("text_key", digest(F.col("line")).alias("license_digest")).distinct()
-        named = said.join(table, "license_digest").groupBy("text_key").agg(F.array_join(F.array_sort(F.collect_set("license_id")), ",").alias("named"))
-        seen = ids.select("doc_id", digest(F.col("text")).alias("license_digest"), text_key).join(named, "text_key", "left")
-        seen = seen.select("doc_id", "license_digest", F.coalesce("named", F.lit("")).alias("line_licenses"))
-    return seen.join(table, "license_digest", "left").select("doc_id", "license_digest", "license_id", F.col("license_id").isNotNull().alias("is_license"), "line_licenses")
-
-
-def sql(texts=KNOWN) -> str:
+    texts = listed() if texts is None else texts
+    table = known(docs.sparkSession, texts)
+
+    def looked_up(rows: DataFrame, by: str, how: str) -> DataFrame:
+        if len(texts) <= BROADCAST_ROWS:
+            return rows.join(F.broadcast(table), "license_digest", how)
+        return spread_join(cut(rows), table, "license_digest", by, how=how)
+
+    ids = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    whole, speaks = digest(F.col("text")).alias("license_digest"), F.col("text").rlike("(?i)licen[cs]")
+    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike("(?i)licen[cs]"))
+    said = cut(ids.where(speaks).select(F.monotonically_increasing_id().alias("row"), "doc_id", whole, F.array_distinct(F.transform(lines, digest)).alias("lines")))
+    each = looked_up(said.select("row", F.explode("lines").alias("license_digest")), "row", "inner")
+    named = each.groupBy("row").agg(F.array_join(F.array_sort(F.collect_set("license_id")), ",").alias("named"))
+    seen = said.join(named, "row", "left").select("doc_id", "license_digest", F.coalesce("named", F.lit("")).alias("line_licenses"))
+    rows = seen.union(ids.where(~speaks).select("doc_id", whole, F.lit("").alias("line_licenses")))
+    return looked_up(rows, "doc_id", "left").select("doc_id", "license_digest", "license_id", F.col("license_id").isNotNull().alias("is_license"), "line_licenses")
+
+
+def sql(texts=None) -> str:
     """The same scan of ``documents`` in DuckDB's SQL."""
+    texts = listed() if texts is None else texts
     quote = lambda x: "'" + x.replace("'", "''") + "'"
 
     def shape(x: str) -> str:
