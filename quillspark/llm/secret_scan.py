@@ -3,7 +3,7 @@
 Base kinds: ``assign`` (a named value), ``access`` (AKIA keys) and ``hex`` (long hexadecimal runs). The
 method adds ``opaque``: long mixed-case tokens with digits, whose hash is seen in few repositories and
 owners across the corpus; widely copied ones are examples and add nothing. Every candidate is hashed,
-hashes are counted by distinct repositories and owners, and the counts come back by a salted join.
+hashes are counted by distinct repositories and owners, and the counts come back by a join that spreads hot hashes.
 
 Edge cases: a null or empty text has no spans; a null owner or repository counts as one owner or
 repository of its own; repeated rows each keep a row, and add no owner; a null doc_id is carried along;
@@ -12,7 +12,6 @@ other columns, whatever their names, are ignored by ``scan`` and kept by ``redac
 
 from __future__ import annotations
 
-import hashlib
 import re
 
 import pyarrow as pa
@@ -20,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_slices
+from .common import cut, hot_keys, map_slices, spread_join
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 #: Matches are maximal runs, so asking for the least length here is the same as dropping shorter matches.
@@ -30,7 +29,6 @@ OPAQUE = re.compile("[A-Za-z0-9_+/-]{28,}")
 KINDS = ("assign", "access", "hex", "opaque")
 #: A value in at least so many owners, or so many repositories, is a widely copied example.
 WIDE_OWNERS, WIDE_REPOSITORIES = 3, 5
-SALTS = 16
 FOUND = "array<struct<start:int,kind:int,end:int,hash:long>>"
 
 
@@ -49,19 +47,24 @@ def find(text: str) -> list[tuple[int, int, int, str]]:
     return sorted(found)
 
 
-def _candidates(docs: DataFrame, repository: Column, owner: Column) -> DataFrame:
-    """A row per input row: row key, doc_id, owner, repository and what was found."""
-    narrow = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), owner.cast("string").alias("owner"), repository.cast("string").alias("repository"))
+def _candidates(docs: DataFrame, repository: Column, owner: Column, text_key: Column) -> DataFrame:
+    """A row per input row: row key, doc_id, owner, repository, key of the text and what was found."""
+    narrow = docs.select(
+        F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
+        owner.cast("string").alias("owner"), repository.cast("string").alias("repository"), text_key.alias("text_key"),
+    )
     kind = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32()), ("hash", pa.int64())]))
 
+    kept = ("row", "doc_id", "owner", "repository", "text_key")
+
     def work():
         def each(part: pa.RecordBatch) -> pa.RecordBatch:
             found = [[{"start": s, "kind": k, "end": e, "hash": xxhash.xxh64_intdigest(v) - (1 << 63)} for s, k, e, v in find(t or "")] for t in part.column("text").to_pylist()]
-            return pa.RecordBatch.from_arrays([*(part.column(c) for c in ("row", "doc_id", "owner", "repository")), pa.array(found, kind)], names=["row", "doc_id", "owner", "repository", "found"])
+            return pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(found, kind)], names=[*kept, "found"])
 
         return each
 
-    return map_slices(narrow, work, f"row long, doc_id long, owner string, repository string, found {FOUND}")
+    return map_slices(narrow, work, f"row long, doc_id long, owner string, repository string, text_key string, found {FOUND}")
 
 
 def ownership(found: DataFrame) -> DataFrame:
@@ -77,10 +80,9 @@ def scan(docs: DataFrame, *, repository: Column | None = None, owner: Column | N
     """(row, doc_id, spans) of each input row; spans: (start, kind name, end, owners, repositories, wide), by start, then kind."""
     owner = F.col("source") if owner is None else owner
     repository = F.concat_ws("/", "source", "lang") if repository is None else repository
-    found = cut(_candidates(docs, repository, owner))
-    salted = ownership(found).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    each = found.where(F.size("found") > 0).select("row", F.explode("found").alias("x")).withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int"))
-    joined = each.withColumn("hash", F.col("x.hash")).join(salted, ["hash", "salt"])
+    found = cut(_candidates(docs, repository, owner, F.lit("")))
+    each = found.where(F.size("found") > 0).select("row", F.explode("found").alias("x")).withColumn("hash", F.col("x.hash"))
+    joined = spread_join(each, ownership(found), "hash", "row")
     wide = (F.col("owners") >= WIDE_OWNERS) | (F.col("repositories") >= WIDE_REPOSITORIES)
     kind = F.element_at(F.array(*map(F.lit, KINDS)), F.col("x.kind") + 1)
     span = F.struct(F.col("x.start").alias("start"), F.col("x.kind").alias("rank"), kind.alias("kind"), F.col("x.end").alias("end"), "owners", "repositories", wide.alias("wide"))
@@ -89,19 +91,6 @@ def scan(docs: DataFrame, *, repository: Column | None = None, owner: Column | N
     return found.select("row", "doc_id").join(spans, "row", "left").select("row", "doc_id", chosen.alias("spans"))
 
 
-def _keyed_hashes(docs: DataFrame) -> DataFrame:
-    """(digest of the text, hash of a long token in it), without repeats."""
-
-    def work():
-        def each(part: pa.RecordBatch) -> pa.RecordBatch:
-            found = [(hashlib.sha256(t.encode()).hexdigest(), xxhash.xxh64_intdigest(v) - (1 << 63)) for t in part.column("text").to_pylist() for _, k, _, v in find(t or "") if k == 3]
-            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], (pa.string(), pa.int64())[i]) for i in (0, 1)], names=["_key", "hash"])
-
-        return each
-
-    return map_slices(docs.select("text"), work, "_key string, hash long").distinct()
-
-
 def masked(text: str, examples: set[int]) -> str:
     """The text with spans replaced, overlapping ones as one under the kind of the first."""
     out, at, until = [], 0, 0
@@ -144,14 +133,14 @@ def redact(docs: DataFrame, *, repository: Column | None = None, owner: Column |
     repository = F.concat_ws("/", "source", "lang") if repository is None else repository
     names = docs.columns
     has_token = F.coalesce(F.col("text").rlike(OPAQUE.pattern), F.lit(False))
-    tokens = docs.where(has_token)
-    found = cut(_candidates(tokens, repository, owner).select("owner", "repository", F.filter("found", lambda x: x["kind"] == 3).alias("found")))
+    tokens, key = docs.where(has_token), F.sha2(F.col("text").cast("binary"), 256)
+    found = cut(_candidates(tokens, repository, owner, key).select("owner", "repository", F.col("text_key").alias("_key"), F.filter("found", lambda x: x["kind"] == 3).alias("found")))
     wide = ownership(found).where((F.col("owners") >= WIDE_OWNERS) | (F.col("repositories") >= WIDE_REPOSITORIES)).select("hash")
-    key = F.sha2(F.col("text").cast("binary"), 256)
-    examples = _keyed_hashes(tokens).join(wide, "hash").groupBy("_key").agg(F.collect_set("hash").alias("_examples"))
+    keyed = cut(found.select("_key", F.explode("found.hash").alias("hash")).distinct())
+    examples = spread_join(keyed, wide, "hash", "_key").groupBy("_key").agg(F.collect_set("hash").alias("_examples"))
     none = F.array().cast("array<bigint>").alias("_examples")
-    joined = tokens.withColumn("_key", key).join(examples, "_key", "left").select(*names, F.coalesce("_examples", none).alias("_examples"))
-    return _replaced(joined.unionByName(docs.where(~has_token).select(*names, none)), names)
+    joined = spread_join(tokens.withColumn("_key", key), examples, "_key", "doc_id", how="left", hot=hot_keys(found, "_key"))
+    return _replaced(joined.select(*names, F.coalesce("_examples", none).alias("_examples")).unionByName(docs.where(~has_token).select(*names, none)), names)
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -167,3 +156,28 @@ def report(docs: DataFrame) -> DataFrame:
         F.size(F.filter("spans", lambda s: ~s["wide"])).cast("long").alias("n_owner_specific"),
         F.size(F.filter("spans", lambda s: s["wide"])).cast("long").alias("n_widely_copied"),
     )
+
+
+def sql() -> str:
+    """The same report on ``documents`` in DuckDB's SQL, for texts without the characters U+E000 and U+E001."""
+    either = lambda word: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+    names = "|".join(map(either, ("password", "passwd", "secret", "token"))) + "|" + either("api") + "_?" + either("key")
+    assign = f"""({names})["\'\']?\\x20*[:=]\\x20*["\'\']?([A-Za-z0-9+/_.=-]+)"""
+    patterns = (assign, ACCESS.pattern, HEX.pattern, OPAQUE.pattern)
+    begin, end = "chr(57344)", "chr(57345)"
+    marked = ", ".join(f"({k}, string_split(regexp_replace(t, '{p}', {begin} || '\\0' || {end}, 'g'), {begin}))" for k, p in enumerate(patterns))
+    kinds = "[" + ", ".join(f"'{k}'" for k in KINDS) + "]"
+    listed = "coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, k)"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, coalesce(source, '') AS owner, concat_ws('/', source, lang) AS repository FROM documents),
+split AS (SELECT r, k, ps FROM d, LATERAL (VALUES {marked}) v(k, ps) WHERE len(ps) > 1),
+piece AS (SELECT r, k, unnest(range(1, len(ps) + 1)) AS i, unnest(ps) AS p FROM split),
+placed AS (SELECT r, k, i, split_part(p, {end}, 1) AS m, sum(length(p) - (i > 1)::INTEGER) OVER (PARTITION BY r, k ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS start FROM piece),
+found AS (SELECT r, k, {kinds}[k + 1] AS kind, start, start + length(m) AS stop, CASE WHEN k = 0 THEN regexp_extract(m, '{assign}', 2) ELSE m END AS value FROM placed WHERE i > 1),
+good AS (SELECT * FROM found WHERE (k > 0 OR length(value) >= 6) AND (k < 3 OR (regexp_matches(value, '[0-9]') AND regexp_matches(value, '[a-z]') AND regexp_matches(value, '[A-Z]')))),
+owned AS (SELECT value, count(DISTINCT owner) >= {WIDE_OWNERS} OR count(DISTINCT repository) >= {WIDE_REPOSITORIES} AS wide FROM good JOIN d USING (r) GROUP BY value),
+chosen AS (SELECT * FROM good JOIN owned USING (value) WHERE k < 3 OR NOT wide),
+said AS (SELECT r, {", ".join(f"count(*) FILTER (k = {k}) AS n{k}" for k in range(4))}, {listed} FILTER (k < 3), '') AS base, {listed}, '') AS spans,
+  count(*) FILTER (NOT wide) AS own, count(*) FILTER (wide) AS copied FROM chosen GROUP BY r)
+SELECT doc_id, {", ".join(f"coalesce(n{k}, 0) AS n_{KINDS[k]}" for k in range(4))}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+  coalesce(own, 0) AS n_owner_specific, coalesce(copied, 0) AS n_widely_copied FROM d LEFT JOIN said USING (r)"""

@@ -14,7 +14,7 @@ import pytest
 from comparing import SMALL, assert_same, duck
 from pyspark.sql import functions as F
 
-from quillspark.llm import license_scan, media_columns, secret_scan, token_counts, toxicity
+from quillspark.llm import common, license_scan, media_columns, secret_scan, token_counts, toxicity
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -142,6 +142,41 @@ def test_base_spans_and_ownership(spark):
     assert secret_scan.report(df.limit(0)).count() == 0
 
 
+def test_ownership_against_plain_counts(spark, docs, corpus, monkeypatch):
+    """Counts of every value over a corpus in which values are shared by some sources and languages."""
+    rng = random.Random(6)
+    values = ["Va1" + "".join(rng.choices("abcdefghijABCDEFGHIJ0123456789", k=30)) for _ in range(12)]
+    rows = [(i, " x ".join(rng.choices(values[: 1 + i % 12], k=rng.randrange(3))), rng.choice(["s0", "s1", "s2", "s3", None]), rng.choice(["en", "de", None])) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    seen = {v: (set(), set()) for v in values}
+    for _, t, source, lang in rows:
+        for v in t.split(" x "):
+            if v:
+                seen[v][0].add(source or "")
+                seen[v][1].add("/".join(x for x in (source, lang) if x))
+    wide = {v for v, (owners, places) in seen.items() if len(owners) >= 3 or len(places) >= 5}
+    assert 0 < len(wide) < len([v for v in values if seen[v][0]])
+    want = [(i, sum(v not in wide for v in t.split(" x ") if v)) for i, t, *_ in rows]
+    masked = {i: " x ".join("<opaque>" if v and v not in wide else v for v in t.split(" x ")) for i, t, *_ in rows}
+    for together in (common.TOGETHER_ROWS, 3):
+        monkeypatch.setattr(common, "TOGETHER_ROWS", together)
+        assert sorted((r["doc_id"], r["n_opaque"]) for r in secret_scan.report(df).collect()) == want
+        assert {r["doc_id"]: r["text"] for r in secret_scan.redact(df).collect()} == masked
+    counts = {(s["start"], r["doc_id"]): (s["owners"], s["repositories"]) for r in secret_scan.scan(df).collect() for s in r["spans"]}
+    for (start, i), found in counts.items():
+        value = rows[i][1][start:].split(" x ")[0]
+        assert found == tuple(map(len, seen[value]))
+
+
+def test_secrets_as_sql(spark):
+    rows = secret_docs() + [(200, "token=ab token=abcdef", None, None), (201, "x" * 40 + " Aa1" + "b" * 40 + " deadbeefdeadbeefdeadbeef01 api_key : 'qwertyuiop'", "src9", None)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR, lang VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?, ?)", rows)
+    assert_same(secret_scan.report(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")), secret_scan.sql(), con)
+    assert_same(secret_scan.report(spark.read.parquet(f"{SMALL}/documents.parquet")), secret_scan.sql(), duck())
+
+
 def test_edge_rows_of_secret_scans(docs, corpus):
     assert secret_scan.report(docs).count() == len(corpus)
     kept = secret_scan.redact(docs)
