@@ -116,3 +116,21 @@ def store(docs: DataFrame, *, digests: bool = False) -> DataFrame:
         return each
 
     return map_slices(docs.select("doc_id", "text"), work, schema)
+
+
+def payloads(docs: DataFrame) -> DataFrame:
+    """What is stored of each row, without its features: all of it can be said in SQL."""
+    return store(docs, digests=True).drop("feature")
+
+
+def sql() -> str:
+    """The payloads of ``documents`` in DuckDB's SQL: the container's header is written out, the checksum folded bit by bit."""
+    word = lambda n: f"unhex(substring(printf('%08X', {n}), 7, 2) || substring(printf('%08X', {n}), 5, 2) || substring(printf('%08X', {n}), 3, 2) || substring(printf('%08X', {n}), 1, 2))"
+    form = (b"WAVEfmt " + (16).to_bytes(4, "little") + b"\1\0\1\0" + RATE.to_bytes(4, "little") * 2 + b"\1\0\10\0data").hex()
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+p AS (SELECT doc_id, n, n + pad AS m, encode(t || repeat(' ', pad)) AS b FROM (SELECT *, (CASE WHEN n = 0 THEN {UNIT} ELSE ({UNIT} - n % {UNIT}) % {UNIT} END)::BIGINT AS pad FROM d)),
+q AS (SELECT *, unhex(substring(hex(b), (2 * m - 31)::BIGINT, 32)) AS tail, encode('RIFF') || {word("m + 36")} || unhex('{form}') || {word("m")} || b AS media FROM p),
+c AS (SELECT *, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, 16), lambda i: ('0x' || substring(hex(tail), (2 * i + 1)::BIGINT, 2))::BIGINT)),
+  lambda a, x: list_reduce(list_prepend(xor(a, x), range(0, 8)), lambda v, _: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END)) AS crc FROM q)
+SELECT doc_id, n::BIGINT AS n_bytes, m::BIGINT AS payload_bytes, sha256(b) AS payload_sha256, xor(crc, 4294967295)::BIGINT AS tail_crc32, octet_length(media)::BIGINT AS media_bytes, sha256(media) AS media_sha256 FROM c"""

@@ -21,7 +21,7 @@ Both confirm on the full sets, and components come from label rounds with pointe
 Edge cases: a null or empty text, or one without words, has no shingle and is linked with nothing; a text
 of fewer than five words is one shingle; a row without doc_id is linked with nothing, has a null component
 and is kept; repeated rows share a component (and are all kept or all dropped); one doc_id with several texts is
-linked if any of them is; columns other than doc_id and text are ignored by ``components`` and kept by
+one document, linked if any of them is; columns other than doc_id and text are ignored by ``components`` and kept by
 ``deduplicated``; texts are read whole.
 
 The least percentage is a parameter, 50 at least, and bands and samples a band go with it: they must leave links at that
@@ -283,6 +283,15 @@ def cells(rest: DataFrame, percent: int) -> DataFrame:
     return celled.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high").mapInArrow(run, "a long, b long").distinct()
 
 
+def of_one_document(signed: DataFrame, part: DataFrame) -> DataFrame:
+    """(a, b): parts that are one because a doc_id has texts of both."""
+    known = signed.where("digest is not null and doc_id is not null")
+    several = cut(known.groupBy("doc_id").agg(F.min("digest").alias("first"), F.max("digest").alias("last")).where("first <> last").select("doc_id", "first"))
+    pairs = cut(spread_join(known, several, "doc_id", "digest", hot=[] if several.isEmpty() else None).where("digest <> first").select("first", "digest").distinct())
+    named = spread_join(pairs, part.withColumnRenamed("part", "b"), "digest", "first")
+    return spread_join(cut(named), part.select(F.col("digest").alias("first"), F.col("part").alias("a")), "first", "digest").select("a", "b")
+
+
 def components(docs: DataFrame, least_percent: int = LEAST_PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each row."""
     signed = cut(sign(docs, bands, rows))
@@ -307,9 +316,9 @@ def components(docs: DataFrame, least_percent: int = LEAST_PERCENT, bands: int =
     more = cut(confirm(docs, pairs, least_percent))
     label_of = lambda side: labels.select(F.col("node").alias(side), F.col("label").alias("label_" + side))
     renamed = spread_join(spread_join(more, label_of("a"), "a", "b", how="left"), label_of("b"), "b", "a", how="left", hot=hot_keys(more, "b"))
-    merged = connected(renamed.select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b")))
-
     part = cut(classes.select("digest", "id").join(labels.withColumnRenamed("node", "id"), "id", "left").select("digest", F.coalesce("label", "id").alias("part")))
+    again = of_one_document(signed.select("doc_id", "digest"), part)
+    merged = connected(renamed.select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b")).union(again))
     whole = spread_join(part, merged.select(F.col("node").alias("part"), F.col("label").alias("whole")), "part", "digest", how="left")
     member = spread_join(signed.select("doc_id", "n_shingles", "digest"), whole.select("digest", F.coalesce("whole", "part").alias("own")), "digest", "doc_id", how="left")
     linked = F.when(F.col("doc_id").isNotNull(), F.coalesce("own", "doc_id"))
@@ -320,3 +329,17 @@ def deduplicated(docs: DataFrame, least_percent: int = LEAST_PERCENT, bands: int
     """``docs`` without the rows that aren't kept."""
     dropped = components(docs, least_percent, bands, rows).where("not kept").select("doc_id").distinct()
     return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+
+
+def sql(least_percent: int = LEAST_PERCENT) -> str:
+    """The components of ``documents`` in DuckDB's SQL, by the shingles that documents share; for small tables."""
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex({lower}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT DISTINCT r, doc_id, array_to_string(ws[i:i + {WORDS - 1}], ' ') AS s FROM (SELECT r, doc_id, ws, unnest(range(1, greatest(1, len(ws) - {WORDS - 1}) + 1)) AS i FROM d WHERE len(ws) > 0)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+shared AS (SELECT a.r AS x, b.r AS y, a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.s = b.s AND a.r <> b.r AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT DISTINCT a, b FROM shared JOIN n p ON p.r = x JOIN n q ON q.r = y WHERE 100 * k >= {least_percent} * (p.n + q.n - k)),
+reach AS (SELECT DISTINCT doc_id AS a, doc_id AS b FROM d WHERE doc_id IS NOT NULL UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a),
+c AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, coalesce(d.doc_id = component_id, true) AS kept FROM d LEFT JOIN n USING (r) LEFT JOIN c ON c.doc_id = d.doc_id"""

@@ -69,6 +69,19 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_sentencepiece, op3_minhash_near_dedup, op4_suffix_dedup, op5_mixing, op6_token_counts, op7_media_columns, op8_license_scan, op9_toxicity, op10_secret_scan)}
+def media_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op7 without its features, so that the payloads can be held against SQL."""
+    return media_columns.payloads(documents(spark, sf_dir))
+
+
+OPERATORS = (op1_quality_rules, op2_sentencepiece, op3_minhash_near_dedup, op4_suffix_dedup, op5_mixing, op6_token_counts, op7_media_columns, op8_license_scan, op9_toxicity, op10_secret_scan)
+QUERIES = {f.__name__: f for f in (*OPERATORS, media_payloads)}
 #: Queries that SQL can express over whole tables.
-SQL = {"op1_quality_rules": quality_rules.sql(), "op8_license_scan": license_scan.sql()}
+SQL = {
+    "op1_quality_rules": quality_rules.sql(),
+    "op3_minhash_near_dedup": near_dedup.sql(),
+    "op4_suffix_dedup": suffix_dedup.sql(),
+    "op8_license_scan": license_scan.sql(),
+    "op10_secret_scan": secret_scan.sql(),
+    "media_payloads": media_columns.sql(),
+}

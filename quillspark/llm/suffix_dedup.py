@@ -603,3 +603,17 @@ def deduplicate(docs: DataFrame, *, digests: bool = False, limits: Limits = LIMI
     none = F.lit(None).cast("array<struct<key:bigint,spans:binary>>").alias("spans")
     rest = keyed.where(F.col("doc_id").isNull() | (F.coalesce(F.octet_length("text"), F.lit(0)) < SPAN)).select("doc_id", "key", "text", none)
     return long.unionByName(rest).mapInArrow(finish(digests, limits), f"doc_id long, n_bytes long, n_removed long, n_spans long, {kept}")
+
+
+def sql() -> str:
+    """The digests of what remains of ``documents`` in DuckDB's SQL, window by window; for small tables."""
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT r, doc_id, p, b[p + 1:p + {SPAN}] AS s FROM (SELECT r, doc_id, b, unnest(range(0, octet_length(b) - {SPAN - 1})) AS p FROM d WHERE doc_id IS NOT NULL AND octet_length(b) >= {SPAN})),
+f AS (SELECT s, min(doc_id) AS least FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)),
+g AS (SELECT r, p, p > coalesce(lag(p) OVER (PARTITION BY r ORDER BY p) + {SPAN}, -1) AS new FROM w JOIN f USING (s) WHERE doc_id > least),
+n AS (SELECT r, p, count(*) FILTER (new) OVER (PARTITION BY r ORDER BY p) AS run FROM g),
+x AS (SELECT r, min(p) AS a, max(p) + {SPAN} AS z FROM n GROUP BY r, run),
+k AS (SELECT r, count(*) AS n_spans, sum(z - a)::BIGINT AS n_removed, list(a ORDER BY a) AS starts, list(z ORDER BY a) AS ends FROM x GROUP BY r),
+t AS (SELECT r, doc_id, hex(b) AS h, octet_length(b)::BIGINT AS n, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, list_append(coalesce(starts, []), octet_length(b)) AS starts, list_prepend(0, coalesce(ends, [])) AS ends FROM d LEFT JOIN k USING (r))
+SELECT doc_id, n AS n_bytes, n_removed, n_spans, sha256(unhex(array_to_string(list_transform(range(1, len(starts) + 1), lambda i: substring(h, (2 * ends[i] + 1)::BIGINT, (2 * (starts[i] - ends[i]))::BIGINT)), ''))) AS kept_sha256 FROM t"""

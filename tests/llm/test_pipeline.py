@@ -65,4 +65,5 @@ def test_each_stage_against_plain_python(spark, stages):
 
 
 def test_every_operator_has_its_query():
-    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [f.__name__.split("_")[0] for f in queries.OPERATORS] == [f"op{i}" for i in range(1, 11)]
+    assert all(queries.QUERIES[f.__name__] is f for f in queries.OPERATORS)
