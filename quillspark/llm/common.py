@@ -21,8 +21,9 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 
 #: Bytes of text that a worker handles at once.
 SLICE_BYTES = 2 << 20
-#: Words a worker keeps in a cache before it starts a new one.
-CACHE_WORDS = 150_000
+#: Words a worker keeps in a cache before it starts a new one, and characters (or bytes) of a word that it keeps at all:
+#: together a bound on the cache's bytes, whatever the texts are like.
+CACHE_WORDS, CACHE_LENGTH = 150_000, 32
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,10 +143,12 @@ def map_slices(df: DataFrame, work: Callable[[], Callable[[pa.RecordBatch], pa.R
 
 
 class WordHashes(dict):
-    """64-bit hash of each word; bounded, as it is emptied when it is full."""
+    """64-bit hash of each word; bounded, as long words aren't kept and it is emptied when it is full."""
 
     def __missing__(self, word: bytes) -> int:
-        self[word] = h = xxhash.xxh64_intdigest(word)
+        h = xxhash.xxh64_intdigest(word)
+        if len(word) <= CACHE_LENGTH:
+            self[word] = h
         return h
 
     def of(self, words: list[bytes]) -> np.ndarray:

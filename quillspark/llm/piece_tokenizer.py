@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import CACHE_WORDS, map_slices
+from .common import CACHE_LENGTH, CACHE_WORDS, map_slices
 
 SPACE = "▁"
 NONE = np.int32(2**31 - 1)
@@ -261,12 +261,15 @@ def model(path: str) -> PieceModel:
 
 
 class UnitCache:
-    """Ids and decoded bytes of the units seen lately by one task."""
+    """Ids and decoded bytes of the units seen lately by one task; long units stay for one slice only."""
 
     def __init__(self, path: str):
         self.model, self.ids, self.text = model(path), {}, {}
+        self.long: list[str] = []
 
     def learn(self, units: set[str]) -> None:
+        for u in self.long:
+            del self.ids[u], self.text[u]
         new = [u for u in units if u not in self.ids]
         if len(self.ids) + len(new) > CACHE_WORDS:
             self.ids.clear()
@@ -275,6 +278,7 @@ class UnitCache:
         encoded = self.model.encode_units(new)
         self.ids.update(zip(new, (x.tobytes() for x in encoded)))
         self.text.update(zip(new, self.model.decode_units(encoded)))
+        self.long = [u for u in new if len(u) > CACHE_LENGTH]
 
 
 def encode_documents(docs: DataFrame, model_path: str, *, digests: bool = False) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE_WORDS, map_slices
+from .common import CACHE_LENGTH, CACHE_WORDS, map_slices
 
 #: Documents whose crc32 of the id, modulo FOLDS, is HELD_OUT are never learnt from.
 FOLDS, HELD_OUT = 4, 2
@@ -71,10 +71,14 @@ class Model:
         def logit(words: set[str]) -> float:
             if len(seen) > CACHE_WORDS:
                 seen.clear()
+            found = []
             for w in words:
-                if w not in seen:
-                    seen[w] = sum(get(f, 0.0) for f in features(w))
-            return bias + sum(sorted(map(seen.__getitem__, words)))
+                if (x := seen.get(w)) is None:
+                    x = sum(get(f, 0.0) for f in features(w))
+                    if len(w) <= CACHE_LENGTH:
+                        seen[w] = x
+                found.append(x)
+            return bias + sum(sorted(found))
 
         return logit
 
