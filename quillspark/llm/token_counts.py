@@ -3,7 +3,7 @@
 The vocabulary's trie has failure links and, for each link, the number of pieces popped by following it
 (the linear maximum-matching automaton of Song et al., 2021); word-piece counts are sums of those
 numbers, and no piece is built. All words not seen lately by a task run through the automaton in step,
-one character a round. A word is a run of characters other than ASCII white space; its pieces start with
+one character a round; once few are left, each is walked on for itself, so a long word takes linear time too. A word is a run of characters other than ASCII white space; its pieces start with
 the word mark, and a word that has no full segmentation counts as one unknown token.
 
 Edge cases: a null or empty text has zero words and tokens; a text of any length is one row; repeated
@@ -18,9 +18,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import CACHE_WORDS, as_bytes, map_slices
+from .common import CACHE_LENGTH, CACHE_WORDS, as_bytes, map_slices
 from .piece_tokenizer import SPACE, PieceModel
 
+#: Words up to which plain steps are faster than rounds over arrays.
+FEW = 64
+
 
 class Automaton:
     """Counts the greedy longest-match pieces of words that begin with ``mark``."""
@@ -60,6 +63,7 @@ class Automaton:
         self.width = len(points) + 1
         edges = sorted((n * self.width + int(self.classes[c]), m) for n, x in enumerate(children) for c, m in x.items())
         self.keys, self.to = (np.array([e[i] for e in edges]) for i in (0, 1))
+        self.plain = dict(edges), fail, pops
 
     def step(self, states: np.ndarray, classes: np.ndarray) -> np.ndarray:
         """The child of each state by each class, -1 where there is none."""
@@ -83,12 +87,29 @@ class Automaton:
                 alive -= 1
             left = order[:alive]
             left = left[state[left] >= 0]
+            if left.size <= FEW:
+                for w in left.tolist():
+                    state[w], total[w] = self._walk(classes[start[w] + i : start[w] + size[w]], int(state[w]), int(total[w]))
+                break
             at_end = size[left] == i
             self._finish(left[at_end], state, total)
             left = left[~at_end]
             self._advance(left, classes[start[left] + i], state, total)
         return np.where(state < 0, -1, total)
 
+    def _walk(self, classes: np.ndarray, state: int, total: int) -> tuple[int, int]:
+        """State and count after the rest of a word."""
+        children, fail, pops = self.plain
+        for c in classes.tolist():
+            while (to := children.get(state * self.width + c)) is None:
+                total, state = total + pops[state], fail[state]
+                if state < 0:
+                    return state, total
+            state = to
+        while state > 0:
+            total, state = total + pops[state], fail[state]
+        return state, total
+
     def _advance(self, left: np.ndarray, classes: np.ndarray, state: np.ndarray, total: np.ndarray) -> None:
         while left.size:
             to = self.step(state[left], classes)
@@ -133,6 +154,9 @@ def count_tokens(docs: DataFrame, model_path: str) -> DataFrame:
                 new = list({w for words in split for w in words})
             seen.update(zip(new, run.counts([w.decode() for w in new]).tolist()))
             rows = [list(map(seen.__getitem__, words)) for words in split]
+            for w in new:
+                if len(w) > CACHE_LENGTH:
+                    del seen[w]
             unknown = [r.count(-1) for r in rows]
             tokens = [sum(r) + 2 * u for r, u in zip(rows, unknown)]
             return pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(x, pa.int64()) for x in (list(map(len, rows)), tokens, unknown))], names=["doc_id", "n_words", "n_tokens", "n_unknown_words"])

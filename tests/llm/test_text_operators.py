@@ -4,6 +4,7 @@ import hashlib
 import io
 import random
 import re
+import time
 import wave
 import zlib
 
@@ -14,7 +15,7 @@ import pytest
 from comparing import SMALL, assert_same, duck
 from pyspark.sql import functions as F
 
-from quillspark.llm import common, license_scan, media_columns, secret_scan, token_counts, toxicity
+from quillspark.llm import common, license_scan, media_columns, piece_tokenizer, secret_scan, token_counts, toxicity
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -50,6 +51,39 @@ def test_automaton_on_random_vocabularies():
     assert token_counts.Automaton(["a"]).counts([]).tolist() == []
 
 
+@pytest.mark.parametrize("few", [0, 5, 10**6])
+def test_rounds_and_plain_steps_agree(monkeypatch, few):
+    monkeypatch.setattr(token_counts, "FEW", few)
+    rng = random.Random(3)
+    run = token_counts.automaton(PATH)
+    words = ["".join(rng.choices("theandionqz▁é", k=rng.randrange(1, 60))) for _ in range(200)] + ["ab" * 3_000, "\u0378" + "a" * 500, ""]
+    monkeypatch.setattr(token_counts, "FEW", 64)
+    want = run.counts(words).tolist()
+    monkeypatch.setattr(token_counts, "FEW", few)
+    assert run.counts(words).tolist() == want
+
+
+def test_a_word_of_a_million_characters_takes_linear_time():
+    run, took = token_counts.automaton(PATH), []
+    for n in (100_000, 1_000_000):
+        began = time.process_time()
+        assert run.counts(["ab" * (n // 2)])[0] > 0
+        took.append(time.process_time() - began)
+    assert took[1] < 30 * took[0] + 1
+
+
+def test_caches_are_bounded_by_bytes():
+    hashes = common.WordHashes()
+    hashes.of([b"x" * 1_000, b"short"])
+    assert set(hashes) == {b"short"}
+    cache = piece_tokenizer.UnitCache(PATH)
+    cache.learn({"▁" + "漢" * 10_000, "▁short"})
+    cache.learn({"▁other"})
+    assert set(cache.ids) == set(cache.text) == {"▁short", "▁other"}
+    score = toxicity.Model(-1.0, {"a": 2.0}).scorer()
+    assert score({"a", "b" * 100}) == score({"b" * 100, "a"}) == 1.0
+
+
 def test_media_round_trip(docs, corpus):
     rows = media_columns.store(docs, digests=True).collect()
     want = []
