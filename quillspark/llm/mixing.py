@@ -3,7 +3,8 @@
 A token budget goes down a tree of levels (domain, language, source). At each node children share it by
 weight, none beyond what its subtree can give in ``max_epochs`` passes; what one child can't give goes to
 its siblings, and only what none of them can give goes up. A leaf's budget buys whole passes over its
-documents and then a prefix, in tokens, of one more pass; each pass has its own seeded order.
+documents and then a prefix, in tokens, of one more pass; each pass has its own seeded order. Tokens are counted
+by op6's automaton where a tokenizer's file is given, else they are words between white space.
 
 The tree has one leaf per distinct path, held on the driver and refused beyond ``MAX_LEAVES``. Prefixes
 come from sums over ranges of the hash that orders a pass, so no leaf, however large, is in one task;
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import cut
 from .quality_rules import words_of
+from .token_counts import count_tokens
 
 LEVELS = ("domain", "lang", "source")
 MAX_LEAVES = 100_000
@@ -107,10 +109,14 @@ def _order(seed: int, epoch: Column) -> Column:
     return F.xxhash64(F.lit(seed), epoch, F.coalesce(F.col("doc_id"), F.col("text_hash")))
 
 
-def _counted(docs: DataFrame, levels: Sequence[Column]) -> DataFrame:
+def _counted(docs: DataFrame, levels: Sequence[Column], tokenizer: str | None) -> DataFrame:
     path = [F.coalesce(c.cast("string"), F.lit("")).alias(f"level_{i}") for i, c in enumerate(levels)]
     text_hash = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.lit(0)).alias("text_hash")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *path, text_hash, F.size(words_of(F.coalesce("text", F.lit("")))).cast("long").alias("n_tokens"))
+    number = F.col("doc_id").cast("long").alias("doc_id")
+    if tokenizer is None:
+        return docs.select(number, *path, text_hash, F.size(words_of(F.coalesce("text", F.lit("")))).cast("long").alias("n_tokens"))
+    names = ("doc_id", *(f"level_{i}" for i in range(len(levels))), "text_hash")
+    return count_tokens(docs.select(number, *path, text_hash.cast("long").alias("text_hash"), "text"), tokenizer, names).select(*names, "n_tokens")
 
 
 def _plan(counted: DataFrame, names: list[str], weights: Mapping[Path, float], budget_share: float, max_epochs: int) -> tuple[DataFrame, int]:
@@ -142,10 +148,10 @@ def _last_pass(planned: DataFrame, names: list[str], bits: int, seed: int) -> Da
     return whole.unionByName(ending)
 
 
-def select(docs: DataFrame, weights: Mapping[Path, float], *, levels: Sequence[Column], budget_share: float = 1.0, max_epochs: int = 4, seed: int = 0) -> DataFrame:
+def select(docs: DataFrame, weights: Mapping[Path, float], *, levels: Sequence[Column], budget_share: float = 1.0, max_epochs: int = 4, seed: int = 0, tokenizer: str | None = None) -> DataFrame:
     """(doc_id, level_0, ..., epoch, n_tokens, take_tokens, leaf_budget): each document in each pass that takes of it."""
     names = [f"level_{i}" for i in range(len(levels))]
-    counted = cut(_counted(docs, levels).where("n_tokens > 0"))
+    counted = cut(_counted(docs, levels, tokenizer).where("n_tokens > 0"))
     plan, bits = _plan(counted, names, weights, budget_share, max_epochs)
     planned = counted.join(F.broadcast(plan), names)  # MAX_LEAVES rows at most
     whole = planned.where("passes > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("passes") - 1))).withColumn("take_tokens", F.col("n_tokens"))
@@ -153,13 +159,13 @@ def select(docs: DataFrame, weights: Mapping[Path, float], *, levels: Sequence[C
     return whole.select(*columns).union(_last_pass(planned, names, bits, seed).select(*columns))
 
 
-def mixed(docs: DataFrame, weights: Mapping[Path, float], *, levels: Sequence[Column], budget_share: float, seed: int = 0) -> DataFrame:
+def mixed(docs: DataFrame, weights: Mapping[Path, float], *, levels: Sequence[Column], budget_share: float, seed: int = 0, tokenizer: str | None = None) -> DataFrame:
     """The rows of ``docs`` that one pass at most takes of, whole: a leaf may pass its budget by less than a document.
 
     The last row that a leaf takes is a threshold of the ordering hash, so texts are filtered where they are read.
     """
     names = [f"level_{i}" for i in range(len(levels))]
-    counted = cut(_counted(docs, levels).where("n_tokens > 0"))
+    counted = cut(_counted(docs, levels, tokenizer).where("n_tokens > 0"))
     plan, bits = _plan(counted, names, weights, budget_share, 1)
     planned = counted.join(F.broadcast(plan), names)
     ends = _last_pass(planned, names, bits, seed).groupBy(*names).agg(F.max(F.struct("at", F.coalesce("doc_id", F.lit(0)).alias("id"))).alias("end"))

@@ -44,7 +44,7 @@ MIX_SEED = 20
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chosen = mixing.select(documents(spark, sf_dir), MIXTURE, levels=mixture_levels(), budget_share=1.0, max_epochs=4, seed=MIX_SEED)
+    chosen = mixing.select(documents(spark, sf_dir), MIXTURE, levels=mixture_levels(), budget_share=1.0, max_epochs=4, seed=MIX_SEED, tokenizer=public_tokenizers.path(PIECE_MODEL))
     return chosen.withColumnsRenamed({"level_0": "domain", "level_1": "lang", "level_2": "source"})
 
 

@@ -140,8 +140,9 @@ def automaton(model_path: str) -> Automaton:
     return _AUTOMATA[model_path]
 
 
-def count_tokens(docs: DataFrame, model_path: str) -> DataFrame:
-    """(doc_id, n_words, n_tokens, n_unknown_words) of each row."""
+def count_tokens(docs: DataFrame, model_path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The kept columns, n_words, n_tokens and n_unknown_words of each row."""
+    kept = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep)
 
     def work():
         run, seen = automaton(model_path), {}
@@ -159,8 +160,8 @@ def count_tokens(docs: DataFrame, model_path: str) -> DataFrame:
                     del seen[w]
             unknown = [r.count(-1) for r in rows]
             tokens = [sum(r) + 2 * u for r, u in zip(rows, unknown)]
-            return pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(x, pa.int64()) for x in (list(map(len, rows)), tokens, unknown))], names=["doc_id", "n_words", "n_tokens", "n_unknown_words"])
+            return pa.RecordBatch.from_arrays([*map(part.column, keep), *(pa.array(x, pa.int64()) for x in (list(map(len, rows)), tokens, unknown))], names=[*keep, "n_words", "n_tokens", "n_unknown_words"])
 
         return each
 
-    return map_slices(docs.select("doc_id", "text"), work, "doc_id long, n_words long, n_tokens long, n_unknown_words long")
+    return map_slices(docs.select(*keep, "text"), work, f"{kept}, n_words long, n_tokens long, n_unknown_words long")
