@@ -2,7 +2,7 @@
 
 The vocabulary's trie has failure links and, for each link, the number of pieces popped by following it
 (the linear maximum-matching automaton of Song et al., 2021); word-piece counts are sums of those
-numbers, and no piece is built. All words not seen lately by a task run through the automaton in step,
+numbers, and no piece is built. The distinct words of a slice of texts run through the automaton in step,
 one character a round; once few are left, each is walked on for itself, so a long word takes linear time too. A word is a run of characters other than ASCII white space; its pieces start with
 the word mark, and a word that has no full segmentation counts as one unknown token.
 
@@ -13,12 +13,13 @@ rows each have a row; a null doc_id is carried along; columns other than those n
 from __future__ import annotations
 
 from collections import deque
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import CACHE_LENGTH, CACHE_WORDS, as_bytes, map_slices
+from .common import as_bytes, map_slices
 from .piece_tokenizer import SPACE, PieceModel
 
 #: Words up to which plain steps are faster than rounds over arrays.
@@ -64,6 +65,7 @@ class Automaton:
         edges = sorted((n * self.width + int(self.classes[c]), m) for n, x in enumerate(children) for c, m in x.items())
         self.keys, self.to = (np.array([e[i] for e in edges]) for i in (0, 1))
         self.plain = dict(edges), fail, pops
+        self.begin = self._walk(self.classes[list(map(ord, mark))], 0, 0, ends=False)
 
     def step(self, states: np.ndarray, classes: np.ndarray) -> np.ndarray:
         """The child of each state by each class, -1 where there is none."""
@@ -73,13 +75,15 @@ class Automaton:
 
     def counts(self, words: list[str]) -> np.ndarray:
         """Pieces of each word, -1 for a word without a segmentation."""
-        if not words:
+        points = np.frombuffer("".join(words).encode("utf-32-le"), "<u4")
+        return self.counts_of(points, np.fromiter(map(len, words), np.int64, len(words)))
+
+    def counts_of(self, points: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The same for words of so many code points each."""
+        if not len(size):
             return np.zeros(0, np.int64)
-        text = "".join(self.mark + w for w in words)
-        classes = self.classes[np.frombuffer(text.encode("utf-32-le"), "<u4")]
-        size = np.fromiter((len(w) + len(self.mark) for w in words), np.int64, len(words))
-        start = np.cumsum(size) - size
-        state, total = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        classes, start = self.classes[points], np.cumsum(size) - size
+        state, total = (np.full(len(size), x, np.int64) for x in self.begin)
         order = np.argsort(-size, kind="stable")  # words that still go on are a prefix of this
         alive = len(order)
         for i in range(int(size.max()) + 1):
@@ -97,8 +101,8 @@ class Automaton:
             self._advance(left, classes[start[left] + i], state, total)
         return np.where(state < 0, -1, total)
 
-    def _walk(self, classes: np.ndarray, state: int, total: int) -> tuple[int, int]:
-        """State and count after the rest of a word."""
+    def _walk(self, classes: np.ndarray, state: int, total: int, ends: bool = True) -> tuple[int, int]:
+        """State and count after the rest of a word, or after its beginning."""
         children, fail, pops = self.plain
         for c in classes.tolist():
             while (to := children.get(state * self.width + c)) is None:
@@ -106,7 +110,7 @@ class Automaton:
                 if state < 0:
                     return state, total
             state = to
-        while state > 0:
+        while ends and state > 0:
             total, state = total + pops[state], fail[state]
         return state, total
 
@@ -129,6 +133,15 @@ class Automaton:
             left = left[state[left] > 0]
 
 
+def code_points(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all words (UTF-8), and each word's number of them."""
+    _, offsets, data = words.buffers()
+    edges = np.frombuffer(offsets, np.int32)[words.offset : words.offset + len(words) + 1]
+    raw = np.frombuffer(data, np.uint8)[edges[0] : edges[-1]] if len(words) and data else np.zeros(0, np.uint8)
+    begun = np.concatenate(([0], np.cumsum(raw & 0xC0 != 0x80)))[edges - edges[0]] if len(words) else np.zeros(1, np.int64)
+    return np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), "<u4"), np.diff(begun)
+
+
 _AUTOMATA: dict[str, Automaton] = {}
 
 
@@ -145,22 +158,16 @@ def count_tokens(docs: DataFrame, model_path: str, keep: tuple[str, ...] = ("doc
     kept = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep)
 
     def work():
-        run, seen = automaton(model_path), {}
+        run = automaton(model_path)
 
         def each(part: pa.RecordBatch) -> pa.RecordBatch:
             split = [t.split() for t in as_bytes(part.column("text"))]
-            new = list({w for words in split for w in words if w not in seen})
-            if len(seen) + len(new) > CACHE_WORDS:
-                seen.clear()
-                new = list({w for words in split for w in words})
-            seen.update(zip(new, run.counts([w.decode() for w in new]).tolist()))
-            rows = [list(map(seen.__getitem__, words)) for words in split]
-            for w in new:
-                if len(w) > CACHE_LENGTH:
-                    del seen[w]
-            unknown = [r.count(-1) for r in rows]
-            tokens = [sum(r) + 2 * u for r, u in zip(rows, unknown)]
-            return pa.RecordBatch.from_arrays([*map(part.column, keep), *(pa.array(x, pa.int64()) for x in (list(map(len, rows)), tokens, unknown))], names=[*keep, "n_words", "n_tokens", "n_unknown_words"])
+            sizes = np.fromiter(map(len, split), np.int64, len(split))
+            coded = pa.array(list(chain.from_iterable(split)), pa.binary()).dictionary_encode()
+            each = run.counts_of(*code_points(coded.dictionary))[coded.indices.to_numpy()]
+            ends = np.concatenate(([0], np.cumsum(sizes)))
+            of_each = lambda x: pa.array(np.diff(np.concatenate(([0], np.cumsum(x)))[ends]))
+            return pa.RecordBatch.from_arrays([*map(part.column, keep), pa.array(sizes), of_each(np.abs(each)), of_each((each < 0).astype(np.int64))], names=[*keep, "n_words", "n_tokens", "n_unknown_words"])
 
         return each
 
