@@ -1,14 +1,16 @@
-"""Command line: ``python -m quillspark.cli build|query|verify``."""
+"""Command line: ``python -m quillspark.cli build|query|verify|check``."""
 
 from __future__ import annotations
 
 import argparse
 import sys
 import time
+from collections.abc import Sequence
 
 from pyspark.sql import SparkSession
 
-from .operators import index, search, verify
+from .operators import index, prune, search, verify
+from .plans.staging import cut
 from .sources import collection
 
 AUDIT_TERMS = ("the", "of", "and", "for", "with", "this")
@@ -34,12 +36,32 @@ def parser() -> argparse.ArgumentParser:
     query.add_argument("--mode", choices=("0", "1"))
     query.add_argument("--out")
     query.add_argument("--snippets", action="store_true")
+    query.add_argument("--time-each", action="store_true", help="also time each query of a batch on its own")
+    fresh = sub.add_parser("check", help="check an index against its collection")
+    fresh.add_argument("index")
+    fresh.add_argument("collection")
+    fresh.add_argument("terms", nargs="*")
     audit = sub.add_parser("verify", help="check score bounds")
     audit.add_argument("index")
     audit.add_argument("stride", nargs="?", type=stride, default=89)
     return top
 
 
+def check(tables: dict, docs, terms: Sequence[str]) -> int:
+    """Compares an index with the collection: passages, lengths, and greatest scores of some terms, counted anew."""
+    if wrong := verify.collection_mismatch(tables["passages"], tables["stats"], docs):
+        print(f"max_score check failed: {wrong}")
+        return 1
+    rows = verify.max_score_audit(tables["lexicon"], docs, terms).orderBy("term").collect()
+    for r in rows:
+        print("ok " if r["ok"] else "BAD", r["term"], r["doc_count"], r["max_score"])
+    for t in sorted(set(terms) - {r["term"] for r in rows}):
+        print("ok ", t, "is in neither")
+    good = all(r["ok"] for r in rows)
+    print("max_score check", "passed" if good else "failed")
+    return int(not good)
+
+
 def interactive(spark: SparkSession, tables: dict, docs) -> None:
     while True:
         try:
@@ -52,12 +74,47 @@ def interactive(spark: SparkSession, tables: dict, docs) -> None:
         except EOFError:
             return
         asked = spark.createDataFrame([(0, text)], "query_idx int, query string")
-        began = time.time()
-        found = search.search_index(tables["postings"], tables["stats"], asked, mode)
+        began = time.perf_counter()
+        found = search.search_index(tables["postings"], tables["passages"], tables["stats"], asked, mode)
         found = search.with_snippets(found, docs, asked) if docs is not None else found
-        for r in found.orderBy("rank").collect():
+        rows = found.orderBy("rank").collect()
+        for r in rows:
             print(f"{r['rank']}. [{r['pid']}] {r['score']:.4f}", r["snippet"] if docs is not None else "")
-        print(f"{(time.time() - began) * 1000:.1f} ms")
+        print(f"{len(rows)} result(s) in {(time.perf_counter() - began) * 1000:.1f} ms")
+
+
+def batch_summary(tables: dict, asked, mode: int, took: list[float]) -> None:
+    """Prints latencies, if each query was timed, and for disjunctive queries what the score bounds spare."""
+    spark = asked.sparkSession
+    if took:
+        s = verify.latency_stats(spark.createDataFrame([(x,) for x in took], "ms double")).first()
+        print(f"latency (ms): n={s['n']} p50={s['p50']:.3f} p95={s['p95']:.3f} mean={s['mean']:.3f} min={s['least']:.3f} max={s['most']:.3f}")
+    if mode == search.OR:
+        terms = cut(search.query_terms(asked))
+        theta = cut(prune.thresholds(terms, tables["chunks"]))
+        bounds = prune.list_bounds(search.query_tokens(asked), tables["lexicon"])
+        verdicts = prune.chunk_verdicts(terms, tables["chunks"], tables["lexicon"], theta)
+        s = prune.pruning_summary(prune.query_stats(verdicts, terms, tables["lexicon"], prune.essential_lists(bounds, theta), asked)).first()
+        print(f"pruning: {s['postings_kept'] or 0} of {s['total_postings'] or 0} postings needed, {s['pruned_percent']:.3f} % spared, mean essential lists {s['mean_essential'] or 0:.3f}, chunks dropped {s['chunks_dropped'] or 0}")
+
+
+def batch(spark: SparkSession, tables: dict, docs, args) -> int:
+    asked = collection.read_queries(spark, args.batch)
+    ask = lambda queries: search.search_index(tables["postings"], tables["passages"], tables["stats"], queries, int(args.mode))
+    took = []
+    if args.time_each:  # one query after another, as the batch itself is answered all at once
+        for r in asked.orderBy("query_idx").collect():
+            one = spark.createDataFrame([(r["query_idx"], r["query"])], "query_idx int, query string")
+            began = time.perf_counter()
+            ask(one).collect()
+            took.append((time.perf_counter() - began) * 1000)
+    began, n = time.perf_counter(), asked.count()
+    found = ask(asked)
+    collection.write_results(search.with_snippets(found, docs, asked) if args.snippets else found, args.out)
+    spent = time.perf_counter() - began
+    print(f"{n} queries, mode {args.mode} ({'OR' if int(args.mode) == search.OR else 'AND'}), in {spent:.3f} s; mean {1000 * spent / max(n, 1):.3f} ms")
+    batch_summary(tables, asked, int(args.mode), took)
+    return 0
 
 
 def main(arguments: list[str] | None = None) -> int:
@@ -86,14 +143,12 @@ def main(arguments: list[str] | None = None) -> int:
         print(report.asDict())
         return int(report["violations"] > 0)
     docs = collection.scan_collection(spark, args.collection) if args.collection else None
+    if args.command == "check":
+        return check(tables, docs, args.terms or AUDIT_TERMS)
     if args.batch is None:
         interactive(spark, tables, docs)
         return 0
-    asked = collection.read_queries(spark, args.batch)
-    postings = tables["postings"].join(tables["passages"].select("doc_id", "pid"), "doc_id")
-    found = search.search_index(postings, tables["stats"], asked, int(args.mode))
-    collection.write_results(search.with_snippets(found, docs, asked) if args.snippets else found, args.out)
-    return 0
+    return batch(spark, tables, docs, args)
 
 
 if __name__ == "__main__":

@@ -47,9 +47,11 @@ def snippet(text: Column, terms: Column) -> Column:
     def best(words: Column, hits: Column) -> Column:
         n = F.size(words)
 
-        def window(c: Column) -> Column:
+        def window(c: Column, k: Column) -> Column:
             start, end = F.greatest(F.lit(0), c - BEFORE), F.least(n, c + AFTER)
-            inside = F.filter(hits, lambda h: (h >= start) & (h < end))
+            # Hits are distinct places, so those of the window are among its neighbours: linear in all hits.
+            near = F.slice(hits, F.greatest(F.lit(1), k + 1 - BEFORE), F.lit(BEFORE + AFTER + 1))
+            inside = F.filter(near, lambda h: (h >= start) & (h < end))
             worth = F.size(inside) * 1000 - (F.element_at(inside, -1) - F.element_at(inside, 1))
             return F.struct(worth.alias("worth"), (-c).alias("place"), start.alias("start"), end.alias("end"))
 

@@ -7,12 +7,13 @@ passage table. A term may be in most passages: its postings are spread over many
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ranking, varbyte
 from ..functions.text import term_counts, tokenize
-from ..plans.ordinals import with_ordinal, with_place_in_group, with_running_sum
+from ..plans.ordinals import ranged, with_ordinal, with_running_sum
+from ..plans.staging import cut
 
 CHUNK = 64
 #: Bytes of the file header and of each term's and chunk's header in the packed layout.
@@ -42,10 +43,19 @@ def corpus_stats(lengths: DataFrame) -> DataFrame:
     return lengths.agg(n.alias("n"), total.alias("total_len")).withColumn("avg_len", F.when(F.col("n") > 0, F.col("total_len") / F.col("n")).otherwise(F.lit(0.0)))
 
 
+def counted(docs: DataFrame) -> DataFrame:
+    """(doc_id, pid, length, hits): each passage's terms with their frequencies, narrow: one pass over the texts."""
+    return tokens(docs).select("doc_id", "pid", F.size("tokens").alias("length"), term_counts(F.col("tokens")).alias("hits"))
+
+
+def postings_of(counts: DataFrame) -> DataFrame:
+    """(term, doc_id, freq, length) of ``counted`` passages."""
+    return counts.select("doc_id", "length", F.explode("hits").alias("x")).select("x.term", "doc_id", "x.freq", "length")
+
+
 def postings(docs: DataFrame) -> DataFrame:
-    """(term, doc_id, freq, length), narrow: one pass over the texts."""
-    counted = tokens(docs).select("doc_id", F.size("tokens").alias("length"), F.explode(term_counts(F.col("tokens"))).alias("x"))
-    return counted.select("x.term", "doc_id", "x.freq", "length")
+    """(term, doc_id, freq, length) of a collection."""
+    return postings_of(counted(docs))
 
 
 def doc_freq(found: DataFrame) -> DataFrame:
@@ -61,27 +71,49 @@ def contributions(found: DataFrame, stats: DataFrame) -> DataFrame:
     return found.join(weighted, "term").withColumn("contribution", share)
 
 
-def chunks(scored: DataFrame) -> DataFrame:
-    """Runs of 64 postings of a term by doc_id, with bounds, byte sizes of the gap and frequency codes, and both arrays."""
-    placed = with_place_in_group(scored.select("term", "doc_id", "freq", "contribution"), "term", "doc_id", "place")
-    entry = F.struct("doc_id", "freq", "contribution")
-    run = placed.groupBy("term", F.floor(F.col("place") / CHUNK).cast("int").alias("chunk_idx")).agg(F.sort_array(F.collect_list(entry)).alias("x"))
-    arrays = run.select("term", "chunk_idx", F.col("x.doc_id").alias("docids"), F.col("x.freq").alias("freqs"), F.array_max("x.contribution").alias("top"))
+def chunks(found: DataFrame, stats: DataFrame) -> DataFrame:
+    """Runs of 64 postings of a term by doc_id, with bounds, byte sizes of the gap and frequency codes, and their arrays.
+
+    Postings are sorted into ranges once. Places and document frequencies come from a table of (term, range) counts, and
+    chunks are put together within a range; only those that begin in one range and end in the next meet again.
+    """
+    n, _, average = stats.first() or (0, 0, 0.0)
+    parts = ranged(found.select("term", "doc_id", "freq", "length"), ["term", "doc_id"])
+    counts = parts.groupBy("term", "_part").agg(F.count("*").alias("n"), F.min("_place").alias("first"))
+    ranges = Window.partitionBy("term")  # a row per range that a term is in
+    before = F.coalesce(F.sum("n").over(ranges.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = parts.join(counts.select("*", before.alias("before"), F.sum("n").over(ranges).alias("doc_count")), ["term", "_part"])
+    weight = ranking.idf(F.lit(float(n)), F.col("doc_count"))
+    share = ranking.contribution(weight, F.col("freq"), F.col("length"), F.lit(float(average)))
+    entry = F.struct("doc_id", "freq", share.alias("contribution"))
+    number = F.floor((F.col("before") + F.col("_place") - F.col("first")) / CHUNK).cast("int").alias("chunk_idx")
+    runs = cut(placed.groupBy("term", "_part", "before", "n", "doc_count", number).agg(F.sort_array(F.collect_list(entry)).alias("x")))
+    end = F.col("before") + F.col("n")
+    open_ = (F.col("chunk_idx") * CHUNK < F.col("before")) | (((F.col("chunk_idx") + 1) * CHUNK > end) & (end < F.col("doc_count")))
+    met = runs.where(open_).groupBy("term", "chunk_idx").agg(F.sort_array(F.flatten(F.collect_list("x"))).alias("x"))
+    run = runs.where(~open_).select("term", "chunk_idx", "x").union(met)
+    arrays = run.select("term", "chunk_idx", F.col("x.doc_id").alias("docids"), F.col("x.freq").alias("freqs"), F.col("x.contribution").alias("contributions"))
     total = lambda a: F.aggregate(a, F.lit(0), lambda s, v: s + varbyte.size(v))
     return arrays.select(
         "term",
         "chunk_idx",
         F.size("docids").alias("chunk_size"),
         F.element_at("docids", -1).alias("last_docid"),
-        ranking.up_to_float(F.col("top")).alias("max_score"),
+        ranking.up_to_float(F.array_max("contributions")).alias("max_score"),
         total(gaps(F.col("docids"))).alias("docid_bytes"),
         total(F.col("freqs")).alias("freq_bytes"),
         "docids",
         "freqs",
-        F.col("top").alias("exact_max"),
+        "contributions",
     )
 
 
+def with_next(chunked: DataFrame, *columns: Column) -> DataFrame:
+    """``chunked`` with columns of the chunk that follows in the same list, null after the last; no list is in one task."""
+    after = chunked.select("term", (F.col("chunk_idx") - 1).alias("chunk_idx"), *columns)
+    return chunked.join(after, ["term", "chunk_idx"], "left")
+
+
 def gaps(ids):
     """Differences of an increasing array, the first against zero."""
     return F.transform(ids, lambda v, i: v - F.coalesce(F.get(ids, i - 1), F.lit(0)))
@@ -97,7 +129,7 @@ def ungaps(differences):
 def lexicon(chunked: DataFrame) -> DataFrame:
     """(term, offset, length, doc_count, max_score) by term, with places in the packed layout."""
     packed = F.lit(CHUNK_HEAD) + F.col("docid_bytes") + F.col("freq_bytes")
-    terms = chunked.groupBy("term").agg((F.lit(TERM_HEAD) + F.sum(packed)).cast("long").alias("length"), F.sum("chunk_size").alias("doc_count"), F.max("exact_max").alias("max_score"))
+    terms = chunked.groupBy("term").agg((F.lit(TERM_HEAD) + F.sum(packed)).cast("long").alias("length"), F.sum("chunk_size").alias("doc_count"), F.max(F.array_max("contributions")).alias("max_score"))
     placed = with_running_sum(terms, ["term"], F.col("length"), "_before")
     return placed.select("term", (F.col("_before") + FILE_HEAD).alias("offset"), "length", "doc_count", "max_score")
 

@@ -11,8 +11,9 @@ from ..plans.staging import cut
 
 TOP = 10
 AND, OR = 0, 1
-#: Distinct query terms up to which they are constants of the scan and the weights are broadcast; beyond, joins shuffle.
-CONSTANT_TERMS = 2_000
+#: Distinct query terms up to which they are constants of the scan, and (query, term) rows up to which the weights are
+#: broadcast; beyond, joins shuffle.
+CONSTANT_TERMS, BROADCAST_ROWS = 2_000, 100_000
 
 
 def query_tokens(queries: DataFrame) -> DataFrame:
@@ -46,12 +47,12 @@ def matching(docs: DataFrame, terms: list[str] | None) -> tuple[DataFrame, DataF
     return hits.select("x.term", "doc_id", "pid", "x.freq", "length"), stats
 
 
-def scores(postings: DataFrame, stats: DataFrame, terms: DataFrame, mode: int, *, constant: bool = True) -> DataFrame:
+def scores(postings: DataFrame, stats: DataFrame, terms: DataFrame, mode: int) -> DataFrame:
     """(query_idx, doc_id, pid, score) of every passage with a positive score."""
     n, _, average = stats.first()
     counts = postings.groupBy("term").agg(F.count("*").alias("df"))
     weights = terms.join(counts, "term").withColumn("idf", ranking.idf(F.lit(float(n)), F.col("df"))).select("query_idx", "term", "mult", "n_tokens", "idf")
-    weights = F.broadcast(weights) if constant else weights
+    weights = F.broadcast(weights) if terms.count() <= BROADCAST_ROWS else weights
     share = ranking.contribution(F.col("idf"), F.col("freq"), F.col("length"), F.lit(float(average)))
     each = postings.join(weights, "term").withColumn("share", F.col("mult") * share)
     summed = each.groupBy("query_idx", "doc_id", "pid").agg(F.sum("share").alias("score"), F.sum("mult").alias("found"), F.max("n_tokens").alias("n_tokens"))
@@ -72,16 +73,17 @@ def search(docs: DataFrame, queries: DataFrame, mode: int, k: int = TOP) -> Data
     terms = cut(query_terms(queries))
     few = _few(terms)
     found, stats = matching(docs, few)
-    return top(scores(found, stats, terms, mode, constant=few is not None), k)
+    return top(scores(found, stats, terms, mode), k)
 
 
-def search_index(postings: DataFrame, stats: DataFrame, queries: DataFrame, mode: int, k: int = TOP) -> DataFrame:
-    """Top passages from a stored index: only row groups that may hold the query's terms are read."""
+def search_index(postings: DataFrame, passages: DataFrame, stats: DataFrame, queries: DataFrame, mode: int, k: int = TOP) -> DataFrame:
+    """Top passages from a stored index: only row groups that may hold the query's terms are read, and only the best
+    get their passage id."""
     terms = cut(query_terms(queries))
     few = _few(terms)
     found = postings.where(F.col("term").isin(few)) if few is not None else postings.join(terms.select("term").distinct(), "term", "left_semi")
-    found = found if "pid" in found.columns else found.withColumn("pid", F.col("doc_id"))
-    return top(scores(found, stats, terms, mode, constant=few is not None), k)
+    best = top(scores(found.withColumn("pid", F.lit(0).cast("long")), stats, terms, mode), k).drop("pid")
+    return best.join(passages.select("doc_id", "pid"), "doc_id").select("query_idx", "rank", "doc_id", "pid", "score")
 
 
 def with_snippets(results: DataFrame, docs: DataFrame, queries: DataFrame) -> DataFrame:

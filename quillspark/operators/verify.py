@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import ranking
+from ..functions.text import tokenize
 from ..plans.ordinals import with_ordinal
-from .index import CHUNK, FILE_HEAD
+from ..plans.staging import cut
+from .index import CHUNK, FILE_HEAD, with_next
 
 
 def audited_terms(lexicon: DataFrame, explicit: Sequence[str], stride: int = 89) -> DataFrame:
@@ -30,20 +33,45 @@ def bound_audit(chunks: DataFrame, scored: DataFrame, terms: DataFrame | None =
 
 
 def monotonic_audit(chunks: DataFrame) -> DataFrame:
-    """One row: chunks, and those whose doc_ids don't strictly increase, within or from one to the next."""
+    """One row: chunks, and those whose doc_ids don't strictly increase, within or up to the next one, or that are short before a next one."""
     inside = F.exists(F.transform("docids", lambda v, i: (i > 0) & (v <= F.get("docids", i - 1))), lambda x: x)
-    by = Window.partitionBy("term").orderBy("chunk_idx")
-    # A window over chunks: 64 times fewer rows than postings.
-    across = F.coalesce(F.element_at("docids", 1) <= F.lag("last_docid").over(by), F.lit(False))
-    full = F.coalesce(F.lead("chunk_idx").over(by).isNotNull() & (F.col("chunk_size") != CHUNK), F.lit(False))
-    return chunks.select((inside | across).alias("bad"), full.alias("short")).agg(F.count("*").alias("n_chunks"), F.count_if("bad").alias("violations"), F.count_if("short").alias("short_chunks"))
-
-
-def max_score_audit(lexicon: DataFrame, scored: DataFrame, terms: Sequence[str], tolerance: float = 1e-9) -> DataFrame:
-    """(term, doc_count, max_score, ok) of spot terms against postings scored anew."""
-    fresh = scored.where(F.col("term").isin(list(terms))).groupBy("term").agg(F.count("*").alias("n"), F.max("contribution").alias("best"))
+    edges = chunks.select("term", "chunk_idx", "chunk_size", "last_docid", F.element_at("docids", 1).alias("first"), inside.alias("inside"))
+    pairs = with_next(edges, F.col("first").alias("after"))
+    bad = F.col("inside") | F.coalesce(F.col("after") <= F.col("last_docid"), F.lit(False))
+    short = F.col("after").isNotNull() & (F.col("chunk_size") != CHUNK)
+    return pairs.select(bad.alias("bad"), short.alias("short")).agg(F.count("*").alias("n_chunks"), F.count_if("bad").alias("violations"), F.count_if("short").alias("short_chunks"))
+
+
+def max_score_audit(lexicon: DataFrame, docs: DataFrame, terms: Sequence[str], tolerance: float = 1e-9) -> DataFrame:
+    """(term, doc_count, max_score, ok) of spot terms that the lexicon or the collection has, scored anew from the collection's texts."""
+    known = F.array(*map(F.lit, terms))
+    split = docs.select(tokenize(F.col("text")).alias("tokens"))
+    each = F.transform(known, lambda t: F.size(F.filter("tokens", lambda x: x == t)).cast("long"))
+    seen = cut(split.select(F.size("tokens").alias("length"), each.alias("freqs")))
+    n, total = seen.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+    spots = seen.select("length", F.explode(F.arrays_zip(known.alias("term"), F.col("freqs").alias("freq"))).alias("x")).select("length", "x.term", "x.freq").where("freq > 0")
+    df = F.count("*").alias("df")
+    weighed = spots.join(F.broadcast(spots.groupBy("term").agg(df)), "term")  # a row per spot term
+    share = ranking.contribution(ranking.idf(F.lit(float(n)), F.col("df")), F.col("freq"), F.col("length"), F.lit(total / n if n else 0.0))
+    fresh = weighed.groupBy("term", "df").agg(F.max(share).alias("best"))
     near = F.abs(F.col("best") - F.col("max_score")) <= tolerance * F.greatest(F.lit(1.0), F.abs("best"))
-    return lexicon.where(F.col("term").isin(list(terms))).join(fresh, "term").select("term", "doc_count", F.round("max_score", 6).alias("max_score"), ((F.col("n") == F.col("doc_count")) & near).alias("ok"))
+    both = lexicon.where(F.col("term").isin(list(terms))).join(fresh, "term", "full")
+    return both.select("term", "doc_count", F.round("max_score", 6).alias("max_score"), F.coalesce((F.col("df") == F.col("doc_count")) & near, F.lit(False)).alias("ok"))
+
+
+def collection_mismatch(passages: DataFrame, stats: DataFrame, docs: DataFrame) -> str | None:
+    """What tells an index from the collection that it should be of: numbers of passages, their lengths, or the average."""
+    lengths = docs.select("doc_id", F.size(tokenize(F.col("text"))).alias("now"))
+    joined = passages.select("doc_id", "length").join(lengths, "doc_id", "full")
+    rows, kept, total, other = joined.agg(F.count("now"), F.count("length"), F.coalesce(F.sum("now"), F.lit(0)), F.min(F.when(~F.col("length").eqNullSafe(F.col("now")), F.col("doc_id")))).first()
+    n, total_len, average = stats.select("n", "total_len", "avg_len").first()
+    if rows != kept or n != rows:
+        return f"the collection has {rows} passages, the index {kept} of {n}"
+    if other is not None:
+        return f"passage {other} differs in length"
+    if total != total_len or abs(average * n - total) > 1e-9 * max(total, 1):
+        return "the average length is wrong"
+    return None
 
 
 def latency_stats(timings: DataFrame, column: str = "ms") -> DataFrame:

@@ -45,17 +45,3 @@ def with_running_sum(df: DataFrame, order: Sequence[str], value: Column, name: s
     if ordinal:
         found = found.withColumn(ordinal, F.col("_before_1") + F.col("_place"))
     return found.drop("_part", "_place", "_value", "_inside", "_before_0", "_before_1")
-
-
-def with_place_in_group(df: DataFrame, group: str, order: str, name: str) -> DataFrame:
-    """``df`` with each row's 0-based place among its group's rows by ``order``; a group may be in many partitions.
-
-    A partition shares only its first and its last group with others, so the table of offsets has at most one row
-    per partition that isn't zero, and only those are joined.
-    """
-    parts = ranged(df, [group, order])
-    local = Window.partitionBy("_part", group).orderBy("_place")
-    counts = parts.groupBy(group, "_part").agg(F.count("*").alias("n"))
-    earlier = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_offset", F.sum("n").over(earlier)).where("_offset > 0").select(group, "_part", "_offset")
-    return parts.withColumn("_local", F.row_number().over(local) - 1).join(F.broadcast(offsets), [group, "_part"], "left").withColumn(name, (F.col("_local") + F.coalesce("_offset", F.lit(0))).cast("long")).drop("_part", "_place", "_local", "_offset")

@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import ranking, varbyte
 from .functions.text import AFTER, BEFORE, DEFAULT_WORDS, MARK, UNMARK, tokenize
 from .operators import index, prune, search, verify
 from .plans.ordinals import with_running_sum
-from .plans.staging import cut
+from .plans.staging import cut, new_folder
 from .sources import collection
 
 #: The batch that the ranking queries answer: single terms, pairs, repeats, terms in most passages, absent ones, none at all.
@@ -40,12 +39,18 @@ class Built:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.docs = docs(spark, sf_dir)
-        self.postings = cut(index.postings(self.docs))
-        self.stats = cut(index.corpus_stats(self.docs.select(F.size(tokenize(F.col("text"))).alias("length"))))
-        self.scored = cut(index.contributions(self.postings, self.stats))
+        counted = cut(index.counted(self.docs))
+        self.postings = index.postings_of(counted)
+        self.stats = cut(index.corpus_stats(counted.select("length")))
+
+    def scored(self) -> DataFrame:
+        return index.contributions(self.postings, self.stats)
+
+    def chunks(self) -> DataFrame:
+        return index.chunks(self.postings, self.stats)
 
     def chunked(self) -> tuple[DataFrame, DataFrame]:
-        chunks = cut(index.chunks(self.scored))
+        chunks = cut(self.chunks())
         return chunks, cut(index.lexicon(chunks))
 
 
@@ -83,23 +88,23 @@ def q_idf(spark, sf_dir):
 
 
 def q_bm25_scores(spark, sf_dir):
-    return Built(spark, sf_dir).scored.select("term", "doc_id", "freq", F.round("contribution", 6).alias("contribution"))
+    return Built(spark, sf_dir).scored().select("term", "doc_id", "freq", F.round("contribution", 6).alias("contribution"))
 
 
 def q_chunks(spark, sf_dir):
     joined = lambda c: F.array_join(F.transform(c, lambda v: v.cast("string")), ",").alias(c)
-    found = index.chunks(Built(spark, sf_dir).scored)
+    found = Built(spark, sf_dir).chunks()
     return found.select("term", "chunk_idx", "chunk_size", "last_docid", F.round(F.col("max_score").cast("double"), 5).alias("max_score"), "docid_bytes", "freq_bytes", joined("docids"), joined("freqs"))
 
 
 def q_dgaps(spark, sf_dir):
-    found = index.chunks(Built(spark, sf_dir).scored)
+    found = Built(spark, sf_dir).chunks()
     return found.select("term", "chunk_idx", F.explode(F.arrays_zip(F.col("docids").alias("doc_id"), index.gaps(F.col("docids")).alias("gap"))).alias("x")).select("term", "chunk_idx", "x.doc_id", "x.gap")
 
 
 def q_dgap_decode(spark, sf_dir):
     """Doc ids after coding gaps as bytes and back."""
-    found = index.chunks(Built(spark, sf_dir).scored).select("term", "chunk_idx", varbyte.encode(index.gaps(F.col("docids"))).alias("code"))
+    found = Built(spark, sf_dir).chunks().select("term", "chunk_idx", varbyte.encode(index.gaps(F.col("docids"))).alias("code"))
     return found.select("term", "chunk_idx", F.posexplode(index.ungaps(varbyte.decode(F.col("code")))).alias("place", "doc_id"))
 
 
@@ -128,11 +133,9 @@ def q_next_geq(spark, sf_dir):
 
 def q_next_posting(spark, sf_dir):
     """Each posting's successor in its list, from the list's chunks and the first id of the next chunk."""
-    found = index.chunks(Built(spark, sf_dir).scored)
-    by = Window.partitionBy("term").orderBy("chunk_idx")
-    following = found.select("term", "docids", F.lead(F.element_at("docids", 1)).over(by).alias("after"))
+    found = index.with_next(cut(Built(spark, sf_dir).chunks().select("term", "chunk_idx", "docids")), F.element_at("docids", 1).alias("after"))
     moved = F.transform("docids", lambda v, i: F.struct(v.alias("doc_id"), F.coalesce(F.get("docids", i + 1), F.col("after")).alias("next_doc")))
-    return following.select("term", F.explode(moved).alias("x")).select("term", "x.doc_id", F.coalesce("x.next_doc", F.lit(END)).alias("next_doc"))
+    return found.select("term", F.explode(moved).alias("x")).select("term", "x.doc_id", F.coalesce("x.next_doc", F.lit(END)).alias("next_doc"))
 
 
 def q_bm25_and(spark, sf_dir):
@@ -154,11 +157,9 @@ def q_batch_results(spark, sf_dir):
 
 class Pruning:
     def __init__(self, spark: SparkSession, sf_dir: str):
-        built = Built(spark, sf_dir)
-        self.scored = built.scored
-        self.chunks, self.lexicon = built.chunked()
+        self.chunks, self.lexicon = Built(spark, sf_dir).chunked()
         self.terms = cut(search.query_terms(batch(spark)))
-        self.theta = cut(prune.thresholds(self.terms, self.scored))
+        self.theta = cut(prune.thresholds(self.terms, self.chunks))
         self.bounds = prune.list_bounds(search.query_tokens(batch(spark)), self.lexicon)
         self.verdicts = cut(prune.chunk_verdicts(self.terms, self.chunks, self.lexicon, self.theta))
 
@@ -180,7 +181,7 @@ def q_essential_lists(spark, sf_dir):
 
 def q_blockmax_topk(spark, sf_dir):
     p = Pruning(spark, sf_dir)
-    return prune.pruned_top(p.verdicts, p.scored)
+    return prune.pruned_top(p.verdicts)
 
 
 def q_query_stats(spark, sf_dir):
@@ -194,7 +195,7 @@ def q_pruning_summary(spark, sf_dir):
 
 def q_verify_blockmax(spark, sf_dir):
     built = Built(spark, sf_dir)
-    return verify.bound_audit(built.chunked()[0], built.scored)
+    return verify.bound_audit(built.chunks(), built.scored())
 
 
 def q_verify_sample(spark, sf_dir):
@@ -203,11 +204,11 @@ def q_verify_sample(spark, sf_dir):
 
 def q_check_maxscore(spark, sf_dir):
     built = Built(spark, sf_dir)
-    return verify.max_score_audit(built.chunked()[1], built.scored, SPOT_TERMS)
+    return verify.max_score_audit(built.chunked()[1], built.docs, SPOT_TERMS)
 
 
 def q_check_monotonic(spark, sf_dir):
-    return verify.monotonic_audit(Built(spark, sf_dir).chunked()[0])
+    return verify.monotonic_audit(cut(Built(spark, sf_dir).chunks()))
 
 
 def q_index_summary(spark, sf_dir):
@@ -230,21 +231,18 @@ def q_passages_of_lines(spark, sf_dir):
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> str:
-    """A folder of lines made of the documents, every seventh without its TAB."""
-    shared = spark.conf.get("spark.checkpoint.dir", "") or tempfile.gettempdir()
-    path = f"{shared.rstrip('/')}/quillspark-lines-{spark.sparkContext.applicationId}"
-    gap = F.when(F.col("doc_id") % 7 == 3, F.lit(" ")).otherwise(F.lit("\t"))
+    """A folder of lines made of the documents."""
+    path = new_folder(spark, "lines")
     flat = F.regexp_replace("text", "[\n\t]", " ")
-    lines = docs(spark, sf_dir).select("doc_id", F.concat(F.col("pid").cast("string"), gap, flat).alias("value"))
-    lines.repartitionByRange("doc_id").sortWithinPartitions("doc_id").select("value").write.mode("overwrite").option("lineSep", "\n").text(path)
+    lines = docs(spark, sf_dir).select("doc_id", F.concat_ws("\t", F.col("pid").cast("string"), flat).alias("value"))
+    lines.repartitionByRange("doc_id").sortWithinPartitions("doc_id").select("value").write.option("lineSep", "\n").text(path)
     return path
 
 
 def q_query_file(spark, sf_dir):
-    shared = spark.conf.get("spark.checkpoint.dir", "") or tempfile.gettempdir()
-    path = f"{shared.rstrip('/')}/quillspark-queries-{spark.sparkContext.applicationId}"
+    path = new_folder(spark, "queries")
     lines = [(i, x) for i, x in enumerate(["tion from", "", "la des\r", "!!!", "\r", "the", ""])]
-    spark.createDataFrame(lines, "i int, value string").orderBy("i").coalesce(1).select("value").write.mode("overwrite").text(path)
+    spark.createDataFrame(lines, "i int, value string").orderBy("i").coalesce(1).select("value").write.text(path)
     return collection.read_queries(spark, path)
 
 
@@ -292,7 +290,7 @@ ess AS (SELECT query_idx, count(*)::BIGINT AS n_lists, count(*) FILTER (ub <= th
 qub AS (SELECT query_idx, sum(mult * max_score) AS ub FROM qterm JOIN lex USING (term) GROUP BY query_idx),
 verdict AS (SELECT query_idx, mult, chunk_size, mult * {{up}} + (ub - mult * max_score) >= theta - 1e-6 AS needed FROM qterm JOIN lex USING (term) JOIN qub USING (query_idx) JOIN theta USING (query_idx) JOIN chunk USING (term)),
 cost AS (SELECT query_idx, sum(mult * doc_count)::BIGINT AS total_postings FROM qterm JOIN dfreq USING (term) GROUP BY query_idx),
-qstats AS (SELECT query_idx, coalesce(s, 0)::BIGINT AS postings_scored, coalesce(total_postings, 0)::BIGINT AS total_postings, coalesce(n_lists - n_bounded, 0)::BIGINT AS n_essential, coalesce(k, 0)::BIGINT AS chunks_skipped
+qstats AS (SELECT query_idx, coalesce(s, 0)::BIGINT AS postings_kept, coalesce(total_postings, 0)::BIGINT AS total_postings, coalesce(n_lists - n_bounded, 0)::BIGINT AS n_essential, coalesce(k, 0)::BIGINT AS chunks_dropped
   FROM q LEFT JOIN (SELECT query_idx, sum(CASE WHEN needed THEN mult * chunk_size ELSE 0 END) AS s, sum(CASE WHEN needed THEN 0 ELSE 1 END) AS k FROM verdict GROUP BY query_idx) USING (query_idx) LEFT JOIN cost USING (query_idx) LEFT JOIN ess USING (query_idx))
 """
 
@@ -343,18 +341,22 @@ SELECT value, n_bytes, value AS decoded, array_to_string(list_transform(range(0,
     "essential_lists": f"{_BASE} SELECT query_idx, n_lists, n_bounded::BIGINT AS n_bounded, (n_lists - n_bounded)::BIGINT AS n_essential FROM ess",
     "blockmax_topk": f"{_BASE} SELECT query_idx, rank::INTEGER AS rank, doc_id, score FROM ranked_or WHERE rank <= 10",
     "query_stats": f"{_BASE} SELECT * FROM qstats",
-    "pruning_summary": f"""{_BASE} SELECT count(*)::BIGINT AS n_queries, sum(postings_scored)::BIGINT AS postings_scored, sum(total_postings)::BIGINT AS total_postings,
-  round(CASE WHEN sum(total_postings) > 0 THEN 100.0 * (sum(total_postings) - sum(postings_scored))::DOUBLE / sum(total_postings)::DOUBLE ELSE 0 END, 6) AS pruned_percent,
-  round(avg(n_essential), 6) AS mean_essential, sum(chunks_skipped)::BIGINT AS chunks_skipped FROM qstats""",
+    "pruning_summary": f"""{_BASE} SELECT count(*)::BIGINT AS n_queries, sum(postings_kept)::BIGINT AS postings_kept, sum(total_postings)::BIGINT AS total_postings,
+  round(CASE WHEN sum(total_postings) > 0 THEN 100.0 * (sum(total_postings) - sum(postings_kept))::DOUBLE / sum(total_postings)::DOUBLE ELSE 0 END, 6) AS pruned_percent,
+  round(avg(n_essential), 6) AS mean_essential, sum(chunks_dropped)::BIGINT AS chunks_dropped FROM qstats""",
     "verify_blockmax": f"{_BASE} SELECT count(*) AS n_checked, count(*) FILTER (slack < 0) AS violations, round(min(slack), 5) AS min_slack, round(max(slack), 5) AS max_slack FROM (SELECT b - c AS slack FROM placed JOIN (SELECT term, chunk_idx, {_UP} AS b FROM chunk) USING (term, chunk_idx))",
     "verify_sample": f"{_BASE} SELECT term FROM (SELECT term, row_number() OVER (ORDER BY term) - 1 AS n FROM dfreq) WHERE n % 89 = 0 OR term IN ({_SPOT})",
-    "check_maxscore": f"{_BASE} SELECT term, doc_count, round(max_score, 6) AS max_score, true AS ok FROM lex WHERE term IN ({_SPOT})",
+    "check_maxscore": f"""{_BASE}, spot AS (SELECT unnest([{_SPOT}]) AS term),
+seen AS (SELECT term, doc_id, len(toks) AS l, len(list_filter(toks, lambda x: x = term)) AS f FROM tok, spot),
+own AS (SELECT term, count(*) FILTER (f > 0) AS df FROM seen GROUP BY term),
+fresh AS (SELECT term, any_value(df) AS df, max(greatest(0.0, ln(((SELECT count(*) FROM tok) - df + 0.5) / (df + 0.5)) * 2.2 * f / (f + 1.2 * (0.25 + 0.75 * l / (SELECT avg(len(toks)) FROM tok))))) AS best FROM seen JOIN own USING (term) WHERE f > 0 GROUP BY term)
+SELECT term, doc_count, round(max_score, 6) AS max_score, coalesce(df = doc_count AND abs(best - max_score) <= 1e-9 * greatest(1.0, abs(best)), false) AS ok FROM (SELECT * FROM lex WHERE term IN ({_SPOT})) FULL JOIN fresh USING (term)""",
     "check_monotonic": f"{_BASE} SELECT count(*) AS n_chunks, 0::BIGINT AS violations, 0::BIGINT AS short_chunks FROM chunk",
     "index_summary": f"{_BASE} SELECT n, total_len, (SELECT count(*) FROM lex) AS n_terms, (SELECT sum(doc_count)::BIGINT FROM lex) AS n_postings, (SELECT (sum(length) + 4)::BIGINT FROM lex) AS packed_bytes, (SELECT count(*) FROM chunk) AS n_chunks FROM stats",
     "latency_stats": f"SELECT count(*) AS n, quantile_disc(ms, 0.5) AS p50, quantile_disc(ms, 0.95) AS p95, round(avg(ms), 6) AS mean, min(ms) AS least, max(ms) AS most FROM (SELECT x::DOUBLE AS ms FROM ({_values((x,) for x in LATENCIES)}) t(x))",
-    "scan_collection": f"SELECT (row_number() OVER (ORDER BY doc_id) - 1)::BIGINT AS doc_id, doc_id AS pid, sha256({_FLAT}) AS text_sha256 FROM documents WHERE doc_id % 7 <> 3",
+    "scan_collection": f"SELECT (row_number() OVER (ORDER BY doc_id) - 1)::BIGINT AS doc_id, doc_id AS pid, sha256({_FLAT}) AS text_sha256 FROM documents",
     "passages_of_lines": f"""WITH l AS (SELECT doc_id AS pid, {_FLAT} AS t, strlen(doc_id::VARCHAR) + 1 + strlen({_FLAT}) + 1 AS b FROM documents),
 o AS (SELECT pid, t, coalesce(sum(b) OVER (ORDER BY pid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS file_offset FROM l)
-SELECT (row_number() OVER (ORDER BY pid) - 1)::BIGINT AS doc_id, pid, len({_tok("t")})::INTEGER AS length, file_offset FROM o WHERE pid % 7 <> 3""",
+SELECT (row_number() OVER (ORDER BY pid) - 1)::BIGINT AS doc_id, pid, len({_tok("t")})::INTEGER AS length, file_offset FROM o""",
     "query_file": "SELECT i::INTEGER AS query_idx, q AS query FROM (VALUES (0, 'tion from'), (1, 'la des'), (2, '!!!'), (3, 'the')) v(i, q)",
 }

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from ..functions.text import tokenize
 from ..operators import index
 from ..plans.ordinals import with_ordinal, with_running_sum
+from ..plans.staging import cut
 
-FORMAT = "quillspark-index-1"
+FORMAT = "quillspark-index-2"
 
 
 def parse_id(field: Column) -> Column:
@@ -71,23 +72,32 @@ def write_results(results: DataFrame, path: str) -> None:
 
 
 def save_index(docs: DataFrame, path: str) -> None:
-    """Writes postings, statistics, chunks, lexicon and, last, a manifest; texts are read once."""
+    """Writes postings, statistics, chunks, lexicon and, last, a manifest; texts are tokenized once."""
     spark = docs.sparkSession
-    index.postings(docs).repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
-    docs.select("doc_id", "pid", F.size(tokenize(F.col("text"))).alias("length")).write.mode("overwrite").parquet(f"{path}/passages")
+    counted = cut(index.counted(docs))
+    postings = index.postings_of(counted)
+    postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
+    counted.select("doc_id", "pid", "length").write.mode("overwrite").parquet(f"{path}/passages")
     index.corpus_stats(spark.read.parquet(f"{path}/passages")).write.mode("overwrite").parquet(f"{path}/stats")
-    scored = index.contributions(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/stats"))
-    index.chunks(scored).write.mode("overwrite").parquet(f"{path}/chunks")
-    index.lexicon(spark.read.parquet(f"{path}/chunks")).write.mode("overwrite").parquet(f"{path}/lexicon")
+    chunks = index.chunks(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/stats"))
+    chunks.repartitionByRange("term", "chunk_idx").sortWithinPartitions("term", "chunk_idx").write.mode("overwrite").parquet(f"{path}/chunks")
+    lexicon = index.lexicon(spark.read.parquet(f"{path}/chunks"))
+    lexicon.write.mode("overwrite").parquet(f"{path}/lexicon")
+    longest = spark.read.parquet(f"{path}/lexicon").agg(F.max(F.octet_length("term"))).first()[0] or 0
+    if longest > LONGEST_TERM:
+        raise ValueError(f"a term has {longest} bytes, {LONGEST_TERM} are the most that an index can hold")
     counts = [(FORMAT, *(spark.read.parquet(f"{path}/{t}").count() for t in TABLES))]
     spark.createDataFrame(counts, "format string, " + ", ".join(f"{t} long" for t in TABLES)).coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest")
 
 
 TABLES = ("postings", "passages", "stats", "chunks", "lexicon")
+#: Bytes of a term that the packed layout's 16-bit length can say.
+LONGEST_TERM = 65_535
 
 
 def load_index(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """The tables of a stored index; fails if the format or a table's size isn't what the manifest says."""
+    """The tables of a stored index; fails if the format or a table's size isn't what the manifest says, or if passages and
+    lists disagree. Counts come from the files' footers, the rest from one pass over narrow columns."""
     manifest = spark.read.parquet(f"{path}/manifest").first()
     if manifest is None or manifest["format"] != FORMAT:
         raise ValueError(f"{path} holds no index of format {FORMAT}")
@@ -95,4 +105,15 @@ def load_index(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     for name, table in tables.items():
         if (n := table.count()) != manifest[name]:
             raise ValueError(f"{name} has {n} rows, the manifest says {manifest[name]}: the index is damaged or stale")
+    n, total = tables["stats"].select("n", "total_len").first()
+    passages, length = tables["passages"].agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+    if (passages, length) != (n, total):
+        raise ValueError(f"passages have {length} tokens in {passages} rows, the statistics say {total} in {n}: the index is damaged or stale")
+    postings = tables["chunks"].agg(F.coalesce(F.sum("chunk_size"), F.lit(0))).first()[0]
+    listed = tables["lexicon"].agg(F.coalesce(F.sum("doc_count"), F.lit(0))).first()[0]
+    if not postings == listed == manifest["postings"]:
+        raise ValueError(f"chunks hold {postings} postings, the lexicon says {listed}: the index is damaged or stale")
+    lost = tables["chunks"].select(F.col("last_docid").alias("doc_id")).distinct().join(tables["passages"], "doc_id", "left_anti")
+    if not lost.isEmpty():
+        raise ValueError("a list has a passage that the passage table lacks: the index is damaged or stale")
     return tables

@@ -9,7 +9,8 @@ from quillspark import cli
 from quillspark.functions import ranking, varbyte
 from quillspark.functions.text import MARK, UNAVAILABLE, UNMARK, snippet, term_counts, tokenize
 from quillspark.operators import index, prune, search, verify
-from quillspark.plans.ordinals import with_ordinal, with_place_in_group, with_running_sum
+from quillspark.plans import staging
+from quillspark.plans.ordinals import with_ordinal, with_running_sum
 from quillspark.sources import collection
 from quillspark.streaming.incremental import index_stream
 
@@ -142,11 +143,45 @@ def test_ordinals_and_sums_over_many_partitions(spark):
         want[k] = total
         total += v
     assert {r["k"]: r["s"] for r in with_running_sum(df, ["k"], F.col("v"), "s").collect()} == want
-    hot = spark.createDataFrame([("hot" if i % 3 else f"g{i % 50:02}", i) for i in range(4_000)], "g string, k long")
-    seen = {}
-    for r in with_place_in_group(hot, "g", "k", "place").orderBy("g", "k").collect():
-        assert r["place"] == seen.get(r["g"], 0)
-        seen[r["g"]] = r["place"] + 1
+
+
+@pytest.mark.parametrize("partitions", ["3", "40"])
+def test_chunks_of_lists_over_many_ranges(spark, partitions):
+    """A third of all postings is one term's, so its list is in most ranges and chunks begin in one and end in the next."""
+    rows = [("hot" if i % 3 else f"g{i % 50:02}", i, 1 + i % 7, 10 + i % 5) for i in range(4_000)] + [("last", 3, 2, 9)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = spark.createDataFrame(rows, "term string, doc_id long, freq long, length int").repartition(5)
+        stats = spark.createDataFrame([(9_000, 99_000, 11.0)], "n long, total_len long, avg_len double")
+        chunks = index.chunks(found, stats).orderBy("term", "chunk_idx").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    lists = {}
+    for t, d, f, n in sorted(rows):
+        lists.setdefault(t, []).append((d, f, n))
+    want = [(t, k, x[64 * k : 64 * k + 64]) for t, x in sorted(lists.items()) for k in range(-(-len(x) // 64))]
+    assert [(c["term"], c["chunk_idx"], c["docids"], c["freqs"]) for c in chunks] == [(t, k, [p[0] for p in x], [p[1] for p in x]) for t, k, x in want]
+    scored = {(r["term"], r["doc_id"]): r["contribution"] for r in index.contributions(found, stats).collect()}
+    assert all(abs(c["contributions"][i] - scored[c["term"], d]) < 1e-12 for c in chunks for i, d in enumerate(c["docids"]))
+    broken = spark.createDataFrame(chunks[:3] + [chunks[3].asDict() | {"docids": chunks[3]["docids"][::-1]}], index.chunks(found, stats).schema)
+    assert verify.monotonic_audit(broken).first()["violations"] >= 1
+
+
+def test_folders_are_shared_or_refused(spark, monkeypatch):
+    class Context:
+        master, applicationId = "spark://host:7077", "app"
+
+    class Session:
+        sparkContext, conf = Context, {"spark.checkpoint.dir": ""}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        staging.shared_folder(Session)
+    Session.conf = {"spark.checkpoint.dir": "hdfs://x/y/"}
+    assert staging.shared_folder(Session) == "hdfs://x/y"
+    assert spark.sparkContext._jsc.sc().conf().get("spark.cleaner.referenceTracking.cleanCheckpoints") == "true"
 
 
 def lines(tmp_path, data):
@@ -188,7 +223,21 @@ def test_stored_index_command_line_and_guards(spark, tmp_path, monkeypatch, caps
     assert cli.main(["verify", at, "1"]) == 0
     answers = iter(["pizza", "0", "", "exit"])
     monkeypatch.setattr("builtins.input", lambda prompt="": next(answers))
-    assert cli.main(["query", at]) == 0 and "1. [" in capsys.readouterr().out
+    capsys.readouterr()
+    assert cli.main(["query", at]) == 0
+    said = capsys.readouterr().out
+    assert "1. [5077]" in said and "2. [5070]" in said  # the passages' own ids, not their numbers
+    assert cli.main(["query", at, "--batch", str(tmp_path / "q.txt"), "--mode", "1", "--out", out, "--time-each"]) == 0
+    said = capsys.readouterr().out
+    assert "3 queries, mode 1 (OR)" in said and "latency (ms): n=3 p50=" in said and "25 of 25 postings needed" in said
+    assert cli.main(["query", at, "--batch", str(tmp_path / "q.txt"), "--mode", "0", "--out", out]) == 0 and "pruning" not in capsys.readouterr().out
+    assert cli.main(["check", at, source, "pizza", "café", "absent"]) == 0
+    said = capsys.readouterr().out
+    assert "ok  pizza 12" in said and "ok  café 40 0.0" in said and "ok  absent is in neither" in said
+    for n, other in enumerate((data.split(b"\n", 1)[1], data.replace(b"filler", b"filler more"), data.replace(b"caf", b"pizza-caf", 1), data.replace(b"filler", b"pizza", 3))):
+        (tmp_path / f"other{n}.tsv").write_bytes(other)
+        assert cli.main(["check", at, str(tmp_path / f"other{n}.tsv"), "pizza"]) == 1
+    assert "BAD pizza" in capsys.readouterr().out
     for bad in (["verify", at, "0"], ["query", at, "--batch", "q"], ["query", at, "--batch", "q", "--mode", "2", "--out", "x"], ["query", at, "--snippets"]):
         assert cli.main(bad) == 1
     spark.read.parquet(f"{at}/postings").limit(3).write.mode("overwrite").parquet(f"{at}/other")
@@ -197,6 +246,23 @@ def test_stored_index_command_line_and_guards(spark, tmp_path, monkeypatch, caps
         collection.load_index(spark, at)
 
 
+@pytest.mark.parametrize("table, change", [("passages", "length + 1 as length"), ("stats", "n + 1 as n"), ("lexicon", "doc_count + 1 as doc_count"), ("chunks", "last_docid + 1000 as last_docid")])
+def test_tables_that_disagree_are_refused(spark, tmp_path, table, change):
+    at = str(tmp_path / "index")
+    collection.save_index(table_of := spark.createDataFrame([(i, i, f"a b{i}") for i in range(9)], "doc_id long, pid long, text string"), at)
+    assert collection.load_index(spark, at)["passages"].count() == table_of.count()
+    column = change.split(" as ")[1]
+    spark.read.parquet(f"{at}/{table}").withColumn(column, F.expr(change.split(" as ")[0])).write.parquet(f"{at}/changed")
+    spark.read.parquet(f"{at}/changed").write.mode("overwrite").parquet(f"{at}/{table}")
+    with pytest.raises(ValueError, match="stale"):
+        collection.load_index(spark, at)
+
+
+def test_terms_that_are_too_long_are_refused(spark, tmp_path):
+    with pytest.raises(ValueError, match="65536 bytes"):
+        collection.save_index(table(spark, ["x" * 65_536]), str(tmp_path / "index"))
+
+
 def test_pruning_drops_chunks_and_keeps_the_top(spark):
     rng = random.Random(9)
     texts = [" ".join(["rare"] * (1 + (9 if i < 60 else 0)) + ["pad"] * rng.randrange(1, 40)) if i % 3 == 0 else "common " * rng.randrange(1, 3) + "pad" for i in range(3_000)]
@@ -204,14 +270,14 @@ def test_pruning_drops_chunks_and_keeps_the_top(spark):
     found = index.postings(docs)
     stats = index.corpus_stats(docs.select(F.size(tokenize(F.col("text"))).alias("length")))
     scored = index.contributions(found, stats)
-    chunks = index.chunks(scored)
+    chunks = index.chunks(found, stats)
     lexicon = index.lexicon(chunks)
     queries = asked(spark, "rare", "rare rare", "absent")
     terms = search.query_terms(queries)
-    verdicts = prune.chunk_verdicts(terms, chunks, lexicon, prune.thresholds(terms, scored))
+    verdicts = prune.chunk_verdicts(terms, chunks, lexicon, prune.thresholds(terms, chunks))
     assert verdicts.where("not needed").count() > 0
     want = search.search(docs, queries, search.OR).select("query_idx", "rank", "doc_id", "score")
-    assert sorted(prune.pruned_top(verdicts, scored).collect()) == sorted(want.collect())
+    assert sorted(prune.pruned_top(verdicts).collect()) == sorted(want.collect())
     assert verify.bound_audit(chunks, scored).first()["violations"] == 0
     assert verify.monotonic_audit(chunks).first()["violations"] == 0
 
