@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
+from ..plans.staging import cut  # noqa: F401
+
 #: Bytes of text that a worker handles at once.
 SLICE_BYTES = 2 << 20
 #: Words a worker keeps in a cache before it starts a new one, and characters (or bytes) of a word that it keeps at all:
@@ -30,18 +32,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and written to the cluster's shared checkpoint folder.
-
-    ``spark.checkpoint.dir`` names that folder; a temporary one is set only where it is unset.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quillspark-"))
-    return df.checkpoint()
-
-
 _SHIPPED: set[str] = set()
 
 
@@ -157,6 +147,54 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+class Lookup:
+    """Places of numbers from 0 on in an array of distinct ones, by open addressing in a table of eight times their size."""
+
+    def __init__(self, keys: np.ndarray):
+        bits = max(3, (8 * max(len(keys), 1) - 1).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.at = np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int32)
+        left, slot = np.arange(len(keys)), self._slots(keys)
+        while left.size:
+            free = np.flatnonzero(self.keys[slot] < 0)
+            taken, first = np.unique(slot[free], return_index=True)
+            self.keys[taken], self.at[taken] = keys[left[free[first]]], left[free[first]]
+            rest = np.ones(len(left), bool)
+            rest[free[first]] = False
+            left, slot = left[rest], (slot[rest] + 1) & self.mask
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each number, -1 where it isn't there."""
+        slot = self._slots(keys)
+        there = self.keys[slot]
+        at = np.where(there == keys, self.at[slot], -1)
+        left = np.flatnonzero((there != keys) & (there >= 0))
+        while left.size:
+            slot[left] = (slot[left] + 1) & self.mask
+            there = self.keys[slot[left]]
+            same = there == keys[left]
+            at[left[same]] = self.at[slot[left[same]]]
+            left = left[~same & (there >= 0)]
+        return at
+
+
+def code_points(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all words (UTF-8), and each word's number of them."""
+    _, offsets, data = words.buffers()
+    edges = np.frombuffer(offsets, np.int32)[words.offset : words.offset + len(words) + 1]
+    raw = np.frombuffer(data, np.uint8)[edges[0] : edges[-1]] if len(words) and data else np.zeros(0, np.uint8)
+    begun = np.concatenate(([0], np.cumsum(raw & 0xC0 != 0x80)))[edges - edges[0]] if len(words) else np.zeros(1, np.int64)
+    return np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), "<u4"), np.diff(begun)
+
+
+def ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... for each of the sizes, one after the other."""
+    return np.arange(int(size.sum())) + np.repeat(start - np.cumsum(size) + size, size)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The finalising steps of splitmix64, on a fresh array."""
     x = x ^ (x >> np.uint64(30))

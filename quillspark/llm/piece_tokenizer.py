@@ -1,6 +1,6 @@
 """SentencePiece (BPE, byte fallback) encoding and decoding in vectorised merge rounds.
 
-Texts are cut into units at word starts. Units not seen lately by the task are encoded together:
+Texts are cut into units at word starts. The distinct units of a slice of texts are encoded together:
 flat numpy symbol arrays, the smallest merge rank of each unit found by a segmented minimum, all
 leftmost non-overlapping pairs of that rank merged at once, the arrays compacted, until no pair
 remains. Edge cases: a null or empty text has just the begin and end ids and decodes to the empty
@@ -14,17 +14,20 @@ import hashlib
 import heapq
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import CACHE_LENGTH, CACHE_WORDS, map_slices
+from .common import Lookup, code_points, map_slices, ragged
 
 SPACE = "▁"
 NONE = np.int32(2**31 - 1)
 #: Units with more symbols than this merge by a heap, as rounds would then cost rounds x symbols.
 LONG_UNIT = 2048
+#: Ids whose bytes are gathered at once.
+DECODE_IDS = 1 << 18
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -90,6 +93,9 @@ class PieceModel:
             raise ValueError("the model has no byte fallback")
         self.raw = [bytes([int(p[3:5], 16)]) if k == 6 else p.encode() if k == 1 else b"" for p, k in zip(self.pieces, kinds)]
         self.is_byte = np.array([k == 6 for k in kinds])
+        spaced = [r.replace(SPACE.encode(), b" ") for r in self.raw]
+        self.raw_size = np.array([len(r) for r in spaced])
+        self.raw_start, self.raw_flat = np.cumsum(self.raw_size) - self.raw_size, np.frombuffer(b"".join(spaced), np.uint8)
         self._index({p: i for i, (p, k) in enumerate(zip(self.pieces, kinds)) if k == 1}, scores)
 
     def _index(self, ids: dict[str, int], scores: list[float]) -> None:
@@ -113,15 +119,16 @@ class PieceModel:
                     to.append(i)
                     parts += [(a, ranks[-1]), (b, ranks[-1])]
         by = np.argsort(np.array(keys, np.int64))
-        self.keys, self.ranks, self.to = np.array(keys, np.int64)[by], np.array(ranks, np.int32)[by], np.array(to, np.int32)[by]
-        self.pairs = {int(k): (int(r), int(t)) for k, r, t in zip(self.keys, self.ranks, self.to)}
+        keys, self.ranks, self.to = np.array(keys, np.int64)[by], np.array(ranks, np.int32)[by], np.array(to, np.int32)[by]
+        self.pair = Lookup(keys)
+        self.pairs = {int(k): (int(r), int(t)) for k, r, t in zip(keys, self.ranks, self.to)}
         # A piece is unsafe if a pair that holds it ranks no later than the piece: then only one pair merges a round.
         self.unsafe = np.zeros(self.width, bool)
         for a, r in parts:
             if a < base and r <= order[scores[a]] and len(self.pieces[a]) > 1:
                 self.unsafe[a] = True
         # No merge crosses two characters that are neighbours in no piece; a unit starts at a space after another character.
-        self.bigrams = np.array(sorted(a * 0x110000 + b for a, b in inside), np.int64)
+        self.bigram = Lookup(np.array(sorted(a * 0x110000 + b for a, b in inside), np.int64))
         cut_at_space = not any(b == ord(SPACE) and a != b for a, b in inside)
         alone = "".join(re.escape(c) for c in "\n\t\r" if not any(ord(c) in pair for pair in inside))
         body = f"[^{SPACE}{alone}]"
@@ -130,15 +137,18 @@ class PieceModel:
 
     def encode_units(self, units: list[str]) -> list[np.ndarray]:
         """Ids of each unit, without begin and end."""
-        if not units:
-            return []
-        points = np.frombuffer("".join(units).encode("utf-32-le"), "<u4").astype(np.int64)
-        lengths = np.fromiter(map(len, units), np.int64, len(units))
-        unit = np.repeat(np.arange(len(units)), lengths)
-        pair = points[:-1] * 0x110000 + points[1:]
-        at = np.minimum(np.searchsorted(self.bigrams, pair), len(self.bigrams) - 1)
+        points = np.frombuffer("".join(units).encode("utf-32-le"), "<u4")
+        ids, ends = self.encode_flat(points, np.fromiter(map(len, units), np.int64, len(units)))
+        return np.split(ids, ends[:-1]) if units else []
+
+    def encode_flat(self, points: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of units of so many code points each, one after the other, and where each one's end."""
+        if not len(points):
+            return np.zeros(0, np.int32), np.zeros(len(lengths), np.int64)
+        points = points.astype(np.int64)
+        unit = np.repeat(np.arange(len(lengths)), lengths)
         first = np.ones(len(points), bool)
-        first[1:] = (self.bigrams[at] != pair) | (unit[1:] != unit[:-1])
+        first[1:] = (self.bigram(points[:-1] * 0x110000 + points[1:]) < 0) | (unit[1:] != unit[:-1])
         segment = np.cumsum(first) - 1
         symbols, segments = self._merge(self.char[points], segment)
         # Back in order, with bytes for what is no piece.
@@ -152,8 +162,7 @@ class PieceModel:
             for s, x in zip(starts[missing].tolist(), spelled):
                 ids[s : s + len(x)] = x
             symbols = ids
-        ends = np.searchsorted(unit_of, np.arange(len(units)), side="right")
-        return np.split(symbols.astype(np.int32), ends[:-1])
+        return symbols.astype(np.int32), np.cumsum(np.bincount(unit_of, minlength=len(lengths)))
 
     def _merge(self, symbols: np.ndarray, segments: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         done: list[tuple[np.ndarray, np.ndarray]] = []
@@ -169,9 +178,9 @@ class PieceModel:
             last[:-1] = segments[1:] != segments[:-1]
             begin = np.flatnonzero(np.concatenate(([True], last[:-1])))
             keys = symbols[:-1].astype(np.int64) * self.width + symbols[1:]
-            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            at = self.pair(keys)
             rank = np.full(len(symbols), NONE, np.int32)
-            hit = (self.keys[at] == keys) & ~last[:-1]
+            hit = (at >= 0) & ~last[:-1]
             rank[:-1][hit] = self.ranks[at[hit]]
             best = np.minimum.reduceat(rank, begin)
             count = np.diff(np.append(begin, len(symbols)))
@@ -239,8 +248,11 @@ class PieceModel:
         """Ids with begin and end."""
         return [self.bos, *(i for x in self.encode_units(self.split(text)) for i in x.tolist()), self.eos]
 
-    def decode_units(self, ids: list[np.ndarray]) -> list[bytes]:
-        return [b"".join(map(self.raw.__getitem__, x.tolist())).replace(SPACE.encode(), b" ") for x in ids]
+    def decode_flat(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """Bytes of all ids, and how many there are before each id and after the last."""
+        parts = (ids[i : i + DECODE_IDS] for i in range(0, len(ids), DECODE_IDS))
+        raw = b"".join([self.raw_flat[ragged(self.raw_start[x], self.raw_size[x])].tobytes() for x in parts])
+        return raw, np.concatenate(([0], np.cumsum(self.raw_size[ids])))
 
     def decode(self, ids: list[int]) -> str:
         """Text of any ids; invalid bytes give the replacement character."""
@@ -260,50 +272,34 @@ def model(path: str) -> PieceModel:
     return _MODELS[path]
 
 
-class UnitCache:
-    """Ids and decoded bytes of the units seen lately by one task; long units stay for one slice only."""
-
-    def __init__(self, path: str):
-        self.model, self.ids, self.text = model(path), {}, {}
-        self.long: list[str] = []
-
-    def learn(self, units: set[str]) -> None:
-        for u in self.long:
-            del self.ids[u], self.text[u]
-        new = [u for u in units if u not in self.ids]
-        if len(self.ids) + len(new) > CACHE_WORDS:
-            self.ids.clear()
-            self.text.clear()
-            new = list(units)
-        encoded = self.model.encode_units(new)
-        self.ids.update(zip(new, (x.tobytes() for x in encoded)))
-        self.text.update(zip(new, self.model.decode_units(encoded)))
-        self.long = [u for u in new if len(u) > CACHE_LENGTH]
-
-
 def encode_documents(docs: DataFrame, model_path: str, *, digests: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids array<int>, decoded string) per row; with ``digests`` SHA-256 of ids and text instead."""
     schema = "doc_id long, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string")
 
     def work():
-        cache = UnitCache(model_path)
-        begin, end = (np.array([i], "<u4").tobytes() for i in (cache.model.bos, cache.model.eos))
+        m = model(model_path)
+        begin, end = (np.array([i], np.int32) for i in (m.bos, m.eos))
 
         def each(part: pa.RecordBatch) -> pa.RecordBatch:
-            texts = [t or "" for t in part.column("text").to_pylist()]
-            split = [cache.model.split(t) for t in texts]
-            cache.learn({u for units in split for u in units})
-            ids = [begin + b"".join(map(cache.ids.__getitem__, units)) + end for units in split]
-            decoded = [b"".join(map(cache.text.__getitem__, units))[1:] for units in split]
-            counts = pa.array([len(x) // 4 for x in ids], pa.int64())
+            split = [m.split(t or "") for t in part.column("text").to_pylist()]
+            edges = np.concatenate(([0], np.cumsum([len(units) for units in split], dtype=np.int64)))
+            coded = pa.array(list(chain.from_iterable(split)), pa.string()).dictionary_encode()
+            known, ends = m.encode_flat(*code_points(coded.dictionary))
+            unit, size = coded.indices.to_numpy(), np.diff(ends, prepend=0)
+            flat = known[ragged((ends - size)[unit], size[unit])]
+            edges = np.concatenate(([0], np.cumsum(size[unit])))[edges]
+            raw, places = m.decode_flat(flat)
+            spans = list(zip(edges[:-1].tolist(), edges[1:].tolist(), places[edges[:-1]].tolist(), places[edges[1:]].tolist()))
+            counts = pa.array(np.diff(edges) + 2)
+            # The first byte of a text stands for the space that its first unit begins with.
             if digests:
-                out = [pa.array([hashlib.sha256(x).hexdigest() for x in y]) for y in (ids, decoded)]
+                ids = pa.array([hashlib.sha256(begin.tobytes() + flat[a:b].tobytes() + end.tobytes()).hexdigest() for a, b, _, _ in spans])
+                decoded = pa.array([hashlib.sha256(raw[c + 1 : d]).hexdigest() for _, _, c, d in spans])
             else:
-                flat = pa.array(np.frombuffer(b"".join(ids), np.int32))
-                ends = np.concatenate(([0], np.cumsum([len(x) // 4 for x in ids])))
-                out = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat), pa.array([d.decode() for d in decoded])]
+                ids = pa.array([np.concatenate((begin, flat[a:b], end)) for a, b, _, _ in spans], pa.list_(pa.int32()))
+                decoded = pa.array([raw[c + 1 : d].decode() for _, _, c, d in spans], pa.string())
             names = ["doc_id", "n_tokens", *(["ids_sha256", "decoded_sha256"] if digests else ["ids", "decoded"])]
-            return pa.RecordBatch.from_arrays([part.column("doc_id"), counts, *out], names=names)
+            return pa.RecordBatch.from_arrays([part.column("doc_id"), counts, ids, decoded], names=names)
 
         return each
 

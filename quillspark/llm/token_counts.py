@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import as_bytes, map_slices
+from .common import Lookup, as_bytes, code_points, map_slices
 from .piece_tokenizer import SPACE, PieceModel
 
 #: Words up to which plain steps are faster than rounds over arrays.
@@ -63,15 +63,15 @@ class Automaton:
         self.classes[points] = np.arange(len(points))
         self.width = len(points) + 1
         edges = sorted((n * self.width + int(self.classes[c]), m) for n, x in enumerate(children) for c, m in x.items())
-        self.keys, self.to = (np.array([e[i] for e in edges]) for i in (0, 1))
+        self.to = np.array([e[1] for e in edges])
+        self.edge = Lookup(np.array([e[0] for e in edges], np.int64))
         self.plain = dict(edges), fail, pops
         self.begin = self._walk(self.classes[list(map(ord, mark))], 0, 0, ends=False)
 
     def step(self, states: np.ndarray, classes: np.ndarray) -> np.ndarray:
         """The child of each state by each class, -1 where there is none."""
-        wanted = states * self.width + classes
-        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
-        return np.where(self.keys[at] == wanted, self.to[at], -1)
+        at = self.edge(states * self.width + classes)
+        return np.where(at >= 0, self.to[at], -1)
 
     def counts(self, words: list[str]) -> np.ndarray:
         """Pieces of each word, -1 for a word without a segmentation."""
@@ -133,15 +133,6 @@ class Automaton:
             left = left[state[left] > 0]
 
 
-def code_points(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of all words (UTF-8), and each word's number of them."""
-    _, offsets, data = words.buffers()
-    edges = np.frombuffer(offsets, np.int32)[words.offset : words.offset + len(words) + 1]
-    raw = np.frombuffer(data, np.uint8)[edges[0] : edges[-1]] if len(words) and data else np.zeros(0, np.uint8)
-    begun = np.concatenate(([0], np.cumsum(raw & 0xC0 != 0x80)))[edges - edges[0]] if len(words) else np.zeros(1, np.int64)
-    return np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), "<u4"), np.diff(begun)
-
-
 _AUTOMATA: dict[str, Automaton] = {}
 
 

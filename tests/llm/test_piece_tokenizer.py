@@ -55,10 +55,17 @@ def test_decode_of_any_ids(library):
         assert p.model(PATH).decode(ids) == library.decode(ids) or any(3 <= i < 259 for i in ids)
 
 
-def test_cache_that_overflows(monkeypatch, library):
-    monkeypatch.setattr(p, "CACHE_WORDS", 5)
-    cache = p.UnitCache(PATH)
-    for text in ("one two three", "four five six seven", "one nine ten"):
-        units = cache.model.split(text)
-        cache.learn(set(units))
-        assert [int(i) for u in units for i in np.frombuffer(cache.ids[u], np.int32)] == library.encode(text)
+def test_units_that_repeat_over_texts(spark, library, monkeypatch):
+    """Units are encoded once and gathered for each text, bytes in blocks."""
+    monkeypatch.setattr(p, "DECODE_IDS", 3)
+    m = p.model(PATH)
+    texts = ["the cat the cat é漢", "", "the", "漢 the\n\tcat  the"]
+    units = [u for t in texts for u in m.split(t)]
+    ids, ends = m.encode_flat(np.array([ord(c) for u in units for c in u]), np.array([len(u) for u in units]))
+    assert ids.tolist() == [i for t in texts for i in library.encode(t)]
+    raw, places = m.decode_flat(ids)
+    assert raw.decode() == "".join(" " + t for t in texts if t) and places[-1] == len(raw)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    rows = p.encode_documents(df, PATH).orderBy("doc_id").collect()
+    assert [r["ids"] for r in rows] == [library.encode(t, add_bos=True, add_eos=True) for t in texts]
+    assert [r["decoded"] for r in rows] == texts and p.encode_documents(df.limit(0), PATH).count() == 0

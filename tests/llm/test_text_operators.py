@@ -15,7 +15,7 @@ import pytest
 from comparing import SMALL, assert_same, duck
 from pyspark.sql import functions as F
 
-from quillspark.llm import common, license_scan, media_columns, piece_tokenizer, secret_scan, token_counts, toxicity
+from quillspark.llm import common, license_scan, media_columns, secret_scan, token_counts, toxicity
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -72,14 +72,19 @@ def test_a_word_of_a_million_characters_takes_linear_time():
     assert took[1] < 30 * took[0] + 1
 
 
+def test_lookups():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 7, 5_000):
+        keys = np.unique(rng.integers(0, 1 << 40, n))
+        asked = np.concatenate((keys, rng.integers(0, 1 << 40, 1_000)))
+        place = {k: i for i, k in enumerate(keys.tolist())}
+        assert common.Lookup(keys)(asked).tolist() == [place.get(k, -1) for k in asked.tolist()]
+
+
 def test_caches_are_bounded_by_bytes():
     hashes = common.WordHashes()
     hashes.of([b"x" * 1_000, b"short"])
     assert set(hashes) == {b"short"}
-    cache = piece_tokenizer.UnitCache(PATH)
-    cache.learn({"▁" + "漢" * 10_000, "▁short"})
-    cache.learn({"▁other"})
-    assert set(cache.ids) == set(cache.text) == {"▁short", "▁other"}
     score = toxicity.Model(-1.0, {"a": 2.0}).scorer()
     assert score({"a", "b" * 100}) == score({"b" * 100, "a"}) == 1.0
 
