@@ -2,18 +2,21 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before kept; ``run`` writes what a stage
 returns as Parquet to the cluster's shared folder and reads it again for the next. All stages but the last
-return the columns of ``docs``.
+return the columns of ``docs``, which has doc_id, text, lang and source at least, whatever else is there.
+
+Edge cases: a null or empty text has too few words for the quality rules and goes there; a row without doc_id is
+linked with nothing and otherwise treated like any other; a null lang or source is a value of its own; repeated rows stay
+or go together in near-dedup and the mixture; n_chars follows the text where secrets are replaced; a stage given
+an empty table returns an empty one.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.llm import mixing, near_dedup, piece_tokenizer, quality_rules, queries, secret_scan
+from quillspark.plans.staging import new_folder, remove
 
 #: Share of the tokens that reach the mixing stage which the mixture may spend, each document once at most.
 BUDGET_SHARE = 0.9
@@ -37,8 +40,9 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows that the target weights leave room for."""
-    return mixing.mixed(docs, queries.MIXTURE, levels=queries.mixture_levels(), budget_share=BUDGET_SHARE, seed=queries.MIX_SEED)
+    """The rows that the target weights, in tokens of the encoding's vocabulary, leave room for."""
+    tokenizer = public_tokenizers.path(queries.PIECE_MODEL)
+    return mixing.mixed(docs, queries.MIXTURE, levels=queries.mixture_levels(), budget_share=BUDGET_SHARE, seed=queries.MIX_SEED, tokenizer=tokenizer)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,8 +57,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of the last stage over ``documents``."""
-    shared = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="corpus-")
-    folder = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "pipeline")  # its last part goes when the driver ends, as the result reads it
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
@@ -62,11 +65,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             docs.write.parquet(f"{folder}/{i}")
             docs = spark.read.parquet(f"{folder}/{i}")
             if i:
-                drop(spark, f"{folder}/{i - 1}")
+                remove(spark, f"{folder}/{i - 1}")
     return docs
-
-
-def drop(spark: SparkSession, path: str) -> None:
-    """Removes a stage's files once the next stage is written."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -12,7 +12,8 @@ def duck(sf_dir=SMALL):
     con = duckdb.connect()
     for t in TABLES:
         path = f"{sf_dir}/{t}.parquet"
-        con.sql(f"CREATE VIEW {t} AS FROM '{path}{'/*.parquet' if os.path.isdir(path) else ''}'")
+        if os.path.exists(path):
+            con.sql(f"CREATE VIEW {t} AS FROM '{path}{'/*.parquet' if os.path.isdir(path) else ''}'")
     return con
 
 
