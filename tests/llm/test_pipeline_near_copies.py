@@ -1,40 +1,11 @@
-"""The near-dedup stage against all pairs at 80 %, and the stages after it on what it keeps."""
+"""The near-dedup stage against all pairs at 80 %."""
 
-import hashlib
 import random
 
-import numpy as np
-import public_tokenizers
-import sentencepiece
-from pyspark.sql import functions as F
-from test_pipeline import ids, stages  # noqa: F401
+from test_pipeline import ids, plain_kept as kept
 
 import corpus_pipeline
-from quillspark.llm import mixing, near_dedup, queries, secret_scan
-
-
-def shingles(t):
-    words = (t or "").encode().lower().split()
-    return {tuple(words[j : j + 5]) for j in range(max(1, len(words) - 4))} if words else set()
-
-
-def kept(rows, percent):
-    """Ids that stay: the smallest of each component of all pairs."""
-    sets = {i: shingles(t) for i, t in rows}
-    label = {i: i for i in sets}
-
-    def root(i):
-        while label[i] != i:
-            i = label[i]
-        return i
-
-    for a in sets:
-        for b in sets:
-            x, y = sets[a], sets[b]
-            if a < b and x and y and 100 * len(x & y) >= percent * len(x | y):
-                p, q = sorted((root(a), root(b)))
-                label[q] = p
-    return sorted(i for i in sets if root(i) == i)
+from quillspark.llm import near_dedup
 
 
 def test_pairs_on_both_sides_of_80_percent(spark):
@@ -50,26 +21,3 @@ def test_pairs_on_both_sides_of_80_percent(spark):
     assert len(kept(rows, 80)) < len(kept(rows, 85))
     assert ids(corpus_pipeline.near_duplicates(spark, df, "")) == kept(rows, 80)
     assert ids(near_dedup.deduplicated(df)) == kept(rows, 85)
-
-
-def test_stage_and_those_after_it(stages):  # noqa: F811
-    _, good, single, safe, chosen, encoded = stages
-    rows = [tuple(r) for r in good.select("doc_id", "text").collect()]
-    assert kept(rows, 80) != kept(rows, 85)
-    assert ids(single) == kept(rows, 80)
-
-    before = {r["doc_id"]: r for r in single.collect()}
-    after = {r["doc_id"]: r for r in safe.collect()}
-    assert before.keys() == after.keys()
-    assert all(not secret_scan.find(r["text"]) for r in after.values())
-
-    wanted = mixing.select(safe, queries.MIXTURE, levels=queries.mixture_levels(), budget_share=corpus_pipeline.BUDGET_SHARE, max_epochs=1, seed=queries.MIX_SEED)
-    assert ids(chosen) == ids(wanted)
-    assert wanted.agg(F.sum("take_tokens")).first()[0] <= sum(len(r["text"].encode().split()) for r in after.values())
-
-    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(queries.PIECE_MODEL))
-    texts = {r["doc_id"]: r["text"] for r in chosen.collect()}
-    assert ids(encoded) == sorted(texts)
-    for r in encoded.collect():
-        tokens = library.encode(texts[r["doc_id"]], add_bos=True, add_eos=True)
-        assert (r["n_tokens"], r["ids_sha256"]) == (len(tokens), hashlib.sha256(np.array(tokens, "<u4").tobytes()).hexdigest())
