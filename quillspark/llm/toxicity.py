@@ -4,9 +4,9 @@ A sentence's probability is a logistic sum over its distinct words, each with it
 to six letters as features; a document is toxic if any sentence
 is (noisy-or), and document labels alone train the weights. The sentence probabilities then point
 at the offending sentences. Training gathers at most ``sample_rows`` labelled texts and
-``sample_bytes`` bytes of them, chosen by a hash of the id, so the driver's share is bounded; a text that does
-not fit is left out alone, and long texts are taken after the others. The fitted word weights are bounded by
-the sample. Scoring reads every whole text and only the text.
+``sample_bytes`` bytes of them, chosen by a hash of the id among those that have a text, so the driver's share is bounded;
+a text that does not fit is left out alone, and long texts are taken after the others. The fitted word weights are
+bounded by the sample. Scoring reads every whole text and only the text.
 
 Edge cases: a null or empty text has no sentence and score 0; repeated rows score alike; labels that are
 null or for which there is no document are left out; documents labelled twice count once for each label;
@@ -88,6 +88,18 @@ def noisy_or(logits: np.ndarray) -> float:
     return float(-np.expm1(-np.logaddexp(0, logits).sum())) if logits.size else 0.0
 
 
+def slopes(z: np.ndarray, doc: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
+    """Log likelihood of document labels under noisy-or, and its derivative by each sentence's log-odds; sentences are in the order of ``doc``."""
+    at = np.searchsorted(doc, np.arange(len(y) + 1))
+    full = np.flatnonzero(at[1:] > at[:-1])
+    total = np.zeros(len(y))
+    if full.size:
+        total[full] = np.add.reduceat(np.logaddexp(0, z), at[full])
+    p = np.maximum(-np.expm1(-total), 1e-9)
+    slope = np.where(y == 1, np.exp(-total) / p, -1.0)
+    return float(np.where(y == 1, np.log(p), -total).sum()), slope[doc] / (1 + np.exp(-z))
+
+
 def fit(texts: list[str], labels: list[int], *, steps: int = 400, rate: float = 0.3, decay: float = 1e-5) -> Model:
     """Maximum likelihood of the document labels under noisy-or, by full-batch Adam with shrinkage."""
     seen: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
@@ -108,17 +120,11 @@ def fit(texts: list[str], labels: list[int], *, steps: int = 400, rate: float =
             doc.append(d)
     cells, doc = np.frombuffer(cells, np.int32), np.frombuffer(doc, np.int32)
     rows = np.repeat(np.arange(len(doc), dtype=np.int32), np.frombuffer(sizes, np.int32))
-    at = np.searchsorted(doc, np.arange(len(texts) + 1))
-    full = np.flatnonzero(at[1:] > at[:-1])
     w, b = np.zeros(len(number)), -4.0
     m, v = np.zeros(len(number) + 1), np.zeros(len(number) + 1)
     for t in range(1, steps + 1):
         z = b + np.bincount(rows, w[cells], len(doc))
-        total = np.zeros(len(texts))
-        total[full] = np.add.reduceat(np.logaddexp(0, z), at[full])
-        p = -np.expm1(-total)
-        slope = np.where(y == 1, (1 - p) / np.maximum(p, 1e-9), -1.0)
-        g = slope[doc] / (1 + np.exp(-z))
+        _, g = slopes(z, doc, y)
         grad = np.append(np.bincount(cells, g[rows], len(number)) / len(texts) - decay * w, g.sum() / len(texts))
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         step = rate * (1 - t / (steps + 1)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
