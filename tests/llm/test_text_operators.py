@@ -2,6 +2,7 @@
 
 import hashlib
 import io
+import math
 import random
 import re
 import time
@@ -119,6 +120,37 @@ def test_peaks_of_a_tone_and_blocks(monkeypatch):
     assert media_columns.peaks(b" " * 192)[0].size == 0
 
 
+def plain_peaks(payload):
+    """(frame, bin) of the two strongest local maxima of each frame, by a transform written out."""
+    found = []
+    turn = [[complex(math.cos(2 * math.pi * k * n / 192), -math.sin(2 * math.pi * k * n / 192)) for n in range(192)] for k in range(97)]
+    hann = [0.5 - 0.5 * math.cos(2 * math.pi * n / 191) for n in range(192)]
+    for frame, at in enumerate(range(0, len(payload) - 191, 96)):
+        x = [b - 128 for b in payload[at : at + 192]]
+        mean = sum(x) / 192
+        x = [(v - mean) * w for v, w in zip(x, hann)]
+        level = [math.floor(8 * math.log2(1 + abs(sum(v * t for v, t in zip(x, row))))) for row in turn]
+        best = sorted((-level[k], k) for k in range(1, 96) if level[k] > level[k - 1] and level[k] >= level[k + 1] and level[k] > 8)
+        found += [(frame, k) for _, k in best[:2]]
+    return found
+
+
+def plain_pairs(found):
+    """(frame, code) of all peaks with those of the next three frames."""
+    return sorted((t, (f << 9) | (g << 2) | (u - t)) for t, f in found for u, g in found if 0 < u - t <= 3)
+
+
+def test_peaks_and_pairs_against_plain_python():
+    rng = random.Random(8)
+    for payload in (bytes(rng.randrange(256) for _ in range(192 * 4)), ("the quick brown fox " * 40).encode()[:768], b" " * 192, b"a" * 100 + b" " * 92, "é日本語 ".encode() * 64):
+        payload = media_columns.padded(payload)
+        t, f = media_columns.peaks(payload)
+        want = plain_peaks(payload)
+        assert list(zip(t.tolist(), f.tolist())) == want
+        times, codes = media_columns.pair_codes(t, f)
+        assert list(zip(times.tolist(), codes.tolist())) == plain_pairs(want)
+
+
 def test_licences(spark):
     mit = license_scan.KNOWN[7][1]
     texts = [mit, "Copyright (c) 2020 A. Person\n\n" + mit.upper().replace('"', "“"), mit.replace("sublicense", "sub-license"), mit + " And more.", "prose\nReleased under the MIT Licence.\nLicensed under CC BY 4.0.", None, "", "license"]
