@@ -7,7 +7,7 @@ where strings can repeat at all:
    (winnowing; Schleimer, Wilkerson and Aiken, 2003), so equal strings have equal anchors. Anchor hashes go to
    hash buckets with their document's number, and those found in two documents come back to their documents.
 2. The stretch of text around such an anchor (its strings and no others) goes to a shard by the anchor's
-   hash. Copies of a stretch collapse before they move: within a task's block of text only the earliest
+   hash; those of hot anchors are cut in two and go by eight more bytes, which all strings of a part hold. Copies of a stretch collapse before they move: within a task's block of text only the earliest
    document's stretch is sent, the others are covered by it whole.
 3. A shard builds suffix arrays of its distinct stretches, in parts of bounded size, by Larsson-Sadakane
    refinement in numpy; common prefixes in Kasai's sense, capped at 50 and taken for all neighbours at once
@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import groups, mix, ship, slices
+from .common import cut, groups, mix, ship, slices
 
 SPAN, GRAM = 50, 20
 GRAMS = SPAN - GRAM + 1
@@ -51,6 +51,9 @@ class Limits(NamedTuple):
     block_bytes: int = 8 << 20
     block_rows: int = 60_000
     slice_bytes: int = 1 << 20
+    #: Distinct stretches, in bytes, and uses of them that a task takes together.
+    stretch_bytes: int = 24 << 20
+    stretch_uses: int = 1_000_000
     #: String starts whose anchors are found together.
     window: int = 1 << 20
     #: Text whose anchors a bucket holds, about.
@@ -60,6 +63,8 @@ class Limits(NamedTuple):
     array_bytes: int = 1 << 20
     #: Tasks that buckets and shards are spread over at most; beyond, a task takes several one by one.
     tasks: int = 20_000
+    #: Rows of an anchor from which it is hot, or more: a millionth of the text's bytes, so hot anchors are a million at most.
+    hot: int = 20_000
 
 
 LIMITS = Limits()
@@ -80,13 +85,14 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, ends: np.ndarray, window: int = LIMITS.window) -> tuple[np.ndarray, ...]:
-    """(hash, document, first string, last string) of each anchor of the texts that end at ``ends``."""
+    """(hash, document, first string, last string, place) of each anchor of the texts that end at ``ends``."""
     found = [_anchors(data[a : a + window + SPAN - 1], a, ends) for a in range(0, max(1, len(data) - SPAN + 1), window)]
     h, at, owner, first, last = (np.concatenate(x) for x in zip(*found))
     if len(found) > 1:  # an anchor may go on in the next window
         head = np.flatnonzero(_changed(at) | _changed(owner))
         h, owner, first, last = h[head], owner[head], first[head], last[np.append(head[1:], len(last)) - 1] if len(head) else last
-    return h, owner, first, last
+        at = at[head]
+    return h, owner, first, last, at
 
 
 def _anchors(data: np.ndarray, begin: int, ends: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -217,7 +223,7 @@ def send_anchors(buckets: int, limits: Limits = LIMITS):
         for batch in batches:
             for part in slices(batch, "text", limits.slice_bytes):
                 data, ends, _ = _texts(part)
-                h, d, _, _ = anchors(data, ends, limits.window)
+                h, d, *_ = anchors(data, ends, limits.window)
                 if block.full(part, len(data)):
                     yield from flush(block)
                     block = Block(limits)
@@ -238,46 +244,86 @@ def per_document(doc: np.ndarray, values: np.ndarray) -> Iterator[tuple[int, np.
         yield int(doc[a]), values[a:b]
 
 
-def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, found): of each bucket's anchor hashes those in several documents, by document."""
-    for sent in groups(batches, "bucket"):
-        rows: list[tuple[int, bytes]] = []
-        hashes, ids, several = [], [], []
-        for b, base, h, i in (row for part in sent for row in zip(*(c.to_pylist() for c in part.columns))):
-            if b < 0:
-                rows.append((base, h))
-                continue
-            hashes.append(unpack(h))
-            known = unplaned(i, base)
-            several.append(np.arange(len(hashes[-1])) >= len(known))
-            ids.append(np.append(known, np.zeros(len(hashes[-1]) - len(known), np.int64)))
-        if hashes:
-            h, ids, several = (np.concatenate(x) for x in (hashes, ids, several))
-            order = np.argsort(h, kind="stable")
-            h, ids, several = h[order], ids[order], several[order]
-            run = _grouped(h)
-            mixed = np.logical_or.reduceat(several, run) | (np.minimum.reduceat(ids, run) != np.maximum.reduceat(ids, run))
-            ok = np.repeat(mixed, np.diff(np.append(run, len(h)))) & ~several
-            rows += [(i, pack(x)) for i, x in per_document(ids[ok], h[ok])]
-        yield from as_batches(rows, [pa.int64(), pa.binary()], ["doc_id", "found"])
+def meet(hot: int):
+    """(doc_id, found): of each bucket's anchor hashes those in several documents, by document; without doc_id, those in over ``hot`` rows."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for sent in groups(batches, "bucket"):
+            rows: list[tuple[int, bytes]] = []
+            hashes, ids, several = [], [], []
+            for b, base, h, i in (row for part in sent for row in zip(*(c.to_pylist() for c in part.columns))):
+                if b < 0:
+                    rows.append((base, h))
+                    continue
+                hashes.append(unpack(h))
+                bucket = b
+                known = unplaned(i, base)
+                several.append(np.arange(len(hashes[-1])) >= len(known))
+                ids.append(np.append(known, np.zeros(len(hashes[-1]) - len(known), np.int64)))
+            if hashes:
+                h, ids, several = (np.concatenate(x) for x in (hashes, ids, several))
+                order = np.argsort(h, kind="stable")
+                h, ids, several = h[order], ids[order], several[order]
+                run = _grouped(h)
+                mixed = np.logical_or.reduceat(several, run) | (np.minimum.reduceat(ids, run) != np.maximum.reduceat(ids, run))
+                size = np.diff(np.append(run, len(h)))
+                ok = np.repeat(mixed, size) & ~several
+                if (many := h[run[size > hot]]).size:
+                    rows.append((None, (many.astype(np.int64) | (bucket << 40)).tobytes()))
+                rows += [(i, pack(x)) for i, x in per_document(ids[ok], h[ok])]
+            yield from as_batches(rows, [pa.int64(), pa.binary()], ["doc_id", "found"])
+
+    return run
+
+
+def split_hot(data: np.ndarray, h: np.ndarray, d: np.ndarray, first: np.ndarray, last: np.ndarray, place: np.ndarray, hot: np.ndarray, buckets: int) -> tuple[np.ndarray, ...]:
+    """Stretches (key, document, first string, last string, hash to look up) with those of hot anchors cut in two.
+
+    Strings that begin eight bytes or more before the anchor hold those eight, the others hold the eight behind it:
+    either goes into the key, so equal strings still have equal keys.
+    """
+    cut_h = short(h, buckets)
+    is_hot = np.isin(cut_h.astype(np.int64) | ((h % np.uint64(buckets)).astype(np.int64) << 40), hot) if len(hot) else np.zeros(len(h), bool)
+    if not is_hot.any():
+        return h, d, first, last, cut_h
+    parts = [(h[~is_hot], d[~is_hot], first[~is_hot], last[~is_hot], cut_h[~is_hot])]
+    eight = lambda at: data[at[:, None] + np.arange(8)].view("<u8").ravel()
+    for sign, begin, shift in ((1, 0, -8), (2, -7, GRAM)):
+        a = first[is_hot] if sign == 1 else np.maximum(first[is_hot], place[is_hot] + begin)
+        z = np.minimum(last[is_hot], place[is_hot] - 8) if sign == 1 else last[is_hot]
+        ok = np.flatnonzero(a <= z)
+        key = mix(h[is_hot][ok] ^ mix(eight(place[is_hot][ok] + shift) + np.uint64(sign)))
+        parts.append((key, d[is_hot][ok], a[ok], z[ok], cut_h[is_hot][ok]))
+    whole = [np.concatenate(x) for x in zip(*parts)]
+    order = np.argsort(whole[1], kind="stable")
+    return tuple(x[order] for x in whole)
 
 
 class Stretches(Block):
-    """A block's distinct stretches, and where each is: (number, document, start) for every use."""
+    """Distinct stretches of up to a block's bytes, and where each is: (number, document, start) for every use. A long text may be in several."""
 
     def __init__(self, limits: Limits):
         super().__init__(limits)
         self.number: dict[bytes, int] = {}
         self.hashes, self.uses = array("Q"), array("q")
 
+    def filled(self) -> bool:
+        return self.bytes > self.limits.stretch_bytes or len(self.uses) > 3 * self.limits.stretch_uses
+
+    def enter(self, doc_id: int, key: int) -> int:
+        self.ids.append(doc_id)
+        self.keys.append(key)
+        return len(self.ids) - 1
+
     def put(self, h: int, doc: int, start: int, stretch: bytes) -> None:
         n = self.number.setdefault(stretch, len(self.number))
         if n == len(self.hashes):
             self.hashes.append(h)
+            self.bytes += len(stretch)
         self.uses.extend((n, doc, start))
 
 
-def send_stretches(buckets: int, limits: Limits = LIMITS):
+def send_stretches(buckets: int, limits: Limits = LIMITS, hot: np.ndarray = np.zeros(0, np.int64)):
     """Of documents with found anchors, the stretches that must be compared, by shard, and spans already known (negative shards)."""
     names = ["shard", "hashes", "sizes", "stretches", "uses", "ids", "keys"]
 
@@ -313,17 +359,20 @@ def send_stretches(buckets: int, limits: Limits = LIMITS):
         for batch in batches:
             for part in slices(batch, "text", limits.slice_bytes):
                 data, ends, texts = _texts(part)
-                h, d, first, last = anchors(data, ends, limits.window)
-                if block.full(part, len(data)):
-                    yield from flush(block)
-                    block = Stretches(limits)
+                h, d, first, last, place = anchors(data, ends, limits.window)
+                h, d, first, last, cut_h = split_hot(data, h, d, first, last, place, hot, buckets)
                 raw, begins = data.tobytes(), ends - np.array([len(t) for t in texts])
-                edge, cut_h = np.searchsorted(d, np.arange(len(texts) + 1)), short(h, buckets)
+                ids, keys = (part.column(c).to_pylist() for c in ("doc_id", "key"))
+                edge = np.searchsorted(d, np.arange(len(texts) + 1))
                 for i, found in enumerate(part.column("found").to_pylist()):
                     hit = np.flatnonzero(np.isin(cut_h[edge[i] : edge[i + 1]], unpack(b"".join(found)))) + edge[i]
-                    for x, a, b in zip(h[hit].tolist(), first[hit].tolist(), last[hit].tolist()):
-                        block.put(x, i + len(block.ids), a - int(begins[i]), raw[a : b + SPAN])
-                block.add(part, len(data))
+                    doc, begin = -1, int(begins[i])
+                    for x, a, b in zip(*(c[hit].tolist() for c in (h, first, last))):
+                        if block.filled():
+                            yield from flush(block)
+                            block, doc = Stretches(limits), -1
+                        doc = block.enter(ids[i], keys[i]) if doc < 0 else doc
+                        block.put(x, doc, a - begin, raw[a : b + SPAN])
         yield from flush(block)
 
     return run
@@ -592,9 +641,11 @@ def deduplicate(docs: DataFrame, *, digests: bool = False, limits: Limits = LIMI
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(4, -(-total // limits.bucket_text))
     anchors_of = texts.mapInArrow(send_anchors(buckets, limits), "bucket int, base long, hashes binary, ids binary")
-    met = by_task(anchors_of, "bucket", buckets, limits.tasks).mapInArrow(meet, "doc_id long, found binary")
-    found = met.groupBy("doc_id").agg(F.collect_list("found").alias("found"))
-    stretches = texts.join(found, "doc_id").mapInArrow(send_stretches(buckets, limits), "shard int, hashes binary, sizes binary, stretches binary, uses binary, ids binary, keys binary")
+    met = cut(by_task(anchors_of, "bucket", buckets, limits.tasks).mapInArrow(meet(max(limits.hot, total // 1_000_000)), "doc_id long, found binary"))
+    listed = [np.frombuffer(r["found"], np.int64) for r in met.where("doc_id is null").select("found").toLocalIterator()]
+    hot = np.concatenate([*listed, np.zeros(0, np.int64)])
+    found = met.where("doc_id is not null").groupBy("doc_id").agg(F.collect_list("found").alias("found"))
+    stretches = texts.join(found, "doc_id").mapInArrow(send_stretches(buckets, limits, hot), "shard int, hashes binary, sizes binary, stretches binary, uses binary, ids binary, keys binary")
     resolved = by_task(stretches, "shard", buckets, limits.tasks).mapInArrow(resolve(limits), "doc_id long, key long, spans binary")
     spans = resolved.groupBy("doc_id").agg(F.collect_list(F.struct("key", "spans")).alias("spans"))
     kept = "kept_sha256 string" if digests else "kept binary"

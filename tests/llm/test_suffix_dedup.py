@@ -22,7 +22,7 @@ def plain(rows):
 
 
 #: Many blocks, windows, buckets a task, ranges, and arrays of one anchor that are merged.
-SMALL = s.Limits(block_bytes=3_000, block_rows=20, slice_bytes=1_000, window=700, bucket_text=5_000, range_bytes=2_000, array_bytes=200, tasks=3)
+SMALL = s.Limits(block_bytes=3_000, block_rows=20, slice_bytes=1_000, stretch_bytes=2_000, stretch_uses=40, window=700, bucket_text=5_000, range_bytes=2_000, array_bytes=200, tasks=3, hot=2)
 
 
 @pytest.mark.parametrize("limits", [s.LIMITS, SMALL])
@@ -69,7 +69,7 @@ def test_anchors_are_shared_by_equal_strings():
     for _ in range(20):
         text = bytes(rng.choices(b"abcdefgh ", k=rng.randrange(0, 80))) + passage + bytes(rng.choices(b"abcdefgh ", k=rng.randrange(0, 80)))
         data, at = np.frombuffer(text, np.uint8), text.index(passage)
-        h, _, first, last = s.anchors(data, np.array([len(text)]))
+        h, _, first, last, _ = s.anchors(data, np.array([len(text)]))
         assert first[0] == 0 and last[-1] == len(text) - 50 and (first[1:] == last[:-1] + 1).all()
         seen.append({int(x) for x, a, b in zip(h, first, last) if a <= at <= b})
     assert len(set.intersection(*seen)) == 1
@@ -104,3 +104,21 @@ def test_one_id_with_several_texts(spark):
 
 def test_removed_runs():
     assert s.removed(np.array([[60, 110], [0, 50], [50, 100], [200, 250], [205, 240]])).tolist() == [[0, 110], [200, 250]]
+
+
+def test_hot_anchors_are_cut_by_their_neighbours(spark, monkeypatch):
+    """A line that most documents have, between texts of their own, and some that share more of it."""
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choices("abcdefgh", k=rng.randrange(3, 8)))
+    line = "Permission is hereby granted, free of charge, to any person."
+    more = [" ".join(word() for _ in range(12)) for _ in range(3)]
+    texts = [f"{' '.join(word() for _ in range(10))} {rng.choice(more)}\n{line}\n{rng.choice(more)} {' '.join(word() for _ in range(10))}" for _ in range(60)]
+    rows = list(enumerate(texts)) + [(100, line), (101, f"x{line}y"), (102, line * 3)]
+    cuts = []
+    monkeypatch.setattr(s, "send_stretches", lambda buckets, limits, hot: cuts.append(len(hot)) or send(buckets, limits, hot))
+    got = s.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"), digests=True, limits=SMALL).collect()
+    assert cuts[0] > 3
+    assert sorted(tuple(r[c] for c in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")) for r in got) == plain(rows)
+
+
+send = s.send_stretches
