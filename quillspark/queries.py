@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import ranking, varbyte
@@ -109,9 +109,11 @@ def q_dgap_decode(spark, sf_dir):
 
 
 def q_varbyte(spark, sf_dir):
-    codes = spark.createDataFrame([(v,) for v in CODES], "value long").withColumn("code", varbyte.encode(F.array("value")))
-    decoded = F.element_at(varbyte.decode(F.col("code")), 1)
-    return codes.select("value", decoded.alias("decoded"), varbyte.size(F.col("value")).alias("n_bytes"), "code").withColumn("code", F.hex("code"))
+    """Codes of edge values and of every document's size, decoded whole and without their last byte."""
+    sizes = docs(spark, sf_dir).select(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("value"))
+    codes = sizes.union(spark.createDataFrame([(v,) for v in CODES], "value long")).withColumn("code", varbyte.encode(F.array("value")))
+    decoded, cut_off = F.element_at(varbyte.decode(F.col("code")), 1), varbyte.decode(F.expr("substring(code, 1, length(code) - 1)"))
+    return codes.select("value", decoded.alias("decoded"), varbyte.size(F.col("value")).alias("n_bytes"), F.size(cut_off).alias("n_of_truncated"), F.hex("code").alias("code"))
 
 
 def q_lexicon(spark, sf_dir):
@@ -151,6 +153,30 @@ def q_snippets(spark, sf_dir):
     return search.with_snippets(found, docs(spark, sf_dir), batch(spark)).select("query_idx", "rank", "pid", "snippet")
 
 
+def _stored(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """An index of the documents, written to the shared folder and opened again with all its checks."""
+    path = new_folder(spark, "index")
+    collection.save_index(docs(spark, sf_dir), path)
+    return collection.load_index(spark, path)
+
+
+def q_stored_search(spark, sf_dir):
+    tables = _stored(spark, sf_dir)
+    return search.search_index(tables["postings"], tables["passages"], tables["stats"], batch(spark), search.OR)
+
+
+def q_stored_passages(spark, sf_dir):
+    return _stored(spark, sf_dir)["passages"]
+
+
+def q_list_order(spark, sf_dir):
+    """Each conjunctive query's lists, shortest first, as far as all of its terms are known."""
+    known = search.query_tokens(batch(spark)).join(index.doc_freq(index.postings(docs(spark, sf_dir))), "term", "left")
+    by = Window.partitionBy("query_idx")  # a query's own tokens
+    placed = known.withColumn("unknown", F.count_if(F.col("doc_count").isNull()).over(by)).where("unknown = 0")
+    return placed.select("query_idx", (F.row_number().over(by.orderBy("doc_count", "term", "pos")) - 1).alias("place"), "term", "doc_count")
+
+
 def q_batch_results(spark, sf_dir):
     return collection.result_lines(search.search(docs(spark, sf_dir), batch(spark), search.OR))
 
@@ -326,8 +352,8 @@ SQL: dict[str, str] = {
     "chunks": f"{_BASE} SELECT term, chunk_idx, chunk_size, last_docid, round({_UP}, 5) AS max_score, docid_bytes, freq_bytes, docids, freqs FROM chunk",
     "dgaps": f"{_BASE} SELECT term, chunk_idx, doc_id, gap FROM gapped",
     "dgap_decode": f"{_BASE} SELECT term, chunk_idx, (row_number() OVER (PARTITION BY term, chunk_idx ORDER BY doc_id) - 1)::INTEGER AS place, doc_id FROM placed",
-    "varbyte": f"""WITH v AS (SELECT v::BIGINT AS value FROM ({_values((x,) for x in CODES)}) t(v)), n AS (SELECT value, ({_vb("value")})::INTEGER AS n_bytes FROM v)
-SELECT value, n_bytes, value AS decoded, array_to_string(list_transform(range(0, n_bytes), lambda i: printf('%02X', ((value >> (7 * i)::INTEGER) & 127) + CASE WHEN i < n_bytes - 1 THEN 128 ELSE 0 END)), '') AS code FROM n""",
+    "varbyte": f"""WITH v AS (SELECT v::BIGINT AS value FROM ({_values((x,) for x in CODES)}) t(v) UNION ALL SELECT coalesce(strlen(text), 0)::BIGINT FROM documents), n AS (SELECT value, ({_vb("value")})::INTEGER AS n_bytes FROM v)
+SELECT value, n_bytes, value AS decoded, 0 AS n_of_truncated, array_to_string(list_transform(range(0, n_bytes), lambda i: printf('%02X', ((value >> (7 * i)::INTEGER) & 127) + CASE WHEN i < n_bytes - 1 THEN 128 ELSE 0 END)), '') AS code FROM n""",
     "lexicon": f'{_BASE} SELECT term, "offset", length, doc_count, round(max_score, 6) AS max_score FROM lex',
     "term_lookup": f"{_BASE} SELECT term, count(*) AS doc_count, min(doc_id) AS first_doc, max(doc_id) AS last_doc FROM postings WHERE term IN ({_SPOT}) GROUP BY term",
     "next_geq": f"{_BASE} SELECT w.term, w.target::BIGINT AS target, coalesce((SELECT min(p.doc_id) FROM postings p WHERE p.term = w.term AND p.doc_id >= w.target), {END})::BIGINT AS next_doc FROM ({_TARGETS}) w(term, target)",
@@ -336,6 +362,9 @@ SELECT value, n_bytes, value AS decoded, array_to_string(list_transform(range(0,
     "bm25_or": f"{_BASE} SELECT query_idx, rank::INTEGER AS rank, doc_id, pid, score FROM ranked_or JOIN tok USING (doc_id) WHERE rank <= 10",
     "snippets": f"{_BASE} {_SNIPPET}",
     "batch_results": f"{_BASE} SELECT query_idx, rank::INTEGER AS rank, query_idx || chr(9) || rank || chr(9) || pid || chr(9) || printf('%.6f', score) AS value FROM ranked_or JOIN tok USING (doc_id) WHERE rank <= 10",
+    "stored_search": f"{_BASE} SELECT query_idx, rank::INTEGER AS rank, doc_id, pid, score FROM ranked_or JOIN tok USING (doc_id) WHERE rank <= 10",
+    "stored_passages": f"{_BASE} SELECT pid AS doc_id, pid, len(toks)::INTEGER AS length FROM tok",
+    "list_order": f"{_BASE}, k AS (SELECT query_idx, pos, term, doc_count, count(*) FILTER (doc_count IS NULL) OVER (PARTITION BY query_idx) AS unknown FROM qtok LEFT JOIN dfreq USING (term)) SELECT query_idx, (row_number() OVER (PARTITION BY query_idx ORDER BY doc_count, term, pos) - 1)::INTEGER AS place, term, doc_count FROM k WHERE unknown = 0",
     "query_cost": f"{_BASE} SELECT * FROM cost",
     "maxscore_bounds": f"{_BASE} SELECT query_idx, pos, term, round(max_score, 6) AS max_score, round(ub, 5) AS ub FROM bounds",
     "essential_lists": f"{_BASE} SELECT query_idx, n_lists, n_bounded::BIGINT AS n_bounded, (n_lists - n_bounded)::BIGINT AS n_essential FROM ess",
