@@ -63,8 +63,9 @@ class Limits(NamedTuple):
     array_bytes: int = 1 << 20
     #: Tasks that buckets and shards are spread over at most; beyond, a task takes several one by one.
     tasks: int = 20_000
-    #: Rows of an anchor from which it is hot, or more: a millionth of the text's bytes, so hot anchors are a million at most.
-    hot: int = 20_000
+    #: Documents of an anchor from which it is hot (24 MB of stretches), or a millionth of the text's bytes, so that hot
+    #: anchors are a million at most.
+    hot: int = 300_000
 
 
 LIMITS = Limits()
@@ -133,13 +134,13 @@ def unpack(raw: bytes) -> np.ndarray:
     return out.reshape(-1).view("<u8")
 
 
-def planes(ids: np.ndarray, base: int) -> bytes:
-    """Ids as distances from ``base``, their low 16 bits first: the high ones are mostly zeros and compress to nothing."""
-    return (ids - np.int64(base)).astype("<i8").view("<u2").reshape(-1, 4).T.tobytes()
+def planes(numbers: np.ndarray) -> bytes:
+    """Numbers with their low 16 bits first: high ones are mostly zeros and compress to nothing."""
+    return numbers.astype("<i8").view("<u2").reshape(-1, 4).T.tobytes()
 
 
-def unplaned(raw: bytes, base: int) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, "<u2").reshape(4, -1).T).reshape(-1).view("<i8") + np.int64(base)
+def unplaned(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, "<u2").reshape(4, -1).T).reshape(-1).view("<i8")
 
 
 class Block:
@@ -194,8 +195,9 @@ def _grouped(keys: np.ndarray) -> np.ndarray:
 
 
 def send_anchors(buckets: int, limits: Limits = LIMITS):
-    """(bucket, base, hashes, ids): a block's anchor hashes for each bucket and the ids of their documents, hashes that
-    several of the block's documents have last and without; negative buckets hold the latter for each document (base)."""
+    """(bucket, base, hashes, ids, counts): a block's anchor hashes for each bucket and the ids of their documents, or for
+    the last ones how many of the block's documents have them; negative buckets hold the latter for each document (base).
+    """
 
     def flush(block: Block) -> Iterator[pa.RecordBatch]:
         h, d = (np.concatenate([p[i] for p in block.parts]) for i in (0, 1))
@@ -210,13 +212,13 @@ def send_anchors(buckets: int, limits: Limits = LIMITS):
         run = _grouped(h)
         size = np.diff(np.append(run, len(h)))
         several = np.repeat(size > 1, size)
-        rows = [(-1 - i % buckets, i, pack(short(x, buckets)), b"") for i, x in per_document(own[several], h[several])]
-        head = _changed(h)
-        h, own, several = h[head], own[head], several[head]
+        rows = [(-1 - i % buckets, i, pack(short(x, buckets)), b"", b"") for i, x in per_document(own[several], h[several])]
+        h, own, several = h[run], own[run], size > 1
         for b, at in by_bucket(h, buckets):
-            at = at[np.argsort(several[at], kind="stable")]
-            rows.append((b, base, pack(short(h[at], buckets)), planes(own[at][~several[at]], base)))
-        yield from as_batches(rows, [pa.int32(), pa.int64(), pa.binary(), pa.binary()], ["bucket", "base", "hashes", "ids"])
+            at = np.concatenate((at[~several[at]], at[several[at]]))
+            known = np.count_nonzero(~several[at])
+            rows.append((b, base, pack(short(h[at], buckets)), planes(own[at[:known]] - np.int64(base)), planes(size[at[known:]])))
+        yield from as_batches(rows, [pa.int32(), pa.int64(), *[pa.binary()] * 3], ["bucket", "base", "hashes", "ids", "counts"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = Block(limits)
@@ -245,30 +247,30 @@ def per_document(doc: np.ndarray, values: np.ndarray) -> Iterator[tuple[int, np.
 
 
 def meet(hot: int):
-    """(doc_id, found): of each bucket's anchor hashes those in several documents, by document; without doc_id, those in over ``hot`` rows."""
+    """(doc_id, found): of each bucket's anchor hashes those in several documents, by document; without doc_id, those in over ``hot`` documents."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for sent in groups(batches, "bucket"):
             rows: list[tuple[int, bytes]] = []
-            hashes, ids, several = [], [], []
-            for b, base, h, i in (row for part in sent for row in zip(*(c.to_pylist() for c in part.columns))):
+            hashes, ids, counts = [], [], []
+            for b, base, h, i, c in (row for part in sent for row in zip(*(c.to_pylist() for c in part.columns))):
                 if b < 0:
                     rows.append((base, h))
                     continue
                 hashes.append(unpack(h))
                 bucket = b
-                known = unplaned(i, base)
-                several.append(np.arange(len(hashes[-1])) >= len(known))
-                ids.append(np.append(known, np.zeros(len(hashes[-1]) - len(known), np.int64)))
+                known, more = unplaned(i) + np.int64(base), unplaned(c)
+                ids.append(np.append(known, np.zeros(len(more), np.int64)))
+                counts.append(np.append(np.ones(len(known), np.int64), more))
             if hashes:
-                h, ids, several = (np.concatenate(x) for x in (hashes, ids, several))
+                h, ids, counts = (np.concatenate(x) for x in (hashes, ids, counts))
                 order = np.argsort(h, kind="stable")
-                h, ids, several = h[order], ids[order], several[order]
-                run = _grouped(h)
+                h, ids, counts = h[order], ids[order], counts[order]
+                run, several = _grouped(h), counts > 1
                 mixed = np.logical_or.reduceat(several, run) | (np.minimum.reduceat(ids, run) != np.maximum.reduceat(ids, run))
                 size = np.diff(np.append(run, len(h)))
                 ok = np.repeat(mixed, size) & ~several
-                if (many := h[run[size > hot]]).size:
+                if (many := h[run[np.add.reduceat(counts, run) > hot]]).size:
                     rows.append((None, (many.astype(np.int64) | (bucket << 40)).tobytes()))
                 rows += [(i, pack(x)) for i, x in per_document(ids[ok], h[ok])]
             yield from as_batches(rows, [pa.int64(), pa.binary()], ["doc_id", "found"])
@@ -327,6 +329,7 @@ def send_stretches(buckets: int, limits: Limits = LIMITS, hot: np.ndarray = np.z
     """Of documents with found anchors, the stretches that must be compared, by shard, and spans already known (negative shards)."""
     names = ["shard", "hashes", "sizes", "stretches", "uses", "ids", "keys"]
 
+
     def flush(block: Stretches) -> Iterator[pa.RecordBatch]:
         if not block.number:
             return
@@ -339,10 +342,10 @@ def send_stretches(buckets: int, limits: Limits = LIMITS, hot: np.ndarray = np.z
         known, uses = uses[~own], uses[own]
         rows = []
         for d, spans in per_document(known[:, 1], np.column_stack((known[:, 2], known[:, 2] + size[known[:, 0]]))):
-            rows.append((-1 - int(ids[d] % buckets), b"", b"", b"", spans.astype("<u4").tobytes(), ids[d].tobytes(), keys[d].tobytes()))
+            rows.append((-1 - int(ids[d] % buckets), b"", b"", b"", spans.astype("<u4").tobytes(), planes(ids[d : d + 1]), keys[d].tobytes()))
         place = np.empty(len(texts), np.int64)
         for _, at in (shards := list(by_bucket(hashes, buckets))):
-            at[:] = at[np.argsort(hashes[at], kind="stable")]
+            at[:] = at[np.argsort(short(hashes[at], buckets), kind="stable")]
             place[at] = np.arange(len(at))
         used_by = dict(by_bucket(hashes[uses[:, 0]], buckets))
         for shard, at in shards:
@@ -350,8 +353,10 @@ def send_stretches(buckets: int, limits: Limits = LIMITS, hot: np.ndarray = np.z
             used[:, 0] = place[used[:, 0]]
             used = used[np.argsort(used[:, 0], kind="stable")]
             docs, used[:, 1] = np.unique(used[:, 1], return_inverse=True)
-            squeezed = zstandard.compress(b"".join(texts[i] for i in at.tolist()), 3)
-            rows.append((shard, hashes[at].tobytes(), size[at].astype(np.uint8).tobytes(), squeezed, used.astype("<u4").tobytes(), ids[docs].tobytes(), keys[docs].tobytes()))
+            squeezed = zstandard.compress(b"".join(texts[i] for i in at.tolist()), 6)
+            used[:, 0] = np.diff(used[:, 0], prepend=0)  # how far each use's stretch is from that of the use before: 0 or 1
+            gaps = np.diff(short(hashes[at], buckets).astype(np.int64), prepend=0)
+            rows.append((shard, planes(gaps), size[at].astype(np.uint8).tobytes(), squeezed, planes(used.T.ravel()), planes(np.diff(ids[docs], prepend=0)), keys[docs].tobytes()))
         yield from as_batches(rows, [pa.int32(), *[pa.binary()] * 6], names, 32)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -485,12 +490,14 @@ def resolve(limits: Limits = LIMITS):
             for part in shard:
                 # Views of the shard's own buffers: nothing is copied until a range is unpacked.
                 for number, hs, sizes, squeezed, used, i, k in zip(part.column(0).to_pylist(), *([x.as_buffer() for x in c] for c in part.columns[1:])):
-                    i, k, used = np.frombuffer(i, np.int64), np.frombuffer(k, np.int64), np.frombuffer(used, "<u4")
+                    i, k = np.cumsum(unplaned(i)), np.frombuffer(k, np.int64)
                     if number < 0:
-                        rows.append((int(i[0]), int(k[0]), used.tobytes()))
+                        rows.append((int(i[0]), int(k[0]), used.to_pybytes()))
                         continue
                     ends = np.cumsum(np.frombuffer(sizes, np.uint8), dtype=np.int64)
-                    sent.append((np.frombuffer(hs, np.uint64), ends, squeezed, used.reshape(-1, 3), n))
+                    used = unplaned(used).reshape(3, -1).astype("<u4").T
+                    used[:, 0] = np.cumsum(used[:, 0])
+                    sent.append((np.cumsum(unplaned(hs)), ends, squeezed, used, n))
                     ids.append(i)
                     keys.append(k)
                     n += len(i)
@@ -498,7 +505,7 @@ def resolve(limits: Limits = LIMITS):
             if sent:
                 ids, keys = np.concatenate(ids), np.concatenate(keys)
                 steps = -(-total // limits.range_bytes)
-                edges = [(r << 64) // steps for r in range(steps + 1)]
+                edges = [(r << 40) // steps for r in range(steps + 1)]
                 found = [x for lo, hi in zip(edges, edges[1:]) for x in _resolve_range(sent, ids, lo, hi - 1, limits.array_bytes)]
                 if found:
                     x = np.concatenate(found)
@@ -513,7 +520,7 @@ def _resolve_range(sent: list[tuple], ids: np.ndarray, low: int, high: int, arra
     number: dict[tuple[int, bytes], int] = {}
     uses = []
     for hs, ends, squeezed, used, base in sent:
-        a, b = np.searchsorted(hs, np.uint64(low)), np.searchsorted(hs, np.uint64(high), side="right")
+        a, b = np.searchsorted(hs, low), np.searchsorted(hs, high, side="right")
         if a == b:
             continue
         joined = zstandard.decompress(squeezed)
@@ -638,12 +645,16 @@ def deduplicate(docs: DataFrame, *, digests: bool = False, limits: Limits = LIMI
     number = F.col("doc_id") if docs.schema["doc_id"].dataType == LongType() else F.col("doc_id").cast("long").alias("doc_id")
     keyed = docs.select(number, F.xxhash64("text").alias("key"), "text")
     texts = keyed.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= SPAN))
-    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    total, rows = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
     buckets = max(4, -(-total // limits.bucket_text))
-    anchors_of = texts.mapInArrow(send_anchors(buckets, limits), "bucket int, base long, hashes binary, ids binary")
-    met = cut(by_task(anchors_of, "bucket", buckets, limits.tasks).mapInArrow(meet(max(limits.hot, total // 1_000_000)), "doc_id long, found binary"))
-    listed = [np.frombuffer(r["found"], np.int64) for r in met.where("doc_id is null").select("found").toLocalIterator()]
-    hot = np.concatenate([*listed, np.zeros(0, np.int64)])
+    anchors_of = texts.mapInArrow(send_anchors(buckets, limits), "bucket int, base long, hashes binary, ids binary, counts binary")
+    many = max(limits.hot, total // 1_000_000)
+    met = by_task(anchors_of, "bucket", buckets, limits.tasks).mapInArrow(meet(many), "doc_id long, found binary")
+    hot = np.zeros(0, np.int64)
+    if rows > many:  # else no anchor can be hot
+        met = cut(met)
+        listed = [np.frombuffer(r["found"], np.int64) for r in met.where("doc_id is null").select("found").toLocalIterator()]
+        hot = np.concatenate([hot, *listed])
     found = met.where("doc_id is not null").groupBy("doc_id").agg(F.collect_list("found").alias("found"))
     stretches = texts.join(found, "doc_id").mapInArrow(send_stretches(buckets, limits, hot), "shard int, hashes binary, sizes binary, stretches binary, uses binary, ids binary, keys binary")
     resolved = by_task(stretches, "shard", buckets, limits.tasks).mapInArrow(resolve(limits), "doc_id long, key long, spans binary")
