@@ -8,8 +8,9 @@ import time
 from collections.abc import Sequence
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
-from .operators import index, prune, search, verify
+from .operators import index, prune, search, traversal, verify
 from .plans.staging import cut
 from .sources import collection
 
@@ -36,6 +37,7 @@ def parser() -> argparse.ArgumentParser:
     query.add_argument("--mode", choices=("0", "1"))
     query.add_argument("--out")
     query.add_argument("--snippets", action="store_true")
+    query.add_argument("--walk", action="store_true", help="also count what a walk over documents would touch (OR only)")
     query.add_argument("--time-each", action="store_true", help="also time each query of a batch on its own")
     fresh = sub.add_parser("check", help="check an index against its collection")
     fresh.add_argument("index")
@@ -83,7 +85,7 @@ def interactive(spark: SparkSession, tables: dict, docs) -> None:
         print(f"{len(rows)} result(s) in {(time.perf_counter() - began) * 1000:.1f} ms")
 
 
-def batch_summary(tables: dict, asked, mode: int, took: list[float]) -> None:
+def batch_summary(tables: dict, asked, mode: int, took: list[float], walk: bool) -> None:
     """Prints latencies, if each query was timed, and for disjunctive queries what the score bounds spare."""
     spark = asked.sparkSession
     if took:
@@ -96,6 +98,11 @@ def batch_summary(tables: dict, asked, mode: int, took: list[float]) -> None:
         verdicts = prune.chunk_verdicts(terms, tables["chunks"], tables["lexicon"], theta)
         s = prune.pruning_summary(prune.query_stats(verdicts, terms, tables["lexicon"], prune.essential_lists(bounds, theta), asked)).first()
         print(f"pruning: {s['postings_kept'] or 0} of {s['total_postings'] or 0} postings needed, {s['pruned_percent']:.3f} % spared, mean essential lists {s['mean_essential'] or 0:.3f}, chunks dropped {s['chunks_dropped'] or 0}")
+        if walk:
+            counted = traversal.traversal_stats(asked, tables["chunks"], tables["lexicon"])
+            scored, total, essential, skipped = counted.agg(F.sum("postings_scored"), F.sum("total_postings"), F.avg("essential_after_warmup"), F.sum("chunks_skipped")).first()
+            share = 100 * (1 - (scored or 0) / total) if total else 0.0
+            print(f"walk: {scored or 0} of {total or 0} postings scored, {share:.3f} % pruned, mean essential lists after warm-up {essential or 0:.3f}, chunks skipped {skipped or 0}")
 
 
 def batch(spark: SparkSession, tables: dict, docs, args) -> int:
@@ -113,7 +120,7 @@ def batch(spark: SparkSession, tables: dict, docs, args) -> int:
     collection.write_results(search.with_snippets(found, docs, asked) if args.snippets else found, args.out)
     spent = time.perf_counter() - began
     print(f"{n} queries, mode {args.mode} ({'OR' if int(args.mode) == search.OR else 'AND'}), in {spent:.3f} s; mean {1000 * spent / max(n, 1):.3f} ms")
-    batch_summary(tables, asked, int(args.mode), took)
+    batch_summary(tables, asked, int(args.mode), took, args.walk)
     return 0
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import ranking, varbyte
 from .functions.text import AFTER, BEFORE, DEFAULT_WORDS, MARK, UNMARK, tokenize
-from .operators import index, prune, search, verify
+from .operators import index, prune, search, traversal, verify
 from .plans.ordinals import with_running_sum
 from .plans.staging import cut, new_folder
 from .sources import collection
@@ -215,6 +215,12 @@ def q_query_stats(spark, sf_dir):
     return prune.query_stats(p.verdicts, p.terms, p.lexicon, prune.essential_lists(p.bounds, p.theta), batch(spark))
 
 
+def q_traversal_stats(spark, sf_dir):
+    """What a walk over documents would touch; sequential, so not for SQL."""
+    chunks, lexicon = Built(spark, sf_dir).chunked()
+    return traversal.traversal_stats(batch(spark), chunks, lexicon)
+
+
 def q_pruning_summary(spark, sf_dir):
     return prune.pruning_summary(q_query_stats(spark, sf_dir))
 

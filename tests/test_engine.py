@@ -227,9 +227,9 @@ def test_stored_index_command_line_and_guards(spark, tmp_path, monkeypatch, caps
     assert cli.main(["query", at]) == 0
     said = capsys.readouterr().out
     assert "1. [5077]" in said and "2. [5070]" in said  # the passages' own ids, not their numbers
-    assert cli.main(["query", at, "--batch", str(tmp_path / "q.txt"), "--mode", "1", "--out", out, "--time-each"]) == 0
+    assert cli.main(["query", at, "--batch", str(tmp_path / "q.txt"), "--mode", "1", "--out", out, "--time-each", "--walk"]) == 0
     said = capsys.readouterr().out
-    assert "3 queries, mode 1 (OR)" in said and "latency (ms): n=3 p50=" in said and "25 of 25 postings needed" in said
+    assert "3 queries, mode 1 (OR)" in said and "latency (ms): n=3 p50=" in said and "25 of 25 postings needed" in said and "walk: 25 of 25 postings scored" in said
     assert cli.main(["query", at, "--batch", str(tmp_path / "q.txt"), "--mode", "0", "--out", out]) == 0 and "pruning" not in capsys.readouterr().out
     assert cli.main(["check", at, source, "pizza", "café", "absent"]) == 0
     said = capsys.readouterr().out
