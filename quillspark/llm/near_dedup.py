@@ -32,6 +32,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, as_bytes, cut, groups, hot_keys, map_slices, mix, shingle_hashes, ship, spread_join
+from .common import as_bytes, cut, groups, hot_keys, map_slices, mix, shingle_hashes, ship, spread_join
 
 WORDS = 5
 BANDS, ROWS = 24, 6
@@ -63,9 +64,14 @@ def permutations(samples: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return factors, rng.integers(0, 1 << 32, samples, np.uint32), mix(np.arange(1, samples + 1, dtype=np.uint64))
 
 
-def shingle_set(text: bytes, hashes: WordHashes) -> np.ndarray:
-    """Sorted distinct shingle hashes of a text."""
-    return np.unique(shingle_hashes(hashes.of(text.lower().split()), WORDS))
+def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
+    """Sorted distinct shingle hashes of each text; each distinct word of them all is hashed once."""
+    words = [t.lower().split() for t in texts]
+    ends = np.cumsum([len(w) for w in words])
+    coded = pa.array(list(chain.from_iterable(words)), pa.binary()).dictionary_encode()
+    known = coded.dictionary.to_pylist()
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, known), np.uint64, len(known))[coded.indices.to_numpy()]
+    return [np.unique(shingle_hashes(x, WORDS)) for x in np.split(hashes, ends[:-1])] if texts else []
 
 
 def band_keys(sets: list[np.ndarray], bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
@@ -171,10 +177,8 @@ def sign(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     names = ["n_shingles", "digest", "bands", *SKETCH[1:]]
 
     def work():
-        hashes = WordHashes()
-
         def each(part: pa.RecordBatch) -> pa.RecordBatch:
-            sets = [shingle_set(t, hashes) for t in as_bytes(part.column("text"))]
+            sets = shingle_sets(as_bytes(part.column("text")))
             full = [i for i, s in enumerate(sets) if len(s)]
             columns: list[list] = [[len(s) for s in sets], *([None] * len(sets) for _ in names[1:])]
             if full:
@@ -196,15 +200,16 @@ def confirm(docs: DataFrame, pairs: DataFrame, least_percent: int = LEAST_PERCEN
     joined = spread_join(spread_join(pairs, side("b"), "b", "a"), side("a"), "a", "b", hot=hot)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, last, first = WordHashes(), None, None
         for batch in batches:
             for at in range(0, batch.num_rows, PAIR_BATCH_TEXTS):
                 part = batch.slice(at, PAIR_BATCH_TEXTS)
                 good = []
-                for a, b in zip(as_bytes(part.column("text_a")), as_bytes(part.column("text_b"))):
-                    if a != last:
-                        last, first = a, shingle_set(a, hashes)
-                    second = shingle_set(b, hashes)
+                left, right = as_bytes(part.column("text_a")), as_bytes(part.column("text_b"))
+                own = list(dict.fromkeys(left))  # rows of one document come together
+                sets = shingle_sets(own + right)
+                of = dict(zip(own, sets))
+                for a, second in zip(left, sets[len(own) :]):
+                    first = of[a]
                     both = len(np.intersect1d(first, second, assume_unique=True))
                     good.append(100 * both >= least_percent * (len(first) + len(second) - both))
                 yield part.select(["a", "b"]).filter(pa.array(good, pa.bool_()))

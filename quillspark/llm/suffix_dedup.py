@@ -329,7 +329,6 @@ def send_stretches(buckets: int, limits: Limits = LIMITS, hot: np.ndarray = np.z
     """Of documents with found anchors, the stretches that must be compared, by shard, and spans already known (negative shards)."""
     names = ["shard", "hashes", "sizes", "stretches", "uses", "ids", "keys"]
 
-
     def flush(block: Stretches) -> Iterator[pa.RecordBatch]:
         if not block.number:
             return
