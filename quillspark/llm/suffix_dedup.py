@@ -118,20 +118,18 @@ def _anchors(data: np.ndarray, begin: int, ends: np.ndarray) -> tuple[np.ndarray
     return h[at[first]], at[first].astype(np.int64) + begin, owner[first].astype(np.int64), starts[first] + begin, starts[last] + begin
 
 
-def short(h: np.ndarray, buckets: int) -> np.ndarray:
-    """40 bits of each hash beyond those that its bucket says. A bucket holds a few million, so chance meetings are
-    rare at any size of the corpus, and cost only a comparison."""
-    return (h // np.uint64(buckets)) & np.uint64((1 << 40) - 1)
+def short(h: np.ndarray) -> np.ndarray:
+    """The high 32 bits of each hash, in its order; the bucket says some of the others. A bucket holds a few million, so one in
+    a thousand or fewer meets another by chance, at any size of the corpus, and that costs only a comparison."""
+    return (h >> np.uint64(32)).astype(np.int64)
 
 
 def pack(h: np.ndarray) -> bytes:
-    return h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+    return h.astype("<u4").tobytes()
 
 
 def unpack(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
-    return out.reshape(-1).view("<u8")
+    return np.frombuffer(raw, "<u4").astype(np.int64)
 
 
 def planes(numbers: np.ndarray) -> bytes:
@@ -212,12 +210,12 @@ def send_anchors(buckets: int, limits: Limits = LIMITS):
         run = _grouped(h)
         size = np.diff(np.append(run, len(h)))
         several = np.repeat(size > 1, size)
-        rows = [(-1 - i % buckets, i, pack(short(x, buckets)), b"", b"") for i, x in per_document(own[several], h[several])]
+        rows = [(-1 - i % buckets, i, pack(short(x)), b"", b"") for i, x in per_document(own[several], h[several])]
         h, own, several = h[run], own[run], size > 1
         for b, at in by_bucket(h, buckets):
             at = np.concatenate((at[~several[at]], at[several[at]]))
             known = np.count_nonzero(~several[at])
-            rows.append((b, base, pack(short(h[at], buckets)), planes(own[at[:known]] - np.int64(base)), planes(size[at[known:]])))
+            rows.append((b, base, planes(np.diff(short(h[at]), prepend=0)), planes(own[at[:known]] - np.int64(base)), planes(size[at[known:]])))
         yield from as_batches(rows, [pa.int32(), pa.int64(), *[pa.binary()] * 3], ["bucket", "base", "hashes", "ids", "counts"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,7 +255,7 @@ def meet(hot: int):
                 if b < 0:
                     rows.append((base, h))
                     continue
-                hashes.append(unpack(h))
+                hashes.append(np.cumsum(unplaned(h)))
                 bucket = b
                 known, more = unplaned(i) + np.int64(base), unplaned(c)
                 ids.append(np.append(known, np.zeros(len(more), np.int64)))
@@ -271,7 +269,7 @@ def meet(hot: int):
                 size = np.diff(np.append(run, len(h)))
                 ok = np.repeat(mixed, size) & ~several
                 if (many := h[run[np.add.reduceat(counts, run) > hot]]).size:
-                    rows.append((None, (many.astype(np.int64) | (bucket << 40)).tobytes()))
+                    rows.append((None, (many | (bucket << 32)).tobytes()))
                 rows += [(i, pack(x)) for i, x in per_document(ids[ok], h[ok])]
             yield from as_batches(rows, [pa.int64(), pa.binary()], ["doc_id", "found"])
 
@@ -284,8 +282,8 @@ def split_hot(data: np.ndarray, h: np.ndarray, d: np.ndarray, first: np.ndarray,
     Strings that begin eight bytes or more before the anchor hold those eight, the others hold the eight behind it:
     either goes into the key, so equal strings still have equal keys.
     """
-    cut_h = short(h, buckets)
-    is_hot = np.isin(cut_h.astype(np.int64) | ((h % np.uint64(buckets)).astype(np.int64) << 40), hot) if len(hot) else np.zeros(len(h), bool)
+    cut_h = short(h)
+    is_hot = np.isin(cut_h | ((h % np.uint64(buckets)).astype(np.int64) << 32), hot) if len(hot) else np.zeros(len(h), bool)
     if not is_hot.any():
         return h, d, first, last, cut_h
     parts = [(h[~is_hot], d[~is_hot], first[~is_hot], last[~is_hot], cut_h[~is_hot])]
@@ -344,7 +342,7 @@ def send_stretches(buckets: int, limits: Limits = LIMITS, hot: np.ndarray = np.z
             rows.append((-1 - int(ids[d] % buckets), b"", b"", b"", spans.astype("<u4").tobytes(), planes(ids[d : d + 1]), keys[d].tobytes()))
         place = np.empty(len(texts), np.int64)
         for _, at in (shards := list(by_bucket(hashes, buckets))):
-            at[:] = at[np.argsort(short(hashes[at], buckets), kind="stable")]
+            at[:] = at[np.argsort(hashes[at], kind="stable")]
             place[at] = np.arange(len(at))
         used_by = dict(by_bucket(hashes[uses[:, 0]], buckets))
         for shard, at in shards:
@@ -354,7 +352,7 @@ def send_stretches(buckets: int, limits: Limits = LIMITS, hot: np.ndarray = np.z
             docs, used[:, 1] = np.unique(used[:, 1], return_inverse=True)
             squeezed = zstandard.compress(b"".join(texts[i] for i in at.tolist()), 6)
             used[:, 0] = np.diff(used[:, 0], prepend=0)  # how far each use's stretch is from that of the use before: 0 or 1
-            gaps = np.diff(short(hashes[at], buckets).astype(np.int64), prepend=0)
+            gaps = np.diff(short(hashes[at]), prepend=0)
             rows.append((shard, planes(gaps), size[at].astype(np.uint8).tobytes(), squeezed, planes(used.T.ravel()), planes(np.diff(ids[docs], prepend=0)), keys[docs].tobytes()))
         yield from as_batches(rows, [pa.int32(), *[pa.binary()] * 6], names, 32)
 
@@ -504,7 +502,7 @@ def resolve(limits: Limits = LIMITS):
             if sent:
                 ids, keys = np.concatenate(ids), np.concatenate(keys)
                 steps = -(-total // limits.range_bytes)
-                edges = [(r << 40) // steps for r in range(steps + 1)]
+                edges = [(r << 32) // steps for r in range(steps + 1)]
                 found = [x for lo, hi in zip(edges, edges[1:]) for x in _resolve_range(sent, ids, lo, hi - 1, limits.array_bytes)]
                 if found:
                     x = np.concatenate(found)
