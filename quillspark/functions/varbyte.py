@@ -13,32 +13,32 @@ def size(value: Column) -> Column:
     return reduce(lambda c, n: F.when(value < (1 << (7 * n)), F.lit(n)).otherwise(c), (4, 3, 2, 1), F.lit(5)).cast("int")
 
 
+def total(values: Column) -> Column:
+    """Bytes that an array of unsigned 32-bit values takes."""
+    each = F.aggregate(values, F.lit(0), lambda s, v: s + size(v))
+    return F.when(F.array_max(values) < 128, F.size(values)).otherwise(each)
+
+
 def encode(values: Column) -> Column:
     """Bytes of an array of unsigned 32-bit values."""
 
     def one(v: Column) -> Column:
-        at = lambda i: F.shiftright(v, 7 * i).bitwiseAND(F.lit(127).cast("long"))
-        part = lambda i: F.lpad(F.hex(at(i) + F.when(F.lit(i) < size(v) - 1, F.lit(128)).otherwise(F.lit(0))), 2, "0")
-        return F.concat(*(F.when(F.lit(i) < size(v), part(i)).otherwise(F.lit("")) for i in range(5)))
+        part = lambda i, n: F.shiftleft(F.shiftright(v, 7 * i).bitwiseAND(F.lit(127).cast("long")).bitwiseOR(F.lit(128 if i < n - 1 else 0).cast("long")), 8 * (n - 1 - i))
+        digits = lambda n: F.hex(reduce(lambda a, b: a.bitwiseOR(b), (part(i, n) for i in range(n))))
+        longer = reduce(lambda c, n: F.when(v < (1 << (7 * n)), digits(n)).otherwise(c), (4, 3, 2), digits(5))
+        return F.when(v < 128, F.substr(F.hex(v + 256), F.lit(2))).otherwise(longer)
 
     return F.unhex(F.array_join(F.transform(values, lambda v: one(v.cast("long"))), ""))
 
 
 def decode(code: Column) -> Column:
     """The values of a code; a last value without its end is dropped."""
-    digits = F.hex(code)
-    places = F.when(F.length(digits) > 0, F.sequence(F.lit(0), F.shiftright(F.length(digits), 1) - 1)).otherwise(F.array().cast("array<int>"))
-    octets = F.transform(places, lambda i: F.conv(F.substr(digits, i * 2 + 1, F.lit(2)), 16, 10).cast("long"))
-    zero = F.lit(0).cast("long")
-    start = F.struct(F.array().cast("array<bigint>").alias("out"), zero.alias("v"), F.lit(0).alias("shift"))
-
-    def step(s: Column, b: Column) -> Column:
-        v = s["v"] + F.call_function("shiftleft", b.bitwiseAND(F.lit(127).cast("long")), s["shift"])
-        more = b >= 128
-        return F.struct(
-            F.when(more, s["out"]).otherwise(F.array_append(s["out"], v)).alias("out"),
-            F.when(more, v).otherwise(zero).alias("v"),
-            F.when(more, s["shift"] + 7).otherwise(F.lit(0)).alias("shift"),
-        )
-
-    return F.aggregate(octets, start, step, lambda s: s["out"])
+
+    def one(digits: Column) -> Column:
+        number, n = F.conv(digits, 16, 10).cast("long"), F.length(digits)
+        seven = lambda i, size: F.shiftleft(F.shiftright(number, 8 * (size - 1 - i)).bitwiseAND(F.lit(127).cast("long")), 7 * i)
+        whole = lambda size: reduce(lambda a, b: a.bitwiseOR(b), (seven(i, size) for i in range(size)))
+        longer = reduce(lambda c, size: F.when(n == 2 * size, whole(size)).otherwise(c), (4, 3, 2), whole(5))
+        return F.when(n == 2, number).otherwise(longer)
+
+    return F.transform(F.regexp_extract_all(F.hex(code), F.lit("\\G(?:[89A-F].)*+[0-7]."), F.lit(0)), one)
