@@ -34,8 +34,8 @@ def bound_audit(chunks: DataFrame, scored: DataFrame, terms: DataFrame | None =
 
 def monotonic_audit(chunks: DataFrame) -> DataFrame:
     """One row: chunks, and those whose doc_ids don't strictly increase, within or up to the next one, or that are short before a next one."""
-    inside = F.exists(F.transform("docids", lambda v, i: (i > 0) & (v <= F.get("docids", i - 1))), lambda x: x)
-    edges = chunks.select("term", "chunk_idx", "chunk_size", "last_docid", F.element_at("docids", 1).alias("first"), inside.alias("inside"))
+    inside = F.sort_array(F.array_distinct("docids")) != F.col("docids")
+    edges = cut(chunks.select("term", "chunk_idx", "chunk_size", "last_docid", F.element_at("docids", 1).alias("first"), inside.alias("inside")))
     pairs = with_next(edges, F.col("first").alias("after"))
     bad = F.col("inside") | F.coalesce(F.col("after") <= F.col("last_docid"), F.lit(False))
     short = F.col("after").isNotNull() & (F.col("chunk_size") != CHUNK)
