@@ -12,6 +12,8 @@ DELIMITERS = r"""[ \t\n\r\f.,;:!?\[\]{}()<>"'`~@#$%^&*\-+=|\\/_]+"""
 UNAVAILABLE = "[Snippet unavailable]"
 MARK, UNMARK = "\x1b[1;33m", "\x1b[0m"
 BEFORE, AFTER, DEFAULT_WORDS = 50, 50, 100
+#: A line and the equal ones that follow it; possessive, so that no number of them needs a deeper stack.
+RUN = r"(?<![^\n])([^\n]++)(?:\n\1(?![^\n]))*+"
 
 
 def let(value: Column, body) -> Column:
@@ -30,15 +32,28 @@ def tokenize(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), DELIMITERS), "")
 
 
-def term_counts(tokens: Column) -> Column:
-    """array<struct<term, freq>> of a token array, by term: sorted once, then cut into runs."""
+def n_tokens(text: Column) -> Column:
+    """The number of tokens; it doesn't depend on case."""
+    return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), DELIMITERS), ""))
+
+
+def term_runs(tokens: Column) -> Column:
+    """Per distinct token, by term, its repeats joined by line feeds, which no token has; compiled, unlike lambdas over arrays."""
+    return F.regexp_extract_all(F.array_join(F.sort_array(tokens), "\n"), F.lit(RUN), F.lit(0))
+
 
-    def runs(s: Column) -> Column:
-        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
-        return let(starts, lambda p: F.transform(p, lambda at, k: F.struct(F.get(s, at).alias("term"), (F.coalesce(F.get(p, k + 1), F.size(s)) - at).cast("long").alias("freq"))))
+def run_term(run: Column) -> Column:
+    return F.substring_index(run, "\n", 1)
 
-    empty = F.array().cast("array<struct<term:string,freq:bigint>>")
-    return F.when(F.size(tokens) > 0, let(F.array_sort(tokens), runs)).otherwise(empty)
+
+def run_freq(run: Column) -> Column:
+    """Times that a run holds its term."""
+    return F.call_function("div", F.octet_length(run) + 1, F.octet_length(run_term(run)) + 1).cast("long")
+
+
+def term_counts(tokens: Column) -> Column:
+    """array<struct<term, freq>> of a token array, by term."""
+    return F.transform(term_runs(tokens), lambda r: F.struct(run_term(r).alias("term"), run_freq(r).alias("freq")))
 
 
 def snippet(text: Column, terms: Column) -> Column:

@@ -7,15 +7,20 @@ passage table. A term may be in most passages: its postings are spread over many
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ranking, varbyte
-from ..functions.text import term_counts, tokenize
-from ..plans.ordinals import ranged, with_ordinal, with_running_sum
+from ..functions.text import n_tokens, run_freq, run_term, term_runs, tokenize
+from ..plans.ordinals import with_ordinal, with_running_sum
 from ..plans.staging import cut
 
 CHUNK = 64
+#: Passages whose postings of a term make one list, and most blocks; beyond 2^25 passages blocks grow.
+BLOCK, BLOCKS = 1 << 17, 256
+_LISTED = ("docids", "freqs", "lengths")
 #: Bytes of the file header and of each term's and chunk's header in the packed layout.
 FILE_HEAD, TERM_HEAD, CHUNK_HEAD = 4, 4, 20
 
@@ -43,65 +48,124 @@ def corpus_stats(lengths: DataFrame) -> DataFrame:
     return lengths.agg(n.alias("n"), total.alias("total_len")).withColumn("avg_len", F.when(F.col("n") > 0, F.col("total_len") / F.col("n")).otherwise(F.lit(0.0)))
 
 
-def counted(docs: DataFrame) -> DataFrame:
-    """(doc_id, pid, length, hits): each passage's terms with their frequencies, narrow: one pass over the texts."""
-    return tokens(docs).select("doc_id", "pid", F.size("tokens").alias("length"), term_counts(F.col("tokens")).alias("hits"))
+def only(tokens: Column, terms: Sequence[str] | None) -> Column:
+    """The tokens that are among ``terms`` (None: all)."""
+    return tokens if terms is None else F.filter(tokens, lambda t: t.isin(list(terms))) if terms else F.slice(tokens, 1, 0)
 
 
-def postings_of(counts: DataFrame) -> DataFrame:
-    """(term, doc_id, freq, length) of ``counted`` passages."""
-    return counts.select("doc_id", "length", F.explode("hits").alias("x")).select("x.term", "doc_id", "x.freq", "length")
+def postings(docs: DataFrame, terms: Sequence[str] | None = None) -> DataFrame:
+    """(term, doc_id, freq, length) of a collection, of all or of some terms, narrow: one pass over the texts."""
+    split = tokens(docs)
+    # The outer form: for the inner one the optimizer puts filters before it that compute the array again.
+    runs = split.select("doc_id", F.size("tokens").alias("length"), F.explode_outer(term_runs(only(F.col("tokens"), terms))).alias("run"))
+    return runs.where("run is not null").select(run_term(F.col("run")).alias("term"), "doc_id", run_freq(F.col("run")).alias("freq"), "length")
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """(term, doc_id, freq, length) of a collection."""
-    return postings_of(counted(docs))
+def terms_of(docs: DataFrame, terms: Sequence[str] | None = None) -> DataFrame:
+    """(term): each passage's distinct terms, of all or of some; what document frequencies need, without counts in passages."""
+    return tokens(docs).select(F.explode_outer(F.array_distinct(only(F.col("tokens"), terms))).alias("term")).where("term is not null")
 
 
 def doc_freq(found: DataFrame) -> DataFrame:
-    """(term, doc_count) of postings."""
+    """(term, doc_count) of postings, or of ``terms_of`` passages."""
     return found.groupBy("term").agg(F.count("*").alias("doc_count"))
 
 
-def contributions(found: DataFrame, stats: DataFrame) -> DataFrame:
-    """Postings with doc_count and each one's share of its passage's score; the join on term is left to AQE, which splits hot terms."""
+def contributions(found: DataFrame, stats: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """Postings with doc_count (from ``counts``, if they are there already) and each one's share of its passage's score; the join on
+    term is left to AQE, which splits hot terms."""
     n, _, average = stats.first() or (0, 0, 0.0)
-    weighted = doc_freq(found).withColumn("idf", ranking.idf(F.lit(float(n)), F.col("doc_count")))
+    weighted = (doc_freq(found) if counts is None else counts).withColumn("idf", ranking.idf(F.lit(float(n)), F.col("doc_count")))
     share = ranking.contribution(F.col("idf"), F.col("freq"), F.col("length"), F.lit(float(average)))
     return found.join(weighted, "term").withColumn("contribution", share)
 
 
-def chunks(found: DataFrame, stats: DataFrame) -> DataFrame:
+def outline(docs: DataFrame) -> tuple[DataFrame, list[int]]:
+    """Statistics of a collection, kept on the driver, and the ids at which its blocks begin: one pass over the texts."""
+    n, total, edges = _measured(docs.select("doc_id", n_tokens(F.col("text")).alias("length")))
+    row = (n, total, total / n if n else 0.0)
+    return docs.sparkSession.createDataFrame([row], "n long, total_len long, avg_len double"), edges
+
+
+def block_edges(ids: DataFrame) -> list[int]:
+    """Ids at which blocks begin, of a table with doc_id."""
+    return _measured(ids.select("doc_id", F.lit(0).alias("length")))[2]
+
+
+def _measured(sized: DataFrame) -> tuple[int, int, list[int]]:
+    marks = F.percentile_approx("doc_id", [i / BLOCKS for i in range(1, BLOCKS)], F.lit(BLOCKS * 16))
+    n, total, at = sized.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0)).cast("long"), marks).first()
+    k = min(BLOCKS, -(-n // BLOCK))
+    return n, total, sorted({at[i * BLOCKS // k - 1] for i in range(1, k)})
+
+
+def _block(edges: Sequence[int]) -> Column:
+    """Number of the edges at or below doc_id, by halves."""
+
+    def pick(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(F.col("doc_id") < edges[middle], pick(low, middle)).otherwise(pick(middle + 1, high))
+
+    return pick(0, len(edges))
+
+
+def lists(found: DataFrame, edges: Sequence[int]) -> DataFrame:
+    """(term, block, docids, freqs, lengths) of postings, by id: a term's list in blocks of ids, staged. The only time that all postings move."""
+    entry = F.struct("doc_id", F.col("freq").cast("int").alias("freq"), F.col("length").cast("int").alias("length")).alias("x")
+    met = found.select("term", _block(edges).alias("block"), entry).groupBy("term", "block").agg(F.sort_array(F.collect_list("x")).alias("x"))
+    return cut(met.select("term", "block", F.col("x.doc_id").alias("docids"), F.col("x.freq").alias("freqs"), F.col("x.length").alias("lengths")))
+
+
+def placed(blocks: DataFrame, edges: Sequence[int]) -> DataFrame:
+    """``lists`` with the term's postings in the blocks before, and in all."""
+    sized = blocks.withColumn("n", F.size("docids").cast("long"))
+    if not edges:
+        return sized.select("*", F.lit(0).cast("long").alias("before"), F.col("n").alias("doc_count")).drop("block")
+    by = Window.partitionBy("term")  # a row per block that a term is in
+    before = F.coalesce(F.sum("n").over(by.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = sized.select("term", "block", "n").select("term", "block", before.alias("before"), F.sum("n").over(by).alias("doc_count"))
+    return sized.join(counts, ["term", "block"])
+
+
+def chunks(found: DataFrame, stats: DataFrame, edges: Sequence[int] | None = None) -> DataFrame:
     """Runs of 64 postings of a term by doc_id, with bounds, byte sizes of the gap and frequency codes, and their arrays.
 
-    Postings are sorted into ranges once. Places and document frequencies come from a table of (term, range) counts, and
-    chunks are put together within a range; only those that begin in one range and end in the next meet again.
+    Postings are gathered once, by term and block of ids (``edges``; sought in the postings if not given). Places and document
+    frequencies come from a table of (term, block) counts; only chunks that begin in one block and end in a later one meet again.
     """
+    edges = block_edges(found) if edges is None else edges
+    return chunks_of(placed(lists(found, edges), edges), stats)
+
+
+def chunks_of(blocks: DataFrame, stats: DataFrame) -> DataFrame:
+    """Chunks of ``placed`` lists."""
     n, _, average = stats.first() or (0, 0, 0.0)
-    parts = ranged(found.select("term", "doc_id", "freq", "length"), ["term", "doc_id"])
-    counts = parts.groupBy("term", "_part").agg(F.count("*").alias("n"), F.min("_place").alias("first"))
-    ranges = Window.partitionBy("term")  # a row per range that a term is in
-    before = F.coalesce(F.sum("n").over(ranges.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = parts.join(counts.select("*", before.alias("before"), F.sum("n").over(ranges).alias("doc_count")), ["term", "_part"])
-    weight = ranking.idf(F.lit(float(n)), F.col("doc_count"))
-    share = ranking.contribution(weight, F.col("freq"), F.col("length"), F.lit(float(average)))
-    entry = F.struct("doc_id", "freq", share.alias("contribution"))
-    number = F.floor((F.col("before") + F.col("_place") - F.col("first")) / CHUNK).cast("int").alias("chunk_idx")
-    runs = cut(placed.groupBy("term", "_part", "before", "n", "doc_count", number).agg(F.sort_array(F.collect_list(entry)).alias("x")))
-    end = F.col("before") + F.col("n")
-    open_ = (F.col("chunk_idx") * CHUNK < F.col("before")) | (((F.col("chunk_idx") + 1) * CHUNK > end) & (end < F.col("doc_count")))
-    met = runs.where(open_).groupBy("term", "chunk_idx").agg(F.sort_array(F.flatten(F.collect_list("x"))).alias("x"))
-    run = runs.where(~open_).select("term", "chunk_idx", "x").union(met)
-    arrays = run.select("term", "chunk_idx", F.col("x.doc_id").alias("docids"), F.col("x.freq").alias("freqs"), F.col("x.contribution").alias("contributions"))
-    total = lambda a: F.aggregate(a, F.lit(0), lambda s, v: s + varbyte.size(v))
+    end, size = F.col("before") + F.col("n"), F.lit(CHUNK).cast("long")
+    first, last = F.call_function("div", F.col("before"), size), F.call_function("div", end - 1, size)
+    weighed = blocks.select("*", ranking.idf(F.lit(float(n)), F.col("doc_count")).alias("idf"))
+    low, high = F.greatest(F.col("at") * CHUNK - F.col("before"), F.lit(0)).cast("int"), F.least((F.col("at") + 1) * CHUNK - F.col("before"), F.col("n")).cast("int")
+    pieces = lambda df, numbers: df.select("*", F.explode(numbers).alias("at")).select("term", F.col("at").cast("int").alias("chunk_idx"), "idf", *(F.slice(c, low + 1, high - low).alias(c) for c in _LISTED))
+    # Chunks that a block holds only a part of are its first, its last, or both.
+    begun, goes_on = F.col("before") % CHUNK != 0, (end % CHUNK != 0) & (end < F.col("doc_count"))
+    whole_from, whole_to = first + begun.cast("int"), last - goes_on.cast("int")
+    run = pieces(weighed.where(whole_from <= whole_to), F.sequence(whole_from, whole_to))
+    if "block" in blocks.columns:
+        parts = F.array_distinct(F.array_compact(F.array(F.when(begun, first), F.when(goes_on, last))))
+        entry = F.arrays_zip(*_LISTED)
+        met = pieces(weighed.where(begun | goes_on), parts).groupBy("term", "chunk_idx").agg(F.first("idf").alias("idf"), F.sort_array(F.flatten(F.collect_list(entry))).alias("x"))
+        run = run.union(met.select("term", "chunk_idx", "idf", *(F.col(f"x.{c}").alias(c) for c in _LISTED)))
+    share = lambda f, i: ranking.contribution(F.col("idf"), f, F.get("lengths", i), F.lit(float(average)))
+    arrays = run.select("term", "chunk_idx", "docids", F.col("freqs").cast("array<bigint>").alias("freqs"), F.transform("freqs", share).alias("contributions"), gaps(F.col("docids")).alias("gaps"))
     return arrays.select(
         "term",
         "chunk_idx",
         F.size("docids").alias("chunk_size"),
         F.element_at("docids", -1).alias("last_docid"),
         ranking.up_to_float(F.array_max("contributions")).alias("max_score"),
-        total(gaps(F.col("docids"))).alias("docid_bytes"),
-        total(F.col("freqs")).alias("freq_bytes"),
+        varbyte.total(F.col("gaps")).alias("docid_bytes"),
+        varbyte.total(F.col("freqs")).alias("freq_bytes"),
         "docids",
         "freqs",
         "contributions",
@@ -126,11 +190,15 @@ def ungaps(differences):
     return F.aggregate(differences, start, step, lambda s: s["out"])
 
 
+def list_figures(chunked: DataFrame) -> DataFrame:
+    """(term, length, doc_count, max_score) of the lists that ``chunked`` holds, without their places in the layout."""
+    packed = F.lit(CHUNK_HEAD) + F.col("docid_bytes") + F.col("freq_bytes")
+    return chunked.groupBy("term").agg((F.lit(TERM_HEAD) + F.sum(packed)).cast("long").alias("length"), F.sum("chunk_size").alias("doc_count"), F.max(F.array_max("contributions")).alias("max_score"))
+
+
 def lexicon(chunked: DataFrame) -> DataFrame:
     """(term, offset, length, doc_count, max_score) by term, with places in the packed layout."""
-    packed = F.lit(CHUNK_HEAD) + F.col("docid_bytes") + F.col("freq_bytes")
-    terms = chunked.groupBy("term").agg((F.lit(TERM_HEAD) + F.sum(packed)).cast("long").alias("length"), F.sum("chunk_size").alias("doc_count"), F.max(F.array_max("contributions")).alias("max_score"))
-    placed = with_running_sum(terms, ["term"], F.col("length"), "_before")
+    placed = with_running_sum(cut(list_figures(chunked)), ["term"], F.col("length"), "_before")
     return placed.select("term", (F.col("_before") + FILE_HEAD).alias("offset"), "length", "doc_count", "max_score")
 
 

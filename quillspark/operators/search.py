@@ -27,7 +27,7 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return split.select("query_idx", F.size("tokens").alias("n_tokens"), F.explode(term_counts(F.col("tokens"))).alias("x")).select("query_idx", "x.term", F.col("x.freq").alias("mult"), "n_tokens")
 
 
-def _few(terms: DataFrame) -> list[str] | None:
+def few(terms: DataFrame) -> list[str] | None:
     """The distinct terms, or None if there are more than may be constants."""
     rows = terms.select("term").distinct().limit(CONSTANT_TERMS + 1).collect()
     return sorted(r.term for r in rows) if len(rows) <= CONSTANT_TERMS else None
@@ -71,8 +71,7 @@ def top(scored: DataFrame, k: int = TOP) -> DataFrame:
 def search(docs: DataFrame, queries: DataFrame, mode: int, k: int = TOP) -> DataFrame:
     """Top passages of each query straight from a collection."""
     terms = cut(query_terms(queries))
-    few = _few(terms)
-    found, stats = matching(docs, few)
+    found, stats = matching(docs, few(terms))
     return top(scores(found, stats, terms, mode), k)
 
 
@@ -80,8 +79,8 @@ def search_index(postings: DataFrame, passages: DataFrame, stats: DataFrame, que
     """Top passages from a stored index: only row groups that may hold the query's terms are read, and only the best
     get their passage id."""
     terms = cut(query_terms(queries))
-    few = _few(terms)
-    found = postings.where(F.col("term").isin(few)) if few is not None else postings.join(terms.select("term").distinct(), "term", "left_semi")
+    wanted = few(terms)
+    found = postings.where(F.col("term").isin(wanted)) if wanted is not None else postings.join(terms.select("term").distinct(), "term", "left_semi")
     best = top(scores(found.withColumn("pid", F.lit(0).cast("long")), stats, terms, mode), k).drop("pid")
     return best.join(passages.select("doc_id", "pid"), "doc_id").select("query_idx", "rank", "doc_id", "pid", "score")
 

@@ -10,10 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import tokenize
+from ..functions.text import n_tokens, tokenize
 from ..operators import index
 from ..plans.ordinals import with_ordinal, with_running_sum
-from ..plans.staging import cut
 
 FORMAT = "quillspark-index-2"
 
@@ -72,15 +71,18 @@ def write_results(results: DataFrame, path: str) -> None:
 
 
 def save_index(docs: DataFrame, path: str) -> None:
-    """Writes postings, statistics, chunks, lexicon and, last, a manifest; texts are tokenized once."""
+    """Writes passages, statistics, postings, chunks, lexicon and, last, a manifest. Postings move once, as lists by term and block
+    of ids, and both tables are cut from those."""
     spark = docs.sparkSession
-    counted = cut(index.counted(docs))
-    postings = index.postings_of(counted)
-    postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
-    counted.select("doc_id", "pid", "length").write.mode("overwrite").parquet(f"{path}/passages")
-    index.corpus_stats(spark.read.parquet(f"{path}/passages")).write.mode("overwrite").parquet(f"{path}/stats")
-    chunks = index.chunks(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/stats"))
-    chunks.repartitionByRange("term", "chunk_idx").sortWithinPartitions("term", "chunk_idx").write.mode("overwrite").parquet(f"{path}/chunks")
+    docs.select("doc_id", "pid", n_tokens(F.col("text")).alias("length")).write.mode("overwrite").parquet(f"{path}/passages")
+    passages = spark.read.parquet(f"{path}/passages")
+    index.corpus_stats(passages).write.mode("overwrite").parquet(f"{path}/stats")
+    edges = index.block_edges(passages)
+    lists = index.lists(index.postings(docs), edges)
+    each = lists.repartitionByRange("term", "block").sortWithinPartitions("term", "block").select("term", F.explode(F.arrays_zip("docids", "freqs", "lengths")).alias("x"))
+    each.select("term", F.col("x.docids").alias("doc_id"), F.col("x.freqs").cast("long").alias("freq"), F.col("x.lengths").alias("length")).write.mode("overwrite").parquet(f"{path}/postings")
+    chunks = index.chunks_of(index.placed(lists, edges), spark.read.parquet(f"{path}/stats"))
+    chunks.sortWithinPartitions("term", "chunk_idx").write.mode("overwrite").parquet(f"{path}/chunks")
     lexicon = index.lexicon(spark.read.parquet(f"{path}/chunks"))
     lexicon.write.mode("overwrite").parquet(f"{path}/lexicon")
     longest = spark.read.parquet(f"{path}/lexicon").agg(F.max(F.octet_length("term"))).first()[0] or 0
