@@ -129,6 +129,15 @@ def placed(blocks: DataFrame, edges: Sequence[int]) -> DataFrame:
     return sized.join(counts, ["term", "block"])
 
 
+def contributions_of(blocks: DataFrame, stats: DataFrame) -> DataFrame:
+    """(term, doc_id, contribution) of the postings of ``placed`` lists, each scored by itself."""
+    n, _, average = stats.first() or (0, 0, 0.0)
+    weighed = blocks.select("*", ranking.idf(F.lit(float(n)), F.col("doc_count")).alias("idf"))
+    each = weighed.select("term", "idf", F.explode_outer(F.arrays_zip(*_LISTED)).alias("x"))
+    share = ranking.contribution(F.col("idf"), F.col("x.freqs"), F.col("x.lengths"), F.lit(float(average)))
+    return each.select("term", F.col("x.docids").alias("doc_id"), share.alias("contribution"))
+
+
 def chunks(found: DataFrame, stats: DataFrame, edges: Sequence[int] | None = None) -> DataFrame:
     """Runs of 64 postings of a term by doc_id, with bounds, byte sizes of the gap and frequency codes, and their arrays.
 

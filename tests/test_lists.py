@@ -74,3 +74,11 @@ def test_stored_postings_are_in_order(spark, tmp_path, monkeypatch):
     for file in (tmp_path / "x" / "postings").glob("*.parquet"):
         rows = [(r.term, r.doc_id) for r in spark.read.parquet(str(file)).collect()]
         assert rows == sorted(rows)
+
+
+def test_audit_of_bounds_reads_the_texts_no_second_time(spark):
+    built = queries.Built(spark, SMALL)
+    scored = index.contributions_of(built.blocks, built.stats)
+    assert "split(" not in plan(scored)
+    want = {(r.term, r.doc_id): r.contribution for r in built.scored().collect()}
+    assert {(r.term, r.doc_id): r.contribution for r in scored.collect()} == want
