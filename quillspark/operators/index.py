@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ranking, varbyte
-from ..functions.text import n_tokens, run_freq, run_term, term_runs, tokenize
+from ..functions.text import n_tokens, run_freq, run_term, term_counts, term_runs, tokenize
 from ..plans.ordinals import with_ordinal, with_running_sum
 from ..plans.staging import cut
 
@@ -61,6 +61,17 @@ def postings(docs: DataFrame, terms: Sequence[str] | None = None) -> DataFrame:
     return runs.where("run is not null").select(run_term(F.col("run")).alias("term"), "doc_id", run_freq(F.col("run")).alias("freq"), "length")
 
 
+def counted(docs: DataFrame, terms: Sequence[str]) -> DataFrame:
+    """(doc_id, length, hits) of every passage, ``hits`` its counts of some terms, staged: one pass over the texts, rows of numbers."""
+    return cut(tokens(docs).select("doc_id", F.size("tokens").alias("length"), term_counts(only(F.col("tokens"), terms)).alias("hits")))
+
+
+def postings_of(narrow: DataFrame) -> DataFrame:
+    """``postings`` of ``counted`` passages."""
+    hits = narrow.where(F.size("hits") > 0).select("doc_id", "length", F.explode("hits").alias("x"))
+    return hits.select("x.term", "doc_id", "x.freq", "length")
+
+
 def terms_of(docs: DataFrame, terms: Sequence[str] | None = None) -> DataFrame:
     """(term): each passage's distinct terms, of all or of some; what document frequencies need, without counts in passages."""
     return tokens(docs).select(F.explode_outer(F.array_distinct(only(F.col("tokens"), terms))).alias("term")).where("term is not null")
@@ -82,9 +93,14 @@ def contributions(found: DataFrame, stats: DataFrame, counts: DataFrame | None =
 
 def outline(docs: DataFrame) -> tuple[DataFrame, list[int]]:
     """Statistics of a collection, kept on the driver, and the ids at which its blocks begin: one pass over the texts."""
-    n, total, edges = _measured(docs.select("doc_id", n_tokens(F.col("text")).alias("length")))
+    return outline_of(docs.select("doc_id", n_tokens(F.col("text")).alias("length")))
+
+
+def outline_of(sized: DataFrame) -> tuple[DataFrame, list[int]]:
+    """``outline`` of a table with doc_id and length."""
+    n, total, edges = _measured(sized)
     row = (n, total, total / n if n else 0.0)
-    return docs.sparkSession.createDataFrame([row], "n long, total_len long, avg_len double"), edges
+    return sized.sparkSession.createDataFrame([row], "n long, total_len long, avg_len double"), edges
 
 
 def block_edges(ids: DataFrame) -> list[int]:

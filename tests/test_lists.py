@@ -82,3 +82,10 @@ def test_audit_of_bounds_reads_the_texts_no_second_time(spark):
     assert "split(" not in plan(scored)
     want = {(r.term, r.doc_id): r.contribution for r in built.scored().collect()}
     assert {(r.term, r.doc_id): r.contribution for r in scored.collect()} == want
+
+
+def test_lists_of_some_terms_and_statistics_come_from_one_pass(spark):
+    built = queries.Built(spark, SMALL, queries.SPOT_TERMS)
+    assert "split(" not in plan(built.postings) and built.stats.collect() == index.outline(built.docs)[0].collect()
+    assert sorted(built.postings.collect()) == sorted(index.postings(built.docs, queries.SPOT_TERMS).collect())
+    assert built.edges == index.outline(built.docs)[1] and queries.Built(spark, SMALL, ()).postings.isEmpty()
