@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ranking
-from ..functions.text import tokenize
+from ..functions.text import let, tokenize
 from ..plans.ordinals import with_ordinal
 from ..plans.staging import cut
-from .index import CHUNK, FILE_HEAD, with_next
+from .index import CHUNK, FILE_HEAD, only, with_next
 
 
 def audited_terms(lexicon: DataFrame, explicit: Sequence[str], stride: int = 89) -> DataFrame:
@@ -46,7 +46,8 @@ def max_score_audit(lexicon: DataFrame, docs: DataFrame, terms: Sequence[str], t
     """(term, doc_count, max_score, ok) of spot terms that the lexicon or the collection has, scored anew from the collection's texts."""
     known = F.array(*map(F.lit, terms))
     split = docs.select(tokenize(F.col("text")).alias("tokens"))
-    each = F.transform(known, lambda t: F.size(F.filter("tokens", lambda x: x == t)).cast("long"))
+    # Only the spot terms' own tokens, few of all, are compared with each of them.
+    each = let(only(F.col("tokens"), terms), lambda own: F.transform(known, lambda t: F.size(F.filter(own, lambda x: x == t)).cast("long")))
     seen = cut(split.select(F.size("tokens").alias("length"), each.alias("freqs")))
     n, total = seen.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
     spots = seen.select("length", F.explode(F.arrays_zip(known.alias("term"), F.col("freqs").alias("freq"))).alias("x")).select("length", "x.term", "x.freq").where("freq > 0")

@@ -89,3 +89,13 @@ def test_lists_of_some_terms_and_statistics_come_from_one_pass(spark):
     assert "split(" not in plan(built.postings) and built.stats.collect() == index.outline(built.docs)[0].collect()
     assert sorted(built.postings.collect()) == sorted(index.postings(built.docs, queries.SPOT_TERMS).collect())
     assert built.edges == index.outline(built.docs)[1] and queries.Built(spark, SMALL, ()).postings.isEmpty()
+
+
+def test_audit_of_best_scores_compares_only_the_spot_terms_own_tokens(spark, monkeypatch):
+    staged = []
+    monkeypatch.setattr(verify, "cut", lambda df: staged.append(df) or df)
+    docs = spark.createDataFrame([(1, 1, "b a b"), (2, 2, "x y"), (3, 3, "x z"), (4, 4, None)], "doc_id long, pid long, text string")
+    lexicon = spark.createDataFrame([("b", 1, 0.0)], "term string, doc_count long, max_score double")
+    found = {r.term: (r.doc_count, r.ok) for r in verify.max_score_audit(lexicon, docs, ("b", "x", "absent")).collect()}
+    assert found == {"b": (1, False), "x": (None, False)}
+    assert " IN (" in plan(staged[0]) and [r.freqs for r in staged[0].orderBy("length", F.desc("freqs")).collect()] == [[0, 0, 0], [0, 1, 0], [0, 1, 0], [2, 0, 0]]
