@@ -20,6 +20,8 @@ from ..plans.staging import cut
 CHUNK = 64
 #: Passages whose postings of a term make one list, and most blocks; beyond 2^25 passages blocks grow.
 BLOCK, BLOCKS = 1 << 17, 256
+#: Passages, about, from which it is guessed which terms have more than one block's postings.
+SAMPLED = 1_000
 _LISTED = ("docids", "freqs", "lengths")
 #: Bytes of the file header and of each term's and chunk's header in the packed layout.
 FILE_HEAD, TERM_HEAD, CHUNK_HEAD = 4, 4, 20
@@ -115,6 +117,17 @@ def _measured(sized: DataFrame) -> tuple[int, int, list[int]]:
     return n, total, sorted({at[i * BLOCKS // k - 1] for i in range(1, k)})
 
 
+def long_terms(docs: DataFrame, edges: Sequence[int]) -> list[str] | None:
+    """Terms that may have more postings than a block has passages, guessed from passages chosen by a hash of their id. A guess decides
+    which lists are kept in blocks, so how work is spread, and nothing else. None, all terms, where there is but one block."""
+    if not edges:
+        return None
+    n = docs.count()
+    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, n // SAMPLED))) == 0).select("doc_id", "pid", "text")
+    taken, least = some.count(), 0.5 / (len(edges) + 1)  # half a block's share, as it is a guess
+    return sorted(r.term for r in doc_freq(terms_of(some)).where(F.col("doc_count") >= least * taken).collect())
+
+
 def _block(edges: Sequence[int]) -> Column:
     """Number of the edges at or below doc_id, by halves."""
 
@@ -127,22 +140,28 @@ def _block(edges: Sequence[int]) -> Column:
     return pick(0, len(edges))
 
 
-def lists(found: DataFrame, edges: Sequence[int]) -> DataFrame:
-    """(term, block, docids, freqs, lengths) of postings, by id: a term's list in blocks of ids, staged. The only time that all postings move."""
+def lists(found: DataFrame, edges: Sequence[int], long: Sequence[str] | None = None) -> DataFrame:
+    """(term, block, docids, freqs, lengths) of postings, by id, staged: lists of the ``long`` terms (None: all) in blocks of ids, others
+    whole, as block 0. The only time that all postings move."""
     entry = F.struct("doc_id", F.col("freq").cast("int").alias("freq"), F.col("length").cast("int").alias("length")).alias("x")
-    met = found.select("term", _block(edges).alias("block"), entry).groupBy("term", "block").agg(F.sort_array(F.collect_list("x")).alias("x"))
+    block = _block(edges) if long is None else F.when(F.col("term").isin(list(long)), _block(edges)).otherwise(F.lit(0)) if long else F.lit(0)
+    met = found.select("term", block.alias("block"), entry).groupBy("term", "block").agg(F.sort_array(F.collect_list("x")).alias("x"))
     return cut(met.select("term", "block", F.col("x.doc_id").alias("docids"), F.col("x.freq").alias("freqs"), F.col("x.length").alias("lengths")))
 
 
-def placed(blocks: DataFrame, edges: Sequence[int]) -> DataFrame:
-    """``lists`` with the term's postings in the blocks before, and in all."""
+def placed(blocks: DataFrame, edges: Sequence[int], long: Sequence[str] | None = None) -> DataFrame:
+    """``lists`` with the term's postings in the blocks before, and in all. Lists move for it only if those of all terms are in blocks."""
     sized = blocks.withColumn("n", F.size("docids").cast("long"))
-    if not edges:
+    if not edges or long is not None and not long:
         return sized.select("*", F.lit(0).cast("long").alias("before"), F.col("n").alias("doc_count")).drop("block")
     by = Window.partitionBy("term")  # a row per block that a term is in
     before = F.coalesce(F.sum("n").over(by.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = sized.select("term", "block", "n").select("term", "block", before.alias("before"), F.sum("n").over(by).alias("doc_count"))
-    return sized.join(counts, ["term", "block"])
+    split = sized if long is None else sized.where(F.col("term").isin(list(long)))
+    counts = split.select("term", "block", "n").select("term", "block", before.alias("before"), F.sum("n").over(by).alias("doc_count"))
+    if long is None:
+        return sized.join(counts, ["term", "block"])
+    whole = F.coalesce("before", F.lit(0)).cast("long"), F.coalesce("doc_count", "n")
+    return sized.join(F.broadcast(counts), ["term", "block"], "left").withColumns({"before": whole[0], "doc_count": whole[1]})
 
 
 def contributions_of(blocks: DataFrame, stats: DataFrame) -> DataFrame:

@@ -99,3 +99,19 @@ def test_audit_of_best_scores_compares_only_the_spot_terms_own_tokens(spark, mon
     found = {r.term: (r.doc_count, r.ok) for r in verify.max_score_audit(lexicon, docs, ("b", "x", "absent")).collect()}
     assert found == {"b": (1, False), "x": (None, False)}
     assert " IN (" in plan(staged[0]) and [r.freqs for r in staged[0].orderBy("length", F.desc("freqs")).collect()] == [[0, 0, 0], [0, 1, 0], [0, 1, 0], [2, 0, 0]]
+
+
+def test_lists_in_blocks_are_guessed_and_give_the_same_chunks_whatever_the_guess(spark, monkeypatch):
+    monkeypatch.setattr(index, "BLOCK", 20)
+    docs = spark.createDataFrame([(i, i, f"all all g{i % 3} u{i}" + " late" * (i > 80)) for i in range(200)], "doc_id long, pid long, text string")
+    stats, edges = index.outline(docs)
+    guess = index.long_terms(docs, edges)
+    assert len(edges) == 9 and guess == ["all", "g0", "g1", "g2", "late"] and index.long_terms(docs, []) is None
+    found, show = index.postings(docs), lambda df: sorted(map(repr, df.collect()))
+    want = show(index.chunks(found, stats, []))
+    for long in (None, [], ["all"], ["late", "absent", "u3"], guess):
+        blocks = index.lists(found, edges, long)
+        whole = blocks.where("term like 'u%'" if long is None or "u3" not in long else "term like 'g%'")
+        assert long is None or whole.where("block <> 0").isEmpty() and whole.count() == whole.select("term").distinct().count()
+        assert show(index.chunks_of(index.placed(blocks, edges, long), stats)) == want
+    assert plan(index.placed(index.lists(found, edges, guess), edges, guess)).count("strategy=broadcast") == 1
