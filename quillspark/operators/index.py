@@ -8,6 +8,7 @@ passage table. A term may be in most passages: its postings are spread over many
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,7 +23,6 @@ CHUNK = 64
 BLOCK, BLOCKS = 1 << 17, 256
 #: Passages, about, from which it is guessed which terms have more than one block's postings.
 SAMPLED = 1_000
-_LISTED = ("docids", "freqs", "lengths")
 #: Bytes of the file header and of each term's and chunk's header in the packed layout.
 FILE_HEAD, TERM_HEAD, CHUNK_HEAD = 4, 4, 20
 
@@ -93,16 +93,16 @@ def contributions(found: DataFrame, stats: DataFrame, counts: DataFrame | None =
     return found.join(weighted, "term").withColumn("contribution", share)
 
 
-def outline(docs: DataFrame) -> tuple[DataFrame, list[int]]:
-    """Statistics of a collection, kept on the driver, and the ids at which its blocks begin: one pass over the texts."""
+def outline(docs: DataFrame) -> tuple[DataFrame, list[int], Packing | None]:
+    """Statistics of a collection, kept on the driver, the ids at which its blocks begin, and its packing: one pass over the texts."""
     return outline_of(docs.select("doc_id", n_tokens(F.col("text")).alias("length")))
 
 
-def outline_of(sized: DataFrame) -> tuple[DataFrame, list[int]]:
+def outline_of(sized: DataFrame) -> tuple[DataFrame, list[int], Packing | None]:
     """``outline`` of a table with doc_id and length."""
-    n, total, edges = _measured(sized)
+    n, total, edges, packed = _measured(sized)
     row = (n, total, total / n if n else 0.0)
-    return sized.sparkSession.createDataFrame([row], "n long, total_len long, avg_len double"), edges
+    return sized.sparkSession.createDataFrame([row], "n long, total_len long, avg_len double"), edges, packed
 
 
 def block_edges(ids: DataFrame) -> list[int]:
@@ -110,11 +110,46 @@ def block_edges(ids: DataFrame) -> list[int]:
     return _measured(ids.select("doc_id", F.lit(0).alias("length")))[2]
 
 
-def _measured(sized: DataFrame) -> tuple[int, int, list[int]]:
+def _measured(sized: DataFrame) -> tuple[int, int, list[int], Packing | None]:
     marks = F.percentile_approx("doc_id", [i / BLOCKS for i in range(1, BLOCKS)], F.lit(BLOCKS * 16))
-    n, total, at = sized.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0)).cast("long"), marks).first()
+    n, total, at, *bounds = sized.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0)).cast("long"), marks, F.min("doc_id"), F.max("doc_id"), F.max("length")).first()
     k = min(BLOCKS, -(-n // BLOCK))
-    return n, total, sorted({at[i * BLOCKS // k - 1] for i in range(1, k)})
+    return n, total, sorted({at[i * BLOCKS // k - 1] for i in range(1, k)}), _packing(*bounds)
+
+
+class Packing(NamedTuple):
+    """How a posting is one number, in the order of doc_id: the id less ``low``, then frequency and length of ``width`` bits each."""
+
+    low: int
+    width: int
+
+    def entry(self) -> Column:
+        return F.shiftleft(F.col("doc_id") - self.low, 2 * self.width).bitwiseOR(F.shiftleft(F.col("freq").cast("long"), self.width)).bitwiseOR(F.col("length").cast("long"))
+
+
+def _packing(low: int | None, high: int | None, most: int | None) -> Packing | None:
+    width = (most or 0).bit_length()
+    return Packing(low, width) if low is not None and (high - low).bit_length() + 2 * width <= 63 else None
+
+
+def _parts(x: Column, each, kind: str) -> tuple[Column, Column, Column]:
+    """doc_id, freq and length of an entry, or of an array of them if ``each`` is F.transform; ``kind`` is the type of ``x`` in lists."""
+    if kind != "array<bigint>":
+        return x["doc_id"], x["freq"], x["length"]
+    low, width = F.col("low"), F.col("width")
+    mask = F.call_function("shiftleft", F.lit(1).cast("long"), width) - 1
+    return (
+        each(x, lambda v: F.call_function("shiftrightunsigned", v, width * 2) + low),
+        each(x, lambda v: F.call_function("shiftright", v, width).bitwiseAND(mask).cast("int")),
+        each(x, lambda v: v.bitwiseAND(mask).cast("int")),
+    )
+
+
+def postings_of_lists(blocks: DataFrame, *more: str) -> DataFrame:
+    """(term, doc_id, freq, length) of ``lists``, and columns of the list."""
+    kind = dict(blocks.dtypes)["x"]
+    doc_id, freq, length = _parts(F.col("y"), lambda x, f: f(x), kind)
+    return blocks.select("term", "low", "width", *more, F.explode_outer("x").alias("y")).select("term", *more, doc_id.alias("doc_id"), freq.cast("long").alias("freq"), length.alias("length"))
 
 
 def long_terms(docs: DataFrame, edges: Sequence[int]) -> list[str] | None:
@@ -140,18 +175,19 @@ def _block(edges: Sequence[int]) -> Column:
     return pick(0, len(edges))
 
 
-def lists(found: DataFrame, edges: Sequence[int], long: Sequence[str] | None = None) -> DataFrame:
-    """(term, block, docids, freqs, lengths) of postings, by id, staged: lists of the ``long`` terms (None: all) in blocks of ids, others
-    whole, as block 0. The only time that all postings move."""
-    entry = F.struct("doc_id", F.col("freq").cast("int").alias("freq"), F.col("length").cast("int").alias("length")).alias("x")
+def lists(found: DataFrame, edges: Sequence[int], long: Sequence[str] | None = None, packed: Packing | None = None) -> DataFrame:
+    """(term, block, x, low, width) of postings, staged: lists of the ``long`` terms (None: all) in blocks of ids, others whole, as block 0.
+    ``x`` holds a list's postings by id, as numbers if they are ``packed``. The only time that all postings move."""
+    entry = packed.entry() if packed else F.struct("doc_id", F.col("freq").cast("int").alias("freq"), F.col("length").cast("int").alias("length"))
     block = _block(edges) if long is None else F.when(F.col("term").isin(list(long)), _block(edges)).otherwise(F.lit(0)) if long else F.lit(0)
-    met = found.select("term", block.alias("block"), entry).groupBy("term", "block").agg(F.sort_array(F.collect_list("x")).alias("x"))
-    return cut(met.select("term", "block", F.col("x.doc_id").alias("docids"), F.col("x.freq").alias("freqs"), F.col("x.length").alias("lengths")))
+    met = found.select("term", block.alias("block"), entry.alias("x")).groupBy("term", "block").agg(F.sort_array(F.collect_list("x")).alias("x"))
+    low, width = packed or (0, 0)
+    return cut(met).select("*", F.lit(low).cast("long").alias("low"), F.lit(width).alias("width"))
 
 
 def placed(blocks: DataFrame, edges: Sequence[int], long: Sequence[str] | None = None) -> DataFrame:
     """``lists`` with the term's postings in the blocks before, and in all. Lists move for it only if those of all terms are in blocks."""
-    sized = blocks.withColumn("n", F.size("docids").cast("long"))
+    sized = blocks.withColumn("n", F.size("x").cast("long"))
     if not edges or long is not None and not long:
         return sized.select("*", F.lit(0).cast("long").alias("before"), F.col("n").alias("doc_count")).drop("block")
     by = Window.partitionBy("term")  # a row per block that a term is in
@@ -167,10 +203,9 @@ def placed(blocks: DataFrame, edges: Sequence[int], long: Sequence[str] | None =
 def contributions_of(blocks: DataFrame, stats: DataFrame) -> DataFrame:
     """(term, doc_id, contribution) of the postings of ``placed`` lists, each scored by itself."""
     n, _, average = stats.first() or (0, 0, 0.0)
-    weighed = blocks.select("*", ranking.idf(F.lit(float(n)), F.col("doc_count")).alias("idf"))
-    each = weighed.select("term", "idf", F.explode_outer(F.arrays_zip(*_LISTED)).alias("x"))
-    share = ranking.contribution(F.col("idf"), F.col("x.freqs"), F.col("x.lengths"), F.lit(float(average)))
-    return each.select("term", F.col("x.docids").alias("doc_id"), share.alias("contribution"))
+    each = postings_of_lists(blocks.select("*", ranking.idf(F.lit(float(n)), F.col("doc_count")).alias("idf")), "idf")
+    share = ranking.contribution(F.col("idf"), F.col("freq"), F.col("length"), F.lit(float(average)))
+    return each.select("term", "doc_id", share.alias("contribution"))
 
 
 def chunks(found: DataFrame, stats: DataFrame, edges: Sequence[int] | None = None) -> DataFrame:
@@ -190,18 +225,21 @@ def chunks_of(blocks: DataFrame, stats: DataFrame) -> DataFrame:
     first, last = F.call_function("div", F.col("before"), size), F.call_function("div", end - 1, size)
     weighed = blocks.select("*", ranking.idf(F.lit(float(n)), F.col("doc_count")).alias("idf"))
     low, high = F.greatest(F.col("at") * CHUNK - F.col("before"), F.lit(0)).cast("int"), F.least((F.col("at") + 1) * CHUNK - F.col("before"), F.col("n")).cast("int")
-    pieces = lambda df, numbers: df.select("*", F.explode(numbers).alias("at")).select("term", F.col("at").cast("int").alias("chunk_idx"), "idf", *(F.slice(c, low + 1, high - low).alias(c) for c in _LISTED))
+    pieces = lambda df, numbers: df.select("*", F.explode(numbers).alias("at")).select("term", F.col("at").cast("int").alias("chunk_idx"), "idf", "low", "width", F.slice("x", low + 1, high - low).alias("x"))
     # Chunks that a block holds only a part of are its first, its last, or both.
     begun, goes_on = F.col("before") % CHUNK != 0, (end % CHUNK != 0) & (end < F.col("doc_count"))
     whole_from, whole_to = first + begun.cast("int"), last - goes_on.cast("int")
     run = pieces(weighed.where(whole_from <= whole_to), F.sequence(whole_from, whole_to))
     if "block" in blocks.columns:
         parts = F.array_distinct(F.array_compact(F.array(F.when(begun, first), F.when(goes_on, last))))
-        entry = F.arrays_zip(*_LISTED)
-        met = pieces(weighed.where(begun | goes_on), parts).groupBy("term", "chunk_idx").agg(F.first("idf").alias("idf"), F.sort_array(F.flatten(F.collect_list(entry))).alias("x"))
-        run = run.union(met.select("term", "chunk_idx", "idf", *(F.col(f"x.{c}").alias(c) for c in _LISTED)))
-    share = lambda f, i: ranking.contribution(F.col("idf"), f, F.get("lengths", i), F.lit(float(average)))
-    arrays = run.select("term", "chunk_idx", "docids", F.col("freqs").cast("array<bigint>").alias("freqs"), F.transform("freqs", share).alias("contributions"), gaps(F.col("docids")).alias("gaps"))
+        same = [F.first(c).alias(c) for c in ("idf", "low", "width")]
+        met = pieces(weighed.where(begun | goes_on), parts).groupBy("term", "chunk_idx").agg(*same, F.sort_array(F.flatten(F.collect_list("x"))).alias("x"))
+        run = run.union(met.select(*run.columns))
+    kind = dict(blocks.dtypes)["x"]
+    docids, freqs, _ = _parts(F.col("x"), F.transform, kind)
+    share = lambda v: ranking.contribution(F.col("idf"), *_parts(v, lambda y, f: f(y), kind)[1:], F.lit(float(average)))
+    arrays = run.select("term", "chunk_idx", docids.alias("docids"), freqs.cast("array<bigint>").alias("freqs"), F.transform("x", share).alias("contributions"))
+    arrays = arrays.withColumn("gaps", gaps(F.col("docids")))
     return arrays.select(
         "term",
         "chunk_idx",

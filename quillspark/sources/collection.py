@@ -77,11 +77,11 @@ def save_index(docs: DataFrame, path: str) -> None:
     docs.select("doc_id", "pid", n_tokens(F.col("text")).alias("length")).write.mode("overwrite").parquet(f"{path}/passages")
     passages = spark.read.parquet(f"{path}/passages")
     index.corpus_stats(passages).write.mode("overwrite").parquet(f"{path}/stats")
-    edges = index.block_edges(passages)
+    _, edges, packed = index.outline_of(passages)
     long = index.long_terms(docs, edges)
-    lists = index.lists(index.postings(docs), edges, long)
-    each = lists.repartitionByRange("term", "block").sortWithinPartitions("term", "block").select("term", F.explode(F.arrays_zip("docids", "freqs", "lengths")).alias("x"))
-    each.select("term", F.col("x.docids").alias("doc_id"), F.col("x.freqs").cast("long").alias("freq"), F.col("x.lengths").alias("length")).write.mode("overwrite").parquet(f"{path}/postings")
+    lists = index.lists(index.postings(docs), edges, long, packed)
+    ordered = lists.repartitionByRange("term", "block").sortWithinPartitions("term", "block")
+    index.postings_of_lists(ordered).write.mode("overwrite").parquet(f"{path}/postings")
     chunks = index.chunks_of(index.placed(lists, edges, long), spark.read.parquet(f"{path}/stats"))
     chunks.sortWithinPartitions("term", "chunk_idx").write.mode("overwrite").parquet(f"{path}/chunks")
     lexicon = index.lexicon(spark.read.parquet(f"{path}/chunks"))

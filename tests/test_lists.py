@@ -104,7 +104,7 @@ def test_audit_of_best_scores_compares_only_the_spot_terms_own_tokens(spark, mon
 def test_lists_in_blocks_are_guessed_and_give_the_same_chunks_whatever_the_guess(spark, monkeypatch):
     monkeypatch.setattr(index, "BLOCK", 20)
     docs = spark.createDataFrame([(i, i, f"all all g{i % 3} u{i}" + " late" * (i > 80)) for i in range(200)], "doc_id long, pid long, text string")
-    stats, edges = index.outline(docs)
+    stats, edges, _ = index.outline(docs)
     guess = index.long_terms(docs, edges)
     assert len(edges) == 9 and guess == ["all", "g0", "g1", "g2", "late"] and index.long_terms(docs, []) is None
     found, show = index.postings(docs), lambda df: sorted(map(repr, df.collect()))
@@ -115,3 +115,15 @@ def test_lists_in_blocks_are_guessed_and_give_the_same_chunks_whatever_the_guess
         assert long is None or whole.where("block <> 0").isEmpty() and whole.count() == whole.select("term").distinct().count()
         assert show(index.chunks_of(index.placed(blocks, edges, long), stats)) == want
     assert plan(index.placed(index.lists(found, edges, guess), edges, guess)).count("strategy=broadcast") == 1
+
+
+def test_postings_move_as_numbers_where_63_bits_do(spark):
+    for ids, fits in (([-5, 3, 1 << 40], True), ([3, 1 << 61], False), ([-(1 << 61), 1 << 61], False)):
+        docs = spark.createDataFrame([(i, i, "b a b" + " c" * k) for k, i in enumerate(ids)], "doc_id long, pid long, text string")
+        stats, edges, packed = index.outline(docs)
+        found = index.postings(docs)
+        blocks = index.lists(found, edges, None, packed)
+        assert (packed is not None) == fits == (dict(blocks.dtypes)["x"] == "array<bigint>")
+        assert sorted(index.postings_of_lists(blocks).collect()) == sorted(found.collect())
+        same = [sorted(map(repr, index.chunks_of(index.placed(b, edges), stats).collect())) for b in (blocks, index.lists(found, edges))]
+        assert same[0] == same[1]
